@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import language_id, license_scan, order_minhash, packing, piece_codec, quality_rules, secret_scan, toxicity
+from shelfmark.llm import language_id, license_scan, ngram_join, order_minhash, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, toxicity
 from shelfmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": lambda spark, d: ngram_join.join_components(table(spark, d, "documents")),
     "op2_secret_scan": lambda spark, d: secret_scan.scan_secrets(table(spark, d, "documents")),
+    "op3_suffix_dedup": lambda spark, d: suffix_dedup.find_repeats(table(spark, d, "documents")),
     "op4_toxicity": lambda spark, d: toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
     "op5_piece_codec": lambda spark, d: piece_codec.piece_digests(table(spark, d, "documents")),
     "op6_order_minhash": lambda spark, d: order_minhash.edited_likeness(table(spark, d, "documents")),
