@@ -66,5 +66,6 @@ def components(pairs: DataFrame) -> DataFrame:
         new = _kept(tied.select(F.col("m").alias("a"), "b").unionAll(tied.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         leaves = new.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
         if leaves.where("n > 1").isEmpty() and new.join(leaves.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            return new.select(F.col("b").alias("node"), F.col("a").alias("label"))
+            centres = new.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+            return centres.unionAll(new.select(F.col("b").alias("node"), F.col("a").alias("label")))
         edges = new
