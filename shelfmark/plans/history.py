@@ -110,7 +110,7 @@ REV = "rev AS (SELECT event_id AS id, ts AS at, user_id || ':' || strftime(ts, '
 
 @query(
     "batch_history",
-    f"WITH {REV} SELECT batch_id, min("at") AS started, count(*) AS changes, count(DISTINCT entity) AS entities, arg_min(entity, id) AS first_entity FROM rev GROUP BY batch_id",
+    f"""WITH {REV} SELECT batch_id, min("at") AS started, count(*) AS changes, count(DISTINCT entity) AS entities, arg_min(entity, id) AS first_entity FROM rev GROUP BY batch_id""",
 )
 def batch_history(spark: SparkSession, d: str) -> DataFrame:
     r = changelog.revisions(table(spark, d, "events"))
@@ -197,7 +197,7 @@ def task_pending(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "task_claims",
-    f"WITH {TASKS} SELECT id, CAST(attempts + 1 AS BIGINT) AS attempts FROM st WHERE NOT {SETTLED} ORDER BY "at" DESC, id LIMIT 25",
+    f"""WITH {TASKS} SELECT id, CAST(attempts + 1 AS BIGINT) AS attempts FROM st WHERE NOT {SETTLED} ORDER BY "at" DESC, id LIMIT 25""",
 )
 def task_claims(spark: SparkSession, d: str) -> DataFrame:
     """The next 25 to claim, newest first."""
