@@ -1,0 +1,416 @@
+"""The corpus operators on small tables: brute force, exact round trips, edge cases, held-out results."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pytest
+
+from shelfmark.llm import language_id, license_scan, ngram_join, order_minhash, packing, piece_codec, quality_rules, secret_scan, suffix_dedup, toxicity
+
+WORDS = [f"{a}{b}{c}" for a in ("ba", "ko", "li", "ne") for b in ("ra", "tu", "mo", "si") for c in ("n", "l", "", "ver")]
+SPACES = r"[^\x20\x09-\x0D]+"
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def changed(text: str, seed: int, n: int) -> str:
+    r, words = random.Random(seed), text.split()
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def corpus() -> list[tuple]:
+    base, passage = prose(1, 200), prose(2, 60)
+    rows = [(i, changed(base, i, i % 9), "en", f"s{i % 2}") for i in range(40)]
+    rows += [(100 + i, f"{prose(50 + i, 40 + i)} {passage} {prose(90 + i, 30)}", "en", "s1") for i in range(12)]
+    rows += [(200 + i, prose(300 + i, 20 + 11 * i), "de" if i % 2 else None, None) for i in range(20)]
+    rows += [(300, None, None, None), (301, "", "en", "s0"), (302, "\n \t", "en", "s0"), (303, "one two", "en", "s0"), (304, "One TWO", "en", "s0"), (305, "日本語 のテスト 😀" * 5, "ja", "s9")]
+    rows += [(None, base, "en", "s0"), (None, None, None, None), (7, rows[7][1], "en", "s1"), (7, "another text under a used id", "en", "s1"), (400, "a " * 9000, "en", "s0"), (401, "word" * 30_000, "en", "s0")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, lang, s, len(t) if t is not None else None, "extra", 5) for i, t, lang, s in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, k1 string, n_words int")
+    return df.repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def prose_model(spark):
+    from shelfmark.llm.common import table
+
+    return secret_scan.train(table(spark, "/root/testdata/sf0.001", "documents"), most_random=500)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def low(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+# 1
+
+
+def linked(rows, n, share):
+    sets = []
+    for _, t in rows:
+        w = re.findall(SPACES, low(t))
+        sets.append({tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= share * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(rows))], sets
+
+
+@pytest.mark.parametrize("most_in_bucket", [2000, 5])
+def test_join_equals_brute_force(docs, most_in_bucket):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    root, sets = linked(rows, 4, 85)
+    least = {}
+    for (i, _), a in zip(rows, root):
+        if i is not None:
+            least[a] = min(least.get(a, i), i)
+    want = Counter((i, len(s), least.get(a)) for (i, _), a, s in zip(rows, root, sets))
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(docs, most_in_bucket=most_in_bucket).collect())
+    assert got == want
+
+
+def test_link_group_equals_brute_force():
+    import numpy as np
+
+    r = random.Random(4)
+    for share in (80, 85):
+        for _ in range(20):
+            texts = [changed(prose(r.randrange(4), 60), r.randrange(10**6), r.randrange(6)) for _ in range(30)]
+            sh = ngram_join.Shingles(4, 4)
+            root, _ = linked([(0, t) for t in texts], 4, share)
+            assert ngram_join.link_group([sh.of(t) for t in texts], share) == root
+    assert ngram_join.link_group([np.zeros(0, "u8")][:0], 85) == []
+
+
+def test_drop_copies_keeps_one_of_each_group(docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    root, sets = linked(rows, 5, 80)
+    out = ngram_join.drop_copies(docs)
+    assert out.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    groups = {a for a, s in zip(root, sets) if s}
+    assert len([1 for _, t in kept if re.findall(SPACES, t or "")]) == len(groups)
+    assert (0, rows[[i for i, _ in rows].index(0)][1]) in kept
+
+
+def test_join_of_nothing(none):
+    assert ngram_join.join_components(none).collect() == [] and ngram_join.drop_copies(none).collect() == []
+
+
+# 2
+
+
+def base_spans(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        out += [(m.start(), 0, m.end())] * (len(m.group(2)) >= 6)
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 24]
+    return sorted(out)
+
+
+SECRETS = [
+    None, "", "no secret here", "token=token=abcdef1", "é😀 TOKEN: \"abc\" secret=token:abcdefgh", "AKIA" * 6, "0123456789abcdef" * 2 + " api_key = 'zzzzzz'", "password=0123456789abcdef01234567",
+    "key ghp_x7Kq92LmZp04RtVw81YsBn63 and thisIsAnOrdinaryIdentifierName some_long_snake_case_name_here", "passwd:=x secret: 12345 " * 40,
+]
+
+
+def test_secrets_equal_brute_force(spark, prose_model):
+    rows = [(i, t) for i, t in enumerate(SECRETS)] + [(3, SECRETS[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = prose_model
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(df, model).collect()}
+    assert secret_scan.scan_secrets(df, model).count() == len(rows)
+    for i, t in enumerate(SECRETS):
+        want = base_spans(t or "")
+        text = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
+        assert got[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(got[i].spans.split(","))
+    assert got[8].spans == "markov:4:32"
+
+
+def test_redaction(spark, docs, none):
+    df = spark.createDataFrame([(1, "a password=abcdef012 b", 22, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, row string")
+    out = {r.doc_id: r for r in secret_scan.redact(df, secret_scan.train(docs, most_random=300)).collect()}
+    assert (out[1].text, out[1].n_chars, out[1].row) == ("a [SECRET] b", 12, "x")
+    assert (out[2].text, out[2].n_chars, out[3].text) == (None, None, "clean")
+    assert secret_scan.scan_secrets(none).collect() == []
+
+
+def test_secrets_stay_native(spark, prose_model):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    plan = secret_scan.scan_secrets(df, prose_model)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+# 3
+
+
+def test_repeats_equal_brute_force(docs):
+    rows = {(r.doc_id, r.text) for r in docs.collect()}
+    occ = {}
+    words = {x: re.findall(SPACES, x[1] or "") for x in rows}
+    for x, w in words.items():
+        for p in range(len(w) - 49):
+            occ.setdefault(tuple(w[p : p + 50]), []).append((x, p))
+    want = {x: set() for x in rows}
+    for o in occ.values():
+        if len({x for x, _ in o}) > 1:
+            for x, p in o:
+                want[x].update(range(p, p + 50))
+        else:
+            lo, hi = min(p for _, p in o), max(p for _, p in o)
+            for x, p in o:
+                if max(p - lo, hi - p) >= 50:
+                    want[x].update(range(p, p + 50))
+    by = Counter()
+    for r in suffix_dedup.find_repeats(docs).collect():
+        covered = sum(int(b) - int(a) for a, b in (s.split(":") for s in r.dup_spans.split(",") if s))
+        assert covered == r.n_dup_words >= r.n_cut_words
+        by[r.doc_id, r.n_words, covered] += 1
+    full = Counter((r.doc_id, len(words[r.doc_id, r.text]), len(want[r.doc_id, r.text])) for r in docs.collect())
+    assert by == full
+
+
+def test_cut_repeats(spark, docs, none):
+    passage = prose(2, 60)
+    out = suffix_dedup.cut_repeats(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    found = {r.doc_id: r.text for r in out.where("doc_id between 100 and 111").collect()}
+    before = {r.doc_id: r.text for r in docs.where("doc_id between 100 and 111").collect()}
+    assert found[100] == before[100] and all(passage in t for t in before.values())
+    assert [i for i, t in found.items() if passage in t] == [100]
+    alone = {r.doc_id: r for r in out.where("doc_id between 200 and 305").collect()}
+    assert alone[300].text is None and alone[302].text == "\n \t" and alone[219].text == prose(319, 229)
+    assert suffix_dedup.find_repeats(none).collect() == []
+
+
+# 4
+
+
+def test_block_max_is_exact():
+    r = random.Random(2)
+    vectors = [{t: r.random() for t in r.sample(range(30), 4)} for _ in range(300)]
+    index = toxicity.BlockMaxIndex(vectors, size=8)
+    for _ in range(40):
+        q = {t: r.random() for t in r.sample(range(32), 5)}
+        want = sorted((-round(sum(q[t] * v.get(t, 0) for t in q), 12), i) for i, v in enumerate(vectors))
+        got = index.nearest(q, 10)
+        assert [round(s, 9) for s, _ in got] == [round(-s, 9) for s, _ in want[:10] if s < 0]
+
+
+def test_toxicity_learns_and_keeps_folds(spark):
+    bad = ["vileword", "nastyterm", "foulname", "foulnames"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        rows.append((i, prose(i, 60) + (f" {bad[i % 4]}, {bad[i // 4 % 4]}!" if toxic else ""), 1))
+        labels.append((i, int(toxic), 1))
+    rows += [(900, None, 1), (901, "", 1), (902, "foulnamely done", 1), (None, "nastyterm", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int, text int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, marks).collect()}
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got.values())
+    held = [r for i, r in got.items() if i is not None and i < 400 and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held) and len(held) > 50
+    assert all(r.predicted == int(r.doc_id % 5 == 0) for r in held)
+    assert got[902].predicted == got[None].predicted == 1 and got[900].predicted == got[901].predicted == 0
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {900, 901}
+    # nothing to learn from
+    assert {r.score for r in toxicity.score_toxicity(docs, marks.limit(0)).collect()} == {0.0}
+    assert toxicity.score_toxicity(docs.limit(0), marks).collect() == []
+
+
+# 5
+
+
+def test_pieces_equal_the_library(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in piece_codec.piece_digests(docs).collect())
+    want = Counter()
+    for r in docs.collect():
+        ids = sp.encode(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()] += 1
+    assert got == want
+    codec, r = piece_codec.PieceCodec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(9)
+    for _ in range(1500):
+        t = "".join(r.choice("ab eth\n▁ßé日😀=-_ ") for _ in range(r.randrange(40)))
+        assert codec.encode(t) == sp.encode(t) and codec.decode(sp.encode(t)) == sp.decode(sp.encode(t))
+    assert [x.doc_id for x in piece_codec.encode_pieces(docs.where("doc_id = 303")).collect()] == [303]
+
+
+# 6
+
+
+def test_order_minhash_feels_order():
+    omh = order_minhash.OrderMinHash(m=64)
+    t = prose(5, 300)
+    words = t.split()
+    near, turned = changed(t, 1, 6), " ".join(words[150:] + words[:150])
+    like = lambda a, b: order_minhash.likeness(omh.fingerprint(a), omh.fingerprint(b))
+    assert like(t, t) == 1 and like(t, near) > like(t, prose(6, 300)) and like(t, near) > 0.3
+    assert like(t, turned) < 0.8  # the same k-mers in another order
+    assert like("", "") == 1 and like("ab", "ab") == 1 and like("ab", "abc") < 1
+
+
+def test_edited_texts(docs, none):
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()), reverse=True)
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text or "" for r in some.collect()}
+    ids = sorted(texts, reverse=True)
+    want = {}
+    for at, i in enumerate(ids):
+        t, nxt = texts[i], texts[ids[(at + 1) % len(ids)]]
+        k = len(t) // 3
+        want[i] = (len(t), hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest())
+    for block in (2000, 7, 1):
+        got = {r.doc_id: r for r in order_minhash.edited_likeness(some, rows_in_block=block).collect()}
+        assert {i: (r.n_chars, r.edited_sha256) for i, r in got.items()} == want
+    omh = order_minhash.OrderMinHash()
+    for at, i in enumerate(ids):
+        a, b = omh.fingerprint(texts[i]), omh.fingerprint(texts[ids[(at + 1) % len(ids)]])
+        assert got[i].fingerprint == a.tobytes().hex() and got[i].near_next == order_minhash.likeness(a, b)
+    assert rows and order_minhash.edited_likeness(docs).count() == docs.count()
+    assert order_minhash.edited_likeness(none).collect() == [] and order_minhash.fingerprints(none).collect() == []
+
+
+# 7
+
+
+def test_packing_is_whole(docs, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    import struct
+
+    for window in (1024, 64):
+        out = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), window=window).collect()
+        by, seqs = {}, {}
+        for r in out:
+            by.setdefault(r.doc_id, []).append(r)
+            seqs.setdefault(r.sequence_id, []).append(r)
+        for d in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect():
+            ids, at = tok.encode(d.text or "", add_special_tokens=False).ids + [0], 0
+            for r in sorted(by[d.doc_id], key=lambda r: r.start):
+                part = ids[r.start : r.start + r.length]
+                assert r.start == at and len(part) == r.length and r.doc_tokens == len(ids)
+                assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+                at += r.length
+            assert at == len(ids)
+        padded = 0
+        for rs in seqs.values():
+            at = 0
+            for r in sorted(rs, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= window
+            padded += 0 if at & (at - 1) == 0 else window - at
+        assert padded == 0
+    assert packing.pack(none).collect() == []
+
+
+# 8
+
+
+def test_language_held_out(spark, none):
+    parts = {"xx": ("ka", "ki", "ku", "to", "ti"), "yy": ("sch", "ung", "ein", "der", "ig"), "zz": ("oli", "era", "amo", "isa", "ure")}
+    rows = []
+    for i in range(360):
+        r, lang = random.Random(i), list(parts)[i % 3]
+        rows.append((i, " ".join("".join(r.choice(parts[lang]) for _ in range(r.randrange(1, 4))) for _ in range(30)), lang, "s"))
+    rows += [(900, None, "xx", "s"), (901, "12 34 !", "xx", "s"), (902, "kakiku toti", None, None), (903, "", "yy", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in language_id.predict_language(docs).collect()}
+    held = [r for i, r in got.items() if i < 360 and r.held_out]
+    assert len(held) > 50 and sum(r.lang_pred == list(parts)[r.doc_id % 3] for r in held) >= 0.98 * len(held)
+    assert got[900].lang_pred == got[901].lang_pred == got[903].lang_pred == "und" and got[902].lang_pred == "xx"
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert {r.lang_pred for r in language_id.predict_language(docs.withColumn("lang", docs.lang.substr(9, 1)).where("lang <> ''").unionByName(docs.selectExpr("doc_id", "text", "cast(null as string) lang", "score"))).collect()} == {"und"}
+
+
+# 9
+
+
+def test_matching_statistics_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(60):
+        seqs = [[r.randrange(4) for _ in range(r.randrange(1, 12))] for _ in range(3)]
+        known = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+        text = [r.randrange(5) for _ in range(40)]
+        want = [max((n for n in range(1, e + 2) if tuple(text[e + 1 - n : e + 1]) in known), default=0) for e in range(40)]
+        assert [n for n, _ in license_scan.SuffixAutomaton(seqs).statistics(text)] == want
+
+
+def test_license_base_and_labels(spark, docs, none):
+    texts = ["CC-BY cc by, CC BY.", "the GNU General Public License", None, "", "All rights reserved", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License. " + prose(1, 30), prose(3, 50), "cc\x00by é all rights all rights reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))
+        hits = [(a, label) for p, label in license_scan.PHRASES.items() for a in range(len(w)) if w[a : a + len(p.split())] == p.split()]
+        at = [a for a, _ in hits]
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(hits), min(at, default=None), max(at, default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in hits}))
+        assert set(filter(None, got[i].base_labels.split(","))) <= set(got[i].labels.split(",")) and 0 <= got[i].score <= 1
+    assert got[5].labels == "apache-2.0" and got[6].labels == "mit" and got[7].labels == "" and got[7].score == 0
+    part = " ".join(license_scan.TEMPLATES["mit"][2].split()[5:45]).replace("software", "program", 1)
+    assert license_scan.LicenseScanner().scan(f"{prose(4, 20)} {part} {prose(5, 20)}")[5] == "mit"
+    assert license_scan.scan_licenses(none).collect() == []
+
+
+# 10
+
+
+def test_quality_metrics_and_verdicts(spark, docs, none):
+    rows = docs.collect()
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(docs).collect())
+    want = Counter()
+    for r in rows:
+        t = r.text or ""
+        w = re.findall(SPACES, t)
+        c = Counter(zip(w, w[1:], w[2:]))
+        covered = {i + j for i, x in enumerate(zip(w, w[1:], w[2:])) if c[x] > 1 for j in range(3)}
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(SPACES, line):
+                dup += line in seen
+                seen.add(line)
+        want[r.doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)] += 1
+    assert got == want
+    clean = [(i, prose(i, 120), "en", "s") for i in range(120)] + [(500, " ".join("#%&" for _ in range(30)) + " " + prose(501, 90), "en", "s"), (501, prose(7, 80), None, None)]
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[500].kept and "symbol_share" in out[500].reasons and sum(out[i].kept for i in range(120)) >= 118 and out[501].kept
+    assert quality_rules.judge(none).collect() == []
