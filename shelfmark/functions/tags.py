@@ -17,7 +17,7 @@ def overlaid(own: Column, row: Column | None) -> Column:
 
 def cleaned(values: Column) -> Column:
     """Trimmed, without empty and repeated values, in first order, at most 50."""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != "")), 1, MOST_VALUES)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")), 1, MOST_VALUES)
 
 
 def agreed(value: Column | str) -> Column:

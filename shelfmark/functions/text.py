@@ -67,7 +67,7 @@ def _vectorised(f):
     @F.pandas_udf(StringType())
     def run(xs: pd.Series) -> pd.Series:
         known = {x: f(x) for x in xs.dropna().unique()}
-        return xs.map(known)
+        return pd.Series([known.get(x) for x in xs], dtype=object)
 
     return run
 
