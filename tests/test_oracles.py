@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shelfmark.plans import history, listing, matching  # noqa: F401
+from shelfmark.plans import catalog_edits, history, listing, matching  # noqa: F401
 from shelfmark.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
