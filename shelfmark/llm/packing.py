@@ -13,11 +13,13 @@ documents of their own. Every id of every document lies in exactly one piece.
 
 from __future__ import annotations
 
-import re
+import base64
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,52 +28,47 @@ from pyspark.sql.types import StructType
 from shelfmark.llm.common import Remembered, once, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
-WS = "\t-\r \x85\xa0  -     　"
+#: The splitting pattern of the vocabulary, with its white space (Unicode White_Space) spelt out.
+WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
+ODD_ASCII = "\t\r\x0b\x0c"
+ODD = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class BytePairIds:
-    """Ids by the tokenizers library, with the ids of frequent words remembered.
+    """The ids that the tokenizers library gives, from the same vocabulary as ranks, with frequent words remembered.
 
-    The byte-level splitter never joins text across a single space between two other characters, and it gives each following
-    word its leading space. So a text in which spaces touch no other white space is encoded word by word; other texts first
-    take the splitter's own rule for white space.
+    Byte-level merges never leave a part of the splitting pattern, so parts are encoded alone. Where spaces touch no other
+    white space, the pattern never joins text across a space and gives each following word its leading space: such texts are
+    looked up word by word, others part by part.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.touching = re.compile(f" [{WS}]|[{WS}] ")
-        self.parts = re.compile(f"[{WS}]+(?![^{WS}])| ?[^{WS}]+|[{WS}]+")
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.word = Remembered(self._ids, most)
-
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def known(self, words: list[str]) -> None:
-        """Encodes the words that are new in one call."""
-        new = [w for w in dict.fromkeys(words) if w not in self.word]
-        if len(self.word) + len(new) > self.word.most:
-            self.word.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.word[w] = np.array(e.ids, "<u4").tobytes()
-
-    def split(self, text: str) -> list[str]:
-        if self.touching.search(text):
-            return self.parts.findall(text)
-        words = text.split(" ")
-        return ([words[0]] if words[0] else []) + [" " + w for w in words[1:]]
+    def __init__(self, path: str, end_id: int, most: int = 400_000):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.parts = regex.compile(SPLIT)
+        self.end = struct.pack("<I", end_id)
+        self.part = Remembered(self._part, most)
+        self.word = Remembered(self._word, most)
+
+    def _part(self, part: str) -> bytes:
+        ids = self.encoding.encode_ordinary(part)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        return b"".join([self.part[x] for x in self.parts.findall(" " + word)])
 
     def encode(self, text: str) -> np.ndarray:
         """Little-endian unsigned 32-bit ids, the end id last."""
-        words = self.split(text) if text else []
-        self.known(words)
-        return np.frombuffer(b"".join([self.word[w] for w in words]) + self.end, "<u4")
+        if "  " in text or "\n " in text or " \n" in text or any(c in text for c in ODD_ASCII) or not text.isascii() and any(c in text for c in ODD):
+            found = map(self.part.__getitem__, self.parts.findall(text))
+            return np.frombuffer(b"".join(found) + self.end, "<u4")
+        first, *words = text.split(" ")
+        head = b"".join([self.part[x] for x in self.parts.findall(first)]) if first else b""
+        return np.frombuffer(head + b"".join(map(self.word.__getitem__, words)) + self.end, "<u4")
 
 
 class Packer:
@@ -192,4 +189,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
 def _default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
