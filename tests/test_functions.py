@@ -164,3 +164,20 @@ def test_entry_without_llm(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sinks(spark, tmp_path):
+    from shelfmark.sources import sinks
+
+    a = spark.createDataFrame([(1, "x"), (2, None)], "id int, s string")
+    sinks.snapshot({"a": a, "meta": a}, str(tmp_path / "b"))
+    back = sinks.restore(spark, str(tmp_path / "b"))
+    assert sorted(map(str, back["a"].collect())) == sorted(map(str, a.collect())) and back["meta"].count() == 0 and back["meta"].schema == a.schema
+    wanted = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "key string, size int")
+    there = spark.createDataFrame([("k1", 1), ("k2", 9), ("k4", 4)], "key string, size int")
+    assert sorted(r.key for r in sinks.copy_plan(wanted, there).collect()) == ["k2", "k3"]
+    assert [r.key for r in sinks.orphans(there, wanted).collect()] == ["k4"]
+    blobs = spark.createDataFrame([("k", b"abc", "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")], "key string, content binary, sha256 string")
+    assert [r.ok for r in sinks.verified(blobs).collect()] == [True]
+    sinks.manifest_lines(a, "id", str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 2
