@@ -1,10 +1,10 @@
 """Hierarchical packing of documents into sequences of several lengths.
 
-Tiers are the powers of two up to the window. Documents are routed by length: whole windows are cut off into the longest
-tier, and what is left of a document goes to the tier of its size. Each tier is packed first-fit into sequences of that tier;
-what stays open in long sequences is filled from the shorter tiers, longest rest first, cutting the last one to fit. Rests
-that fill no sequence wait for the task's later documents. Finished sequences are dealt into step groups of equal token
-counts, longest tier first, so that no step waits for another.
+Tiers are the powers of two from 128 to the window. Documents are routed by length: whole windows are sequences of the longest
+tier, and what is left of a document goes to the shortest tier that holds it. Each tier is packed, from the longest down: a
+rest opens a sequence of its tier, whose gap is filled from the shorter tiers, longest rest that fits first, cutting one where
+none fits. Rests that fill no sequence wait for the task's later documents. Finished sequences are dealt into step groups of
+equal numbers of ids.
 
 Every task packs its own rows, so nothing is shuffled; at most one sequence for each tier and task is short. Sequence ids hold
 the task's number in the upper bits. Null texts count as empty: such a document still has its end id. Repeated rows are
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 import zlib
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,10 @@ ODD_ASCII = "\t\r\x0b\x0c"
 ODD = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _length(piece: tuple) -> int:
+    return piece[3]
+
+
 class BytePairIds:
     """The ids that the tokenizers library gives, from the same vocabulary as ranks, with frequent words remembered.
 
@@ -72,19 +77,20 @@ class BytePairIds:
 
 
 class Packer:
-    """Packs rests of documents; put() takes a document's ids, out holds the pieces of finished sequences."""
+    """Packs documents' ids into sequences of several tiers; out holds the pieces of finished sequences."""
 
-    def __init__(self, window: int, first_id: int, groups: int):
-        self.window, self.next_id, self.groups = window, first_id, groups
-        self.rests: dict[int, list] = {}
+    def __init__(self, window: int, first_id: int, groups: int, least_tier: int = 128):
+        self.window, self.next_id, self.least_tier = window, first_id, min(window, least_tier)
+        self.rests: list[tuple] = []  # (doc_id, ids of the document, start, length), by length
         self.out: list[tuple] = []
         self.loads = [0] * groups
 
     def tier(self, n: int) -> int:
-        return 1 << max(0, n - 1).bit_length()
+        """The shortest tier that holds n ids."""
+        return max(self.least_tier, 1 << max(0, n - 1).bit_length())
 
     def emit(self, tier: int, pieces: list[tuple]) -> None:
-        """pieces: (doc_id, ids of the document, start, length)."""
+        """A finished sequence; the step group with the fewest ids so far takes it."""
         group = self.loads.index(min(self.loads))
         self.loads[group] += tier
         at = 0
@@ -94,46 +100,40 @@ class Packer:
         self.next_id += 1
 
     def put(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Whole windows are sequences of the longest tier; what is left waits in the tier of its length."""
         whole = len(ids) - len(ids) % self.window
         for start in range(0, whole, self.window):
             self.emit(self.window, [(doc_id, ids, start, self.window)])
         if rest := len(ids) - whole:
-            self.rests.setdefault(self.tier(rest), []).append((doc_id, ids, whole, rest))
+            self.rests.append((doc_id, ids, whole, rest))
 
     def pack(self, last: bool = False) -> None:
-        """Fills windows from the longest rests down; what does not fill one waits, unless these are the last."""
-        pool = sorted((x for rests in self.rests.values() for x in rests), key=lambda x: x[3])
-        self.rests, open_, room = {}, [], self.window
+        """Each tier from the longest down: a rest opens a sequence of its tier, and the gap is filled from the shorter ones.
+
+        The longest rest that fits goes in whole; where none does, the longest of all is cut to fit. What can't be filled yet
+        waits for more documents, unless these are the last.
+        """
+        pool = sorted(self.rests, key=_length)
+        self.rests = []
         while pool:
-            # the longest rest that fits whole, else the longest one is cut
-            x = pool.pop()
-            if x[3] > room:
-                lo, hi = 0, len(pool)
-                while lo < hi:
-                    mid = (lo + hi) // 2
-                    lo, hi = (mid + 1, hi) if pool[mid][3] <= room else (lo, mid)
-                if lo:
-                    pool.append(x)
-                    x = pool.pop(lo - 1)
+            open_ = [pool.pop()]
+            tier = self.tier(open_[0][3])
+            room = tier - open_[0][3]
+            while room and pool:
+                if fit := bisect_right(pool, room, key=_length):
+                    x = pool.pop(fit - 1)
                 else:
-                    doc_id, ids, start, n = x
-                    cut = (doc_id, ids, start + room, n - room)
-                    lo, hi = 0, len(pool)
-                    while lo < hi:
-                        mid = (lo + hi) // 2
-                        lo, hi = (mid + 1, hi) if pool[mid][3] <= cut[3] else (lo, mid)
-                    pool.insert(lo, cut)
+                    doc_id, ids, start, n = pool.pop()
                     x = (doc_id, ids, start, room)
-            open_.append(x)
-            room -= x[3]
+                    insort(pool, (doc_id, ids, start + room, n - room), key=_length)
+                open_.append(x)
+                room -= x[3]
             if not room:
-                self.emit(self.window, open_)
-                open_, room = [], self.window
-        if not last:
-            for x in open_:
-                self.rests.setdefault(self.tier(x[3]), []).append(x)
-        elif open_:
-            self.close(open_)
+                self.emit(tier, open_)
+            elif last:
+                self.close(open_)
+            else:
+                self.rests += open_
 
     def close(self, pieces: list[tuple]) -> None:
         """The task's last rests, cut into sequences of falling tiers: each is full, so none needs padding."""
