@@ -9,7 +9,7 @@
    (``share`` of its own size); there, exact overlaps decide. Classes that are already connected are not compared again.
 4. Links become components by repeated label exchange; a component is named by its smallest doc_id.
 
-A link is lost only if a pair shares none of the bands: at the default 24 bands of 2 values, with probability 4e-14 for a pair
+A link is lost only if a pair shares none of the bands: at the default 32 bands of 3 values, with probability 6e-14 for a pair
 at 0.85 (1e-10 for 0.8). Inside a group nothing is estimated. Pairs are never emitted: each group gives each member one edge.
 
 Words are runs without ASCII white space after lower-casing A-Z; a set holds the distinct n-word shingles, or the whole
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfmark.llm.common import Remembered, arrow_map, once, texts, written
+from shelfmark.llm.common import NO_ID, Remembered, arrow_map, keyed, once, texts, written
 
 U = np.uint64
 
@@ -67,8 +67,8 @@ class Shingles:
         return out
 
 
-def _fold(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _fold(values: np.ndarray, band: int) -> int:
+    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8, salt=band.to_bytes(2, "little")).digest(), "little", signed=True)
 
 
 class Union:
@@ -129,7 +129,7 @@ def link_group(sets: list[np.ndarray], share: int) -> list[int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of the edges (a, b) reaches. Nodes are strings.
+    """(node, label): the smallest node that each node of the edges (a, b) reaches. Nodes are set keys.
 
     Every round, each node's neighbours and the node itself are tied to the smallest of them; labels fall to the component's
     smallest node after about log2 of its diameter rounds. Each round's edges are a table in the shared folder.
@@ -150,7 +150,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def join_components(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 24, rows: int = 2, most_in_bucket: int = 2000) -> DataFrame:
+def join_components(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 32, rows: int = 3, most_in_bucket: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id and n_in_component of every row."""
     labelled = classes(docs, n, share, bands, rows, most_in_bucket)
     names = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_in_component"))
@@ -159,9 +159,9 @@ def join_components(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 2
     return linked.unionAll(alone)
 
 
-def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 24, rows: int = 2, most_in_bucket: int = 2000) -> DataFrame:
+def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 32, rows: int = 3, most_in_bucket: int = 2000) -> DataFrame:
     """doc_id, k2 (hash of the text), n_shingles and label of every row; equal labels are one component."""
-    values = bands * rows * 2  # as many again refine large buckets
+    values = bands * (rows + 1)  # one more for each band refines large buckets
 
     def start():
         sh = once(Shingles, n, values)
@@ -171,38 +171,41 @@ def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 24, rows:
             for t in text:
                 s = sh.of(t)
                 size.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = sh.least(s) if len(s) else None
-                band.append([] if m is None else [_fold(m[i * rows : (i + 1) * rows]) for i in range(bands)])
-                fine.append([] if m is None else [_fold(m[(bands + i) * rows : (bands + i + 1) * rows]) for i in range(bands)])
+                band.append([] if m is None else [_fold(m[i * rows : (i + 1) * rows], i) for i in range(bands)])
+                fine.append([] if m is None else [_fold(m[[*range(i * rows, (i + 1) * rows), bands * rows + i]], i) for i in range(bands)])
             return [doc_id, k2, size, key, band, fine]
 
         return f
 
     base = texts(docs).withColumn("k2", F.xxhash64(F.coalesce("text", F.lit("\0"))))
-    sets = written(arrow_map(base, start, "doc_id long, k2 long, n_shingles long, set_key string, band array<long>, fine array<long>"))
-    distinct = sets.where("n_shingles > 0").groupBy("set_key").agg(F.first(F.struct("band", "fine")).alias("x"))
-    spots = distinct.select("set_key", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(bands - 1)).alias("no"), F.col("x.band").alias("band"), F.col("x.fine").alias("fine"))).alias("s")).select("set_key", "s.no", "s.band", "s.fine")
-    buckets = spots.groupBy("no", "band").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("lead")).where("n > 1")
-    met = spots.join(buckets, ["no", "band"])
-    plain = met.where(F.col("n") <= most_in_bucket).select("set_key", "lead")
-    refined = met.where(F.col("n") > most_in_bucket).select("set_key", "no", "band", "fine")
-    fine_lead = refined.groupBy("no", "band", "fine").agg(F.min("set_key").alias("lead"))
-    groups = plain.unionAll(refined.join(fine_lead, ["no", "band", "fine"]).select("set_key", "lead")).distinct()
-    sized = groups.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("lead")
-    groups = groups.join(sized, "lead", "left_semi").groupBy("set_key").agg(F.collect_set("lead").alias("leads"))  # at most one for each band
+    sets = written(arrow_map(base, start, "doc_id long, k2 long, n_shingles long, set_key binary, band array<long>, fine array<long>"))
+    met, crowded = _buckets(sets, "band", most_in_bucket)
+    if not crowded.isEmpty():
+        # buckets of too many classes are dealt again by one more MinHash value
+        again = sets.join(crowded.select("set_key").distinct(), "set_key", "left_semi")
+        met = met.unionAll(_buckets(again, "fine", 2**62)[0])
     # each class's text goes to its groups once; sets are made again there, which costs less than moving them
-    reps = sets.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("k2", F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"))).alias("r")).join(groups, "set_key").select("set_key", "leads", "r.k1", "r.k2")
-    full = texts(docs).withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64(F.coalesce("text", F.lit("\0")))})
-    members = full.join(reps, ["k1", "k2"]).select("set_key", "text", F.explode("leads").alias("lead"))
-    edges = _group_edges(members, n, share, values)
-    labels = components(edges)
-    return sets.join(labels, sets["set_key"] == labels["node"], "left").select("doc_id", "k2", "n_shingles", F.coalesce("label", "set_key").alias("label"))
+    groups = met.groupBy("set_key").agg(F.collect_set("lead").alias("leads"))  # at most one for each band
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), "k2")
+    reps = sets.select("set_key", order.alias("o")).groupBy("set_key").agg(F.min("o").alias("o")).join(groups, "set_key").select("set_key", "leads", "o.k1", "o.k2")
+    members = keyed(texts(docs)).join(reps, ["k1", "k2"]).select("set_key", "text", F.explode("leads").alias("lead"))
+    labels = components(_group_edges(members, n, share, values))
+    return sets.select("doc_id", "k2", "n_shingles", "set_key").join(labels, F.col("set_key") == F.col("node"), "left").select("doc_id", "k2", "n_shingles", F.coalesce("label", "set_key").alias("label"))
+
+
+def _buckets(sets: DataFrame, band: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(set_key, lead) of the classes in buckets of several classes and of at most ``most`` rows' classes; those in larger ones."""
+    spots = sets.select("set_key", F.explode(band).alias("at"))
+    shared = spots.groupBy("at").agg(F.min("set_key").alias("lead"), F.max("set_key").alias("last"), F.count(F.lit(1)).alias("n")).where("lead <> last").select("at", "lead", "n")
+    met = written(spots.join(shared, "at").select("set_key", "lead", "at", (F.col("n") > most).alias("large")).distinct())
+    return met.where("not large").select("set_key", "lead").distinct(), met.where("large")
 
 
 def _group_edges(members: DataFrame, n: int, share: int, values: int) -> DataFrame:
     """An edge (a, b) for each member that is linked to a smaller one of its group. Groups stream through sorted partitions."""
-    schema = StructType.fromDDL("a string, b string")
+    schema = StructType.fromDDL("a binary, b binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -224,9 +227,9 @@ def _group_edges(members: DataFrame, n: int, share: int, values: int) -> DataFra
                     continue  # a repeated row
                 keys.append(key)
                 sets.append(sh.of(text))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=arrow)
         out = close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=arrow)
 
     return members.select("lead", "set_key", "text").repartition("lead").sortWithinPartitions("lead", "set_key").mapInArrow(run, schema)
 
@@ -238,8 +241,8 @@ def drop_copies(docs: DataFrame, n: int = 5, share: int = 80, bands: int = 32, *
     """
     labelled = classes(docs, n, share, bands, **tuning)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("k2"))
-    keep = labelled.where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("o")).select(F.coalesce("o.doc_id", F.lit(-(2**63))).alias("k1"), F.col("o.k2").alias("k2"))
-    keep = keep.unionAll(labelled.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), "k2").distinct())
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\0"))).alias("k2"))
+    keep = labelled.where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("o")).select(F.coalesce("o.doc_id", F.lit(NO_ID)).alias("k1"), F.col("o.k2").alias("k2"))
+    keep = keep.unionAll(labelled.where("n_shingles = 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), "k2").distinct())
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k1"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("\0"))).alias("k2"))
     found = held.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return found.select(*(F.col("row")[c].alias(c) for c in docs.columns))
