@@ -3,7 +3,9 @@
 1. Each distinct set is one class (rows with equal sets are never compared). A class's bands, made of its MinHash values, name
    the buckets it falls into; two sets with Jaccard likeness J share a band of r values with probability J**r each.
 2. In each bucket the smallest class leads. A class joins the groups of its buckets' leaders, so similar documents meet in few
-   groups. Buckets over ``most_in_bucket`` classes are refined by further MinHash values, so that no group grows with the data.
+   groups. Buckets over ``most_in_bucket`` classes are refined by further MinHash values. What stays crowded (very many near
+   copies) is dealt into chunks: each meets the bucket's first chunk, and then the classes that are still apart from the
+   bucket's largest component meet every chunk, in blocks. So no group grows with the data, and no pair of a bucket is left out.
 3. Each group's task partitions its members by a MinHash value into token groups and stores each one's token union (the
    token-group matrix). A query opens a token group only if its overlap with the union reaches what any member needs
    (``share`` of its own size); there, exact overlaps decide. Classes that are already connected are not compared again.
@@ -24,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -82,17 +84,27 @@ class Union:
             self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
         i, j = sorted((self.find(i), self.find(j)))
         self.up[j] = i
+        return i != j
 
 
-def link_group(sets: list[np.ndarray], share: int) -> list[int]:
-    """For each set the smallest index in its component, where sets link at 100 * intersection >= share * union."""
+def link_group(sets: list[np.ndarray], share: int, known: list | None = None) -> list[int]:
+    """For each set the smallest index in its component, where sets link at 100 * intersection >= share * union.
+
+    Sets with equal values in ``known`` are connected already.
+    """
     n = len(sets)
     union = Union(n)
-    if n < 2:
-        return list(range(n))
+    apart = n
+    first_of: dict = {}
+    for i, x in enumerate(known or ()):
+        if x is not None:
+            apart -= union.join(first_of.setdefault(x, i), i)
+    if apart < 2:
+        return [union.find(i) for i in range(n)]
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ids = ids.astype(np.int32)
@@ -114,6 +126,8 @@ def link_group(sets: list[np.ndarray], share: int) -> list[int]:
     largest = np.array([sizes[g].max() for g in members])
     mask = np.zeros(len(rank), np.uint8)
     for q in range(n):
+        if apart < 2:
+            break
         k = int(sizes[q])
         need = -(-share * k // 100)
         mask[own[q]] = 1
@@ -123,7 +137,7 @@ def link_group(sets: list[np.ndarray], share: int) -> list[int]:
                 continue
             both = np.add.reduceat(mask[tokens[g]], starts[g], dtype=np.int64)
             for i in members[g][100 * both >= share * (k + sizes[members[g]] - both)]:
-                union.join(q, int(i))
+                apart -= union.join(q, int(i))
         mask[own[q]] = 0
     return [union.find(i) for i in range(n)]
 
@@ -181,26 +195,68 @@ def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 32, rows:
 
     base = texts(docs).withColumn("k2", F.xxhash64(F.coalesce("text", F.lit("\0"))))
     sets = written(arrow_map(base, start, "doc_id long, k2 long, n_shingles long, set_key binary, band array<long>, fine array<long>"))
-    met, crowded = _buckets(sets, "band", most_in_bucket)
-    if not crowded.isEmpty():
+    met, wide = _buckets(sets, "band", most_in_bucket)
+    crowded = not wide.isEmpty()
+    if crowded:
         # buckets of too many classes are dealt again by one more MinHash value
-        again = sets.join(crowded.select("set_key").distinct(), "set_key", "left_semi")
-        met = met.unionAll(_buckets(again, "fine", 2**62)[0])
-    # each class's text goes to its groups once; sets are made again there, which costs less than moving them
-    groups = met.groupBy("set_key").agg(F.collect_set("lead").alias("leads"))  # at most one for each band
+        again = sets.join(wide.select("set_key").distinct(), "set_key", "left_semi")
+        finer, wide = _buckets(again, "fine", most_in_bucket)
+        met = met.unionAll(finer)
+        wide = written(wide)
+        met = met.unionAll(_with_first_chunk(wide))
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), "k2")
-    reps = sets.select("set_key", order.alias("o")).groupBy("set_key").agg(F.min("o").alias("o")).join(groups, "set_key").select("set_key", "leads", "o.k1", "o.k2")
-    members = keyed(texts(docs)).join(reps, ["k1", "k2"]).select("set_key", "text", F.explode("leads").alias("lead"))
-    labels = components(_group_edges(members, n, share, values))
+    reps = sets.select("set_key", order.alias("o")).groupBy("set_key").agg(F.min("o").alias("o"))
+
+    def members(groups: DataFrame) -> DataFrame:
+        """Each class's text goes to its groups once; sets are made again there, which costs less than moving them."""
+        at = reps.join(groups.groupBy("set_key").agg(F.collect_set("lead").alias("leads")), "set_key").select("set_key", "leads", "o.k1", "o.k2")
+        return keyed(texts(docs)).join(at, ["k1", "k2"]).select("set_key", "text", F.explode("leads").alias("lead"))
+
+    edges = _group_edges(members(met).withColumn("known", F.lit(None).cast("binary")), n, share, values)
+    if crowded:
+        edges = written(edges)
+    labels = components(edges)
+    if crowded:
+        rest = written(_leftovers(wide, labels, most_in_bucket))
+        if not rest.isEmpty():
+            known = labels.select(F.col("node").alias("set_key"), F.col("label").alias("known"))
+            labels = components(edges.unionAll(_group_edges(members(rest).join(known, "set_key", "left"), n, share, values)))
     return sets.select("doc_id", "k2", "n_shingles", "set_key").join(labels, F.col("set_key") == F.col("node"), "left").select("doc_id", "k2", "n_shingles", F.coalesce("label", "set_key").alias("label"))
 
 
 def _buckets(sets: DataFrame, band: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """(set_key, lead) of the classes in buckets of several classes and of at most ``most`` rows' classes; those in larger ones."""
+    """(set_key, lead) of the classes in buckets of two to ``most`` classes; (set_key, at, chunk, chunks) of those in larger ones."""
     spots = sets.select("set_key", F.explode(band).alias("at"))
     shared = spots.groupBy("at").agg(F.min("set_key").alias("lead"), F.max("set_key").alias("last"), F.count(F.lit(1)).alias("n")).where("lead <> last").select("at", "lead", "n")
     met = written(spots.join(shared, "at").select("set_key", "lead", "at", (F.col("n") > most).alias("large")).distinct())
-    return met.where("not large").select("set_key", "lead").distinct(), met.where("large")
+    # rows were counted so far; classes count
+    large = met.where("large")
+    sized = large.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / most).alias("chunks"))
+    large = large.join(sized, "at")
+    plain = met.where("not large").select("set_key", "lead").unionAll(large.where("chunks = 1").select("set_key", "lead"))
+    return plain.distinct(), large.where("chunks > 1").select("set_key", "at", F.pmod(F.xxhash64("set_key"), F.col("chunks")).alias("chunk"), "chunks")
+
+
+def _group_name(*parts: str | Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)))).alias("lead")
+
+
+def _with_first_chunk(wide: DataFrame) -> DataFrame:
+    """(set_key, lead): each further chunk of a crowded bucket together with the bucket's first chunk."""
+    to = F.when(F.col("chunk") == 0, F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    return wide.select("set_key", "at", F.explode(to).alias("c")).select("set_key", _group_name("at", "c"))
+
+
+def _leftovers(wide: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(set_key, lead): each chunk of a crowded bucket together with each block of its classes outside its largest component."""
+    named = wide.join(labels, F.col("set_key") == F.col("node"), "left").select("set_key", "at", "chunk", "chunks", F.coalesce("label", "set_key").alias("label"))
+    largest = named.groupBy("at", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("at").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"))
+    blocks = largest.where(F.col("n") > F.col("x.n")).select("at", F.col("x.label").alias("main"), F.ceil((F.col("n") - F.col("x.n")) / most).alias("blocks"))
+    open_ = named.join(blocks, "at")
+    here = open_.select("set_key", "at", F.col("chunk").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"))
+    apart = open_.where(F.col("label") != F.col("main")).withColumn("b", F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("blocks")))
+    there = apart.select("set_key", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), "b")
+    return here.unionAll(there).select("set_key", _group_name("at", "c", F.concat(F.lit("b"), F.col("b").cast("string")))).distinct()
 
 
 def _group_edges(members: DataFrame, n: int, share: int, values: int) -> DataFrame:
@@ -210,28 +266,29 @@ def _group_edges(members: DataFrame, n: int, share: int, values: int) -> DataFra
 
     def run(batches):
         sh = once(Shingles, n, values)
-        lead, keys, sets = None, [], []
+        lead, keys, sets, known = None, [], [], []
 
         def close():
             if len(keys) < 2:
                 return []
-            return [(keys[j], keys[i]) for i, j in enumerate(link_group(sets, share)) if i != j]
+            return [(keys[j], keys[i]) for i, j in enumerate(link_group(sets, share, known)) if i != j]
 
         for b in batches:
             out = []
-            for at, key, text in zip(*(c.to_pylist() for c in b.columns)):
+            for at, key, text, label in zip(*(c.to_pylist() for c in b.columns)):
                 if at != lead:
                     out += close()
-                    lead, keys, sets = at, [], []
+                    lead, keys, sets, known = at, [], [], []
                 if keys and keys[-1] == key:
                     continue  # a repeated row
                 keys.append(key)
+                known.append(label)
                 sets.append(sh.of(text))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=arrow)
         out = close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], schema=arrow)
 
-    return members.select("lead", "set_key", "text").repartition("lead").sortWithinPartitions("lead", "set_key").mapInArrow(run, schema)
+    return members.select("lead", "set_key", "text", "known").repartition("lead").sortWithinPartitions("lead", "set_key").mapInArrow(run, schema)
 
 
 def drop_copies(docs: DataFrame, n: int = 5, share: int = 80, bands: int = 32, **tuning) -> DataFrame:

@@ -97,6 +97,28 @@ def test_join_equals_brute_force(docs, most_in_bucket):
     assert got == want
 
 
+def test_crowded_buckets_lose_no_link(spark):
+    """Chains whose ends are far apart, and stray classes, in buckets of more classes than a group may hold."""
+    rows, text = [], prose(7, 150).split()
+    for i in range(60):
+        text[(i * 11) % 150] = f"y{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, changed(prose(8, 150), i, 1 + i % 7)) for i in range(40)]
+    root, sets = linked(rows, 4, 85)
+    least = {}
+    for (i, _), a in zip(rows, root):
+        least[a] = min(least.get(a, i), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df, most_in_bucket=3).collect())
+    assert got == sorted((i, len(s), least[a]) for (i, _), a, s in zip(rows, root, sets))
+
+
+def test_known_links_are_kept():
+    sh = ngram_join.Shingles(4, 4)
+    sets = [sh.of(prose(i, 30)) for i in (1, 2, 3, 3)]
+    assert ngram_join.link_group(sets, 85) == [0, 1, 2, 2] and ngram_join.link_group(sets, 85, [b"a", None, b"a", None]) == [0, 1, 0, 0]
+
+
 def test_link_group_equals_brute_force():
     import numpy as np
 
