@@ -33,8 +33,9 @@ class PieceCodec:
         if model.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only BPE models with identity normalisation and a leading space are supported")
         self.pieces = [p.piece for p in model.pieces]
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == 1}
-        self.ids = {p: i for p, (_, i) in self.rank.items()}
+        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
+        self.rank = {p: n for n, p in enumerate(sorted(self.ids, key=lambda p: (-model.pieces[self.ids[p]].score, self.ids[p])))}
+        self.names = {p: str(i) for p, i in self.ids.items()}
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
@@ -43,73 +44,84 @@ class PieceCodec:
             raise ValueError("a piece holds a space after another character")
         chars = {c for p in self.rank for c in p}
         self.found = ahocorasick.Automaton()
-        for p in self.rank.keys() | chars:  # a piece that merging never reaches can't be in a result
-            if len(p) == 1 or self.merged(p) == [p]:
-                self.found.add_word(p, p)
+        whole = {p for p in self.rank.keys() | chars if len(p) == 1 or self.merged(p) == [p]}  # others can't be in a result
+        for p in whole:
+            self.found.add_word(p, len(p))
         self.found.make_automaton()
+        #: the next shorter piece with which each piece begins
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), "") for p in whole}
         self.fits = Remembered(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
         self.segment = Remembered(self._segment)
 
     def merged(self, text: str) -> list[str]:
         """Merges the best adjacent pair, the leftmost of equals, until none is left: the definition, for short strings."""
-        parts = list(text)
+        parts, rank, none = list(text), self.rank, len(self.rank)
         while len(parts) > 1:
-            best = min(((self.rank[x], i) for i in range(len(parts) - 1) if (x := parts[i] + parts[i + 1]) in self.rank), default=None)
-            if best is None:
+            best, at = none, 0
+            for i in range(len(parts) - 1):
+                if (r := rank.get(parts[i] + parts[i + 1], none)) < best:
+                    best, at = r, i
+            if best == none:
                 break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def longest(self, text: str, at: int) -> str:
+        """The longest piece that starts here; an unknown character stands alone and never merges."""
+        end, n = next(self.found.iter_long(text, at), (at, 1))
+        return text[at : at + (n if end + 1 - n == at else 1)]
+
     def tokens(self, text: str) -> list[str]:
-        starts: list[list[str]] = [[] for _ in text]
-        for end, piece in self.found.iter(text):
-            starts[end + 1 - len(piece)].append(piece)  # shorter pieces end earlier, so the last one is the longest
-        for i, c in enumerate(text):
-            if not starts[i]:
-                starts[i] = [c]  # unknown character: never merges
-        failed = bytearray(len(text) // 8 + 1)
         out: list[str] = []
-        left: list[int] = []  # how many shorter pieces are untried at each chosen one
-        at, k = 0, len(starts[0]) - 1 if text else -1
+        at, last, fits = 0, "", self.fits
+        for end, n in self.found.iter_long(text):  # longest matches from left to right
+            piece = text[at : end + 1]
+            if len(piece) != n or last and not fits[last, piece]:
+                break
+            out.append(piece)
+            at, last = end + 1, piece
+        if at == len(text):
+            return out
+        failed = bytearray(len(text) // 8 + 1)
+        piece, shorter = self.longest(text, at), self.shorter
         while at < len(text):
-            while k >= 0:
-                piece = starts[at][k]
+            while piece:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.fits[out[-1], piece]):
+                if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits[out[-1], piece]):
                     break
-                k -= 1
-            if k >= 0:
+                piece = shorter.get(piece, "")
+            if piece:
                 out.append(piece)
-                left.append(k)
                 at = end
-                k = len(starts[at]) - 1 if at < len(text) else -1
+                piece = self.longest(text, at) if at < len(text) else ""
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                k = left.pop() - 1
+                last = out.pop()
+                at -= len(last)
+                piece = shorter.get(last, "")
         return out
 
-    def _ids(self, segment: str) -> list[int]:
+    def _segment(self, rest: str) -> tuple[int, str, bytes]:
+        """Number of ids, ids joined by commas and decoded bytes of a segment: a space and the rest."""
+        pieces = self.tokens(SPACE + rest)
+        names = list(map(self.names.get, pieces))
+        if None not in names:  # then the pieces are the text itself
+            return len(names), ",".join(names), (SPACE + rest).replace(SPACE, " ").encode()
         ids = []
-        for t in self.tokens(segment):
+        for t in pieces:
             if (i := self.ids.get(t)) is not None:
                 ids.append(i)
             elif self.byte_id:
                 ids += [self.byte_id[b] for b in t.encode()]
             else:
                 ids.append(self.unknown)
-        return ids
-
-    def _segment(self, segment: str) -> tuple[int, str, bytes]:
-        ids = self._ids(segment)
-        plain = self.byte_id and self.byte_of.keys().isdisjoint(ids)  # then the pieces are the text itself
-        return len(ids), ",".join(map(str, ids)), segment.replace(SPACE, " ").encode() if plain else self.raw(ids)
+        return len(ids), ",".join(map(str, ids)), self.raw(ids)
 
     def segments(self, text: str) -> list[str]:
+        """What follows the first space of each segment; the library puts a space before a text."""
         if "  " in text or text.startswith(" ") or SPACE in text:
-            return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+            return [x[1:] for x in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for s in (self.segments(text) if text else ()) for i in self.segment[s][1].split(",")]
@@ -154,9 +166,9 @@ class PieceCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text."""
-        found = [self.segment[s] for s in self.segments(text)] if text else []
-        data = b"".join([x[2] for x in found])
-        return sum(x[0] for x in found), hashlib.sha256(",".join([x[1] for x in found]).encode()).hexdigest(), hashlib.sha256(data[1:] if data[:1] == b" " else data).hexdigest()
+        sizes, ids, parts = zip(*map(self.segment.__getitem__, self.segments(text))) if text else ((), (), ())
+        data = b"".join(parts)
+        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(data[1:] if data[:1] == b" " else data).hexdigest()
 
 
 def encode_pieces(docs: DataFrame, model: str | None = None) -> DataFrame:
