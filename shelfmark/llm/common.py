@@ -69,9 +69,9 @@ def arrow_map(df: DataFrame, start: Callable[[], Callable[..., list]], ddl: str)
     return df.mapInArrow(run, schema)
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def once(kind: type, *args):
-    """An object that a Python worker builds once for all its tasks."""
+    """An object that a Python worker builds once for the tasks of a stage; the last stage's goes, so that none pile up."""
     return kind(*args)
 
 

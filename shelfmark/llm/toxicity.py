@@ -114,7 +114,7 @@ class ToxicityModel:
 
     def open(self) -> None:
         self.terms = Remembered(lambda word: tuple(self.number[t] for t in terms_of(word) if t in self.number))
-        self.scored = Remembered(self._score, 50_000)
+        self.scored = Remembered(self._score, 10_000)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("terms", "scored")}
