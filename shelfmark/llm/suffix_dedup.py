@@ -2,16 +2,19 @@
 
 Suffixes are kept only where a k-word window's hash is the least among the windows of any ``least_words`` consecutive words
 (minimisers): equal passages of that length keep suffixes at equal places. Suffixes whose first k words occur once drop out.
-The others are sorted by their first k words and what follows; each is compared with its neighbours in that order (``reach`` to
-either side) and with the first one in the corpus of those that share its k words, and each match is extended to the right and
-to the left, word by word. Matches of at least ``least_words`` words are repeats; a passage longer than one suffix's context is
-the union of those of its suffixes. Of each repeat, the occurrence in the smallest doc_id (null first, then text, then place)
+Those whose k words at most ``reach`` + 1 suffixes share are sorted by them and what follows; each is compared with its
+neighbours in that order (``reach`` to either side: all that share its k words), and each match is extended to the right and to
+the left, word by word. Matches of at least ``least_words`` words are repeats; a passage longer than one suffix's context is the
+union of those of its suffixes. Where more share their k words, each window of ``least_words`` words with its minimiser there is
+hashed as a whole (64 bits), and windows of equal hashes are repeats: the least and the greatest place of each hash, aggregated
+in each task first and joined back, tell which windows repeat and which are later ones. Every window has one minimiser, so the
+two ways together see them all. Of each repeat, the occurrence in the smallest doc_id (null first, then text, then place)
 stays, the others may be cut.
 
 Words are runs without ASCII white space, compared as they stand. Places in results are word numbers, end exclusive. Repeats
 inside one document count from a distance of ``least_words`` on. Null and short texts have no repeats. Rows with equal doc_id and text are
 one document, and each gets its result. The order is that of hashed words, which groups equal beginnings like any other order.
-The sorted suffixes stream through each task, so that no group of equal suffixes is held in memory.
+The sorted suffixes stream through each task.
 """
 
 from __future__ import annotations
@@ -47,17 +50,35 @@ class Suffixes:
         words = text.encode("utf-8", "surrogatepass").split() if text else []
         return np.array(list(map(self.word.__getitem__, words)), U)
 
+    @staticmethod
+    def _mixed(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the n words from each place on."""
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(at), U)
+            for j in range(n):
+                h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + w[at + j]
+            h = (h ^ (h >> U(32))) * U(0x94D049BB133111EB)
+            return h ^ (h >> U(29))
+
+    def windows(self, w: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of ``least`` words whose minimiser lies at one of the places."""
+        held = np.zeros(len(w) - self.k + 1, bool)
+        held[at] = True
+        near = np.zeros(len(w) - self.least + 2, np.int64)  # windows that contain one of the places
+        np.add.at(near, np.maximum(np.array(at) - self.width, 0), 1)
+        np.add.at(near, np.minimum(np.array(at) + 1, len(near) - 1), -1)
+        p = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        windows = np.lib.stride_tricks.sliding_window_view(self._mixed(w, np.arange(len(held)), self.k), self.width + 1)
+        step = 200_000
+        own = np.concatenate([windows[p[i : i + step]].argmin(axis=1) + p[i : i + step] for i in range(0, len(p), step)])
+        p = p[held[own]]
+        return p, self._mixed(w, p, self.least)
+
     def anchors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the minimisers and the hashes of their k words."""
         if len(w) < self.least:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        n = len(w) - self.k + 1
-        with np.errstate(over="ignore"):
-            h = np.zeros(n, U)
-            for j in range(self.k):
-                h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + w[j : n + j]
-            h = (h ^ (h >> U(32))) * U(0x94D049BB133111EB)
-            h ^= h >> U(29)
+        h = self._mixed(w, np.arange(len(w) - self.k + 1), self.k)
         windows = np.lib.stride_tricks.sliding_window_view(h, self.width + 1)
         step = 200_000
         at = np.unique(np.concatenate([windows[i : i + step].argmin(axis=1) + np.arange(i, min(i + step, len(windows))) for i in range(0, len(windows), step)]))
@@ -78,12 +99,11 @@ def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Neighbours:
-    """Compares suffixes that arrive in sorted order; keeps the last few rows and the first of the current k words."""
+    """Compares suffixes that arrive in sorted order; keeps the last few rows."""
 
     def __init__(self, k: int, least_words: int, reach: int):
         self.k, self.least, self.reach = k, least_words, reach
         self.tail: dict | None = None
-        self.head: dict | None = None
 
     def feed(self, rows: dict[str, np.ndarray]) -> list[np.ndarray]:
         n = len(rows["key"])
@@ -93,40 +113,29 @@ class Neighbours:
         all_ = {c: np.concatenate([self.tail[c], v]) if kept else v for c, v in rows.items()}
         key = all_["key"]
         total = len(key)
-        # the first row of each run of equal keys; a run that began earlier has its first row in head
-        begins = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-        heads = {c: rows[c][begins] for c in rows}
-        if self.head is not None and self.head["key"][0] == rows["key"][0]:
-            heads = {c: np.concatenate([self.head[c], v[1:]]) for c, v in heads.items()}
-        run = np.cumsum(np.concatenate(([False], rows["key"][1:] != rows["key"][:-1])))
-        self.head = {c: v[-1:] for c, v in heads.items()}
         best = np.full((total, 4), -1, np.int64)  # right and left extension: repeated, may be cut
-        of_head = np.full((len(begins), 4), -1, np.int64)
 
-        def match(i: np.ndarray, x: dict, j: np.ndarray, y: dict, other: np.ndarray) -> None:
+        def match(i: np.ndarray, j: np.ndarray) -> None:
             if not len(i):
                 return
-            a, b = _prefix(x["right"][i], y["right"][j]), _prefix(x["left"][i], y["left"][j])
-            length = a + b + self.k
-            same = (x["k1"][i] == y["k1"][j]) & (x["k2"][i] == y["k2"][j])
-            ok = (length >= self.least) & ~(same & (np.abs(x["pos"][i] - y["pos"][j]) < self.least))
+            a, b = _prefix(all_["right"][i], all_["right"][j]), _prefix(all_["left"][i], all_["left"][j])
+            k1, k2, pos = all_["k1"], all_["k2"], all_["pos"]
+            same = (k1[i] == k1[j]) & (k2[i] == k2[j])
+            ok = (a + b + self.k >= self.least) & ~(same & (np.abs(pos[i] - pos[j]) < self.least))
             i, j, a, b, same = i[ok], j[ok], a[ok], b[ok], same[ok]
-            later = (x["k1"][i] > y["k1"][j]) | (x["k1"][i] == y["k1"][j]) & ((x["k2"][i] > y["k2"][j]) | same & (x["pos"][i] > y["pos"][j]))
+            later = (k1[i] > k1[j]) | (k1[i] == k1[j]) & ((k2[i] > k2[j]) | same & (pos[i] > pos[j]))
             for col, v in ((0, a), (1, b)):
                 np.maximum.at(best[:, col], i, v)
                 np.maximum.at(best[:, col + 2], i[later], v[later])
-                np.maximum.at(other[:, col], j, v)
-                np.maximum.at(other[:, col + 2], j[~later], v[~later])
+                np.maximum.at(best[:, col], j, v)
+                np.maximum.at(best[:, col + 2], j[~later], v[~later])
 
         for d in range(1, min(self.reach, total - 1) + 1):
             i = np.flatnonzero(key[d:] == key[:-d]) + d
             i = i[i >= kept]
-            match(i, all_, i - d, all_, best)
-        at = np.arange(n)
-        match(at + kept, all_, run, heads, of_head)
+            match(i, i - d)
         self.tail = {c: v[-self.reach :] for c, v in all_.items()}
-        found = [self._spans(best, all_), self._spans(of_head, heads)]
-        return [np.concatenate(c) for c in zip(*found)]
+        return self._spans(best, all_)
 
     def _spans(self, best: np.ndarray, rows: dict[str, np.ndarray]) -> list[np.ndarray]:
         hit = np.flatnonzero(best[:, 0] >= 0)
@@ -184,32 +193,48 @@ def repeats(docs: DataFrame, k: int = 16, least_words: int = 50, reach: int = 16
     given = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "k1", "k2", F.col("row.text").cast("string").alias("text"))
     rows = written(arrow_map(given, start, "doc_id long, k1 long, k2 long, n_words long, keys array<long>, places array<int>"))
     anchors = rows.where(F.size("keys") > 0).select("k1", "k2", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("k1", "k2", F.col("x.keys").alias("key"), F.col("x.places").alias("pos"))
-    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("first")).where("n > 1").select("key", "first")
-    found = anchors.join(often, "key").select("k1", "k2", "pos", "key", (F.struct("k1", "k2", "pos") == F.col("first")).alias("is_first"))
-    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "key", "is_first")).alias("at"))  # bounded by the text
+    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > reach + 1).alias("crowded"))
+    found = anchors.join(often, "key")
+    lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "key", "crowded")).alias("at"))  # bounded by the text
 
-    schema = StructType.fromDDL("key long, is_first boolean, k1 long, k2 long, pos int, right binary, left binary")
+    # a suffix, or (with neither right nor left) a window under a crowded key, whose key is the hash of the whole window
+    schema = StructType.fromDDL("key long, k1 long, k2 long, pos int, right binary, left binary")
     arrow = to_arrow_schema(schema)
 
     def suffixes(batches):
         s = once(Suffixes, k, least_words)
         for b in batches:
-            out = [[] for _ in arrow]
-            seen = set()
+            out, some = [[] for _ in arrow], []
+            seen, n = set(), 0
             texts_ = b.column(0).field("text").to_pylist()
             for text, k1, k2, at in zip(texts_, *(b.column(i).to_pylist() for i in (1, 2, 3))):
                 if (k1, k2) in seen:
                     continue
                 seen.add((k1, k2))
-                places = [x["pos"] for x in at]
-                right, left = s.contexts(s.hashes(text), places)
-                for col, v in zip(out, ([x["key"] for x in at], [x["is_first"] for x in at], [k1] * len(at), [k2] * len(at), places, right, left)):
+                w = s.hashes(text)
+                few, many = [x for x in at if not x["crowded"]], [x["pos"] for x in at if x["crowded"]]
+                places = [x["pos"] for x in few]
+                right, left = s.contexts(w, places)
+                for col, v in zip(out, ([x["key"] for x in few], [k1] * len(few), [k2] * len(few), places, right, left)):
                     col += v
+                if many:
+                    p, h = s.windows(w, many)
+                    some.append((h.view(np.int64), np.full(len(p), k1), np.full(len(p), k2), p))
+                    n += len(p)
+                if n > 200_000:
+                    yield of_windows(some)
+                    some, n = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(v, x.type) for v, x in zip(out, arrow)], schema=arrow)
+            if some:
+                yield of_windows(some)
+
+    def of_windows(some):
+        cols = [np.concatenate(c) for c in zip(*some)]
+        return pa.RecordBatch.from_arrays([*(pa.array(v).cast(x.type) for v, x in zip(cols, arrow)), *(pa.nulls(len(cols[0]), x.type) for x in list(arrow)[4:])], schema=arrow)
 
     joined = held.join(lists, ["k1", "k2"]).select("row", "k1", "k2", "at")
-    # in the end the first of equal k words leads its run, the others follow in the order of what comes next
-    order = joined.mapInArrow(suffixes, schema).repartition("key").sortWithinPartitions("key", F.desc("is_first"), "right", "k1", "k2", "pos")
+    both = written(joined.mapInArrow(suffixes, schema))
+    order = both.where("right is not null").repartition("key").sortWithinPartitions("key", "right", "k1", "k2", "pos")
     spans = StructType.fromDDL("k1 long, k2 long, dup_from int, dup_to int, cut_from int, cut_to int")
     span_arrow = to_arrow_schema(spans)
     width = least_words - k
@@ -225,7 +250,27 @@ def repeats(docs: DataFrame, k: int = 16, least_words: int = 50, reach: int = 16
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v).cast(x.type) for v, x in zip(found, span_arrow)], schema=span_arrow)
 
-    each = order.mapInArrow(compare, spans)
+    windows = both.where("right is null").select("key", "k1", "k2", "pos")
+    place = F.struct("k1", "k2", "pos")
+    ends = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    other = lambda a, b: (F.col(f"{a}k1") != F.col(f"{b}k1")) | (F.col(f"{a}k2") != F.col(f"{b}k2"))
+    ends = written(ends.where(other("first.", "last.") | (F.col("last.pos") - F.col("first.pos") >= least_words)))
+    later = other("", "first.") | (F.col("pos") - F.col("first.pos") >= least_words)
+    again = later | other("", "last.") | (F.col("last.pos") - F.col("pos") >= least_words)
+    hits = windows.join(ends, "key").where(again).select("k1", "k2", "pos", later.alias("later"))
+
+    def joined_up(batches):
+        """Spans of neighbouring windows, as far as they arrive in order."""
+        for b in batches:
+            k1, k2, pos, cut = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(pos):
+                continue
+            ends_ = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (pos[1:] != pos[:-1] + 1) | (cut[1:] != cut[:-1])
+            a, z = np.flatnonzero(np.concatenate(([True], ends_))), np.flatnonzero(np.concatenate((ends_, [True])))
+            out = [k1[a], k2[a], pos[a], pos[z] + least_words, np.where(cut[a], pos[a], 0), np.where(cut[a], pos[z] + least_words, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(x.type) for v, x in zip(out, span_arrow)], schema=span_arrow)
+
+    each = order.mapInArrow(compare, spans).unionAll(hits.mapInArrow(joined_up, spans))
     dup = F.collect_set(F.struct(F.col("dup_from").alias("a"), F.col("dup_to").alias("b"))).alias("dup")
     cut = F.collect_set(F.when(F.col("cut_to") > 0, F.struct(F.col("cut_from").alias("a"), F.col("cut_to").alias("b")))).alias("cut")
     return rows.select("k1", "k2", "doc_id", "n_words"), each.groupBy("k1", "k2").agg(dup, cut)

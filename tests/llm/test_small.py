@@ -223,6 +223,23 @@ def test_repeats_equal_brute_force(docs):
     assert by == full
 
 
+def test_repeats_under_crowded_keys(spark):
+    """Own words beside a footer of many documents: no sorted neighbour and not the footer's first occurrence shares them."""
+    footer, r, rows = prose(2, 40), random.Random(6), []
+    for i in range(1000):
+        rows.append((i, " ".join([*(f"a{r.randrange(10**9)}" for _ in range(60)), footer, *(f"b{r.randrange(10**9)}" for _ in range(30))])))
+    pairs = {(i, j): f"p{i} " + prose(1000 + i, 19) for i, j in ((100, 700), (330, 331), (5, 999), (0, 500))}
+    for (i, j), own in pairs.items():
+        for at in (i, j):
+            words = rows[at][1].split()
+            rows[at] = (at, " ".join([*words[:40], *own.split(), *words[60:]]))
+    rows[800] = (800, rows[800][1] + " " + rows[800][1])  # 130 words twice in one document
+    got = {x.doc_id: (x.dup_spans, x.cut_spans) for x in suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = dict.fromkeys(range(1000), ("", ""))
+    want |= {i: ("40:100", "") for i, _ in pairs} | {j: ("40:100", "40:100") for _, j in pairs} | {800: ("0:260", "130:260")}
+    assert got == want
+
+
 def test_cut_repeats(spark, docs, none):
     passage = prose(2, 60)
     out = suffix_dedup.cut_repeats(docs)
