@@ -19,25 +19,26 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Remembered, arrow_map, written
 
-METRICS = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.10, "repeat_share": 0.10}
+#: Metrics and the floors on their ranges; with quartiles at 0, the shares' fences lie at 0.24 of the lines and 0.12 of the words.
+METRICS = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.04, "repeat_share": 0.02}
 
 
 class TextMetrics:
     def __init__(self):
         self.number = Remembered(lambda w: len(self.number), 2_000_000)
 
-    def of(self, text: str) -> tuple[int, int, int, int, int]:
-        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    def of(self, text: str) -> tuple[int, int, int, int, int, int]:
+        """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word)."""
         data = text.encode("utf-8", "surrogatepass")
         words = data.split()  # bytes split on exactly the six ASCII white-space characters
         joined = b"".join(words)
         chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "surrogatepass"))
         symbols = len(joined) - len(joined.translate(None, b"#*$%&|<>"))
-        dup = 0
+        dup, n_lines = 0, int(bool(words))
         if b"\n" in data:
             lines = [x for x in data.split(b"\n") if x and not x.isspace()]
-            dup = len(lines) - len(set(lines))
-        return len(words), chars, symbols, dup, self.repeated(words)
+            dup, n_lines = len(lines) - len(set(lines)), len(lines)
+        return len(words), chars, symbols, dup, self.repeated(words), n_lines
 
     def repeated(self, words: list[bytes]) -> int:
         """Words that lie in a three-word window found at least twice."""
@@ -73,12 +74,12 @@ def metrics(docs: DataFrame) -> DataFrame:
 
         def f(doc_id, lang, source, text):
             rows = [m.of(t or "") for t in text]
-            return [doc_id, lang, source, *([x[i] for x in rows] for i in range(5))]
+            return [doc_id, lang, source, *([x[i] for x in rows] for i in range(6))]
 
         return f
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, start, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return arrow_map(rows, start, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
 
 
 def fences(good: DataFrame, by: list[str], reach: float, accuracy: int) -> DataFrame:
@@ -100,7 +101,7 @@ def judge(docs: DataFrame, least_rows: int = 50, reach: float = 6.0, accuracy: i
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "word_length": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-        "dup_line_share": F.col("n_dup_lines") / words,
+        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words,
     })
     rows = written(rows)

@@ -453,3 +453,20 @@ def test_quality_metrics_and_verdicts(spark, docs, none):
     out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(clean, "doc_id long, text string, lang string, source string")).collect()}
     assert not out[500].kept and "symbol_share" in out[500].reasons and sum(out[i].kept for i in range(120)) >= 118 and out[501].kept
     assert quality_rules.judge(none).collect() == []
+
+
+def test_quality_fences_act_on_repetition(spark):
+    def lines(i: int, n: int) -> str:
+        return "\n".join(f"line{j} of{i} " + " ".join(f"w{i}x{j}y{k}" for k in range(8)) for j in range(n))
+
+    rows = [(i, lines(i, 20), "en", "s") for i in range(120)]
+    # 16 of 40 lines are repeats: short ones, so that few of the words are
+    rows += [(500 + i, lines(500 + i, 20) + "\n" + "\n".join(f"go{j % 4} on" for j in range(20)), "en", "s") for i in range(3)]
+    # 30 to 45 of 100 words lie in repeated windows
+    for i, n in enumerate((15, 18, 22)):
+        once, again = [f"v{i}x{k}" for k in range(100 - 2 * n)], [f"r{i}x{k}" for k in range(n)]
+        rows.append((600 + i, " ".join([*again, *once, *again]), "en", "s"))
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i].kept for i in range(120)) and not any(r.base_failed for r in out.values())
+    assert all(not out[500 + i].kept and "dup_line_share" in out[500 + i].reasons for i in range(3))
+    assert all(0.3 <= out[600 + i].n_repeat_words / 100 <= 0.45 and out[600 + i].reasons == "repeat_share" for i in range(3))
