@@ -118,7 +118,8 @@ def with_spans(docs: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     rows = rows.withColumn("s_assign", F.filter("s_assign", lambda s, i: F.get(long_value, i)))
     rows = rows.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
     base = F.col("base")
-    free = F.filter("s_markov", lambda s, i: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])) & (mean_ratio(F.get(F.col("m_markov"), i), llr) > threshold))
+    # a token that reaches beyond a base span is scored as a whole
+    free = F.filter("s_markov", lambda s, i: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])) & (mean_ratio(F.get(F.col("m_markov"), i), llr) > threshold))
     return rows.withColumn("spans", F.when(F.size("s_markov") == 0, base).otherwise(F.array_sort(F.concat(base, free))))
 
 

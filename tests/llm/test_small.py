@@ -188,6 +188,13 @@ def test_redaction(spark, docs, none):
     assert secret_scan.scan_secrets(none).collect() == []
 
 
+def test_tokens_beyond_base_spans(spark, prose_model):
+    token = "xoxb-0123456789abcdef01234567-AbCdEfx7Kq92LmZp04RtVw81YsBn63"
+    df = spark.createDataFrame([(1, f"key {token} end")], "doc_id long, text string")
+    assert secret_scan.scan_secrets(df, prose_model).first().spans == f"markov:4:{4 + len(token)},hex:9:33"
+    assert secret_scan.redact(df, prose_model).first().text == "key [SECRET] end"
+
+
 def test_secrets_stay_native(spark, prose_model):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = secret_scan.scan_secrets(df, prose_model)._jdf.queryExecution().executedPlan().toString()
