@@ -3,32 +3,37 @@
 Tiers are the powers of two from 128 to the window. Documents are routed by length: whole windows are sequences of the longest
 tier, and what is left of a document goes to the shortest tier that holds it. Each tier is packed, from the longest down: a
 rest opens a sequence of its tier, whose gap is filled from the shorter tiers, longest rest that fits first, cutting one where
-none fits. Rests that fill no sequence wait for the task's later documents. Finished sequences are dealt into step groups of
-equal numbers of ids.
+none fits. Rests that fill no sequence wait for the task's later documents. A task's last rests are cut into sequences of falling
+tiers; what is left then, less than the shortest tier, is the one short sequence that a task may have.
 
-Every task packs its own rows, so nothing is shuffled; at most one sequence for each tier and task is short. Sequence ids hold
-the task's number in the upper bits. Null texts count as empty: such a document still has its end id. Repeated rows are
-documents of their own. Every id of every document lies in exactly one piece.
+Every task packs its own rows, so no text is shuffled. Each tier's sequences are numbered over all tasks (from a small table of
+their numbers by task and tier) and dealt to the step groups in turn: the groups of the whole run hold equal numbers of each
+tier's sequences, to within one. Sequence ids hold the task's number in the upper bits.
+
+Null texts count as empty: such a document still has its end id. Repeated rows are documents of their own. Every id of every
+document lies in exactly one piece. The vocabulary's added tokens in a text are their own ids, as the tokenizers library has it.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import struct
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from shelfmark.llm.common import Remembered, once, texts
+from shelfmark.llm.common import Remembered, once, texts, written
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, place long"
 #: The splitting pattern of the vocabulary, with its white space (Unicode White_Space) spelt out.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
@@ -40,21 +45,37 @@ def _length(piece: tuple) -> int:
     return piece[3]
 
 
+def byte_names() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable Latin-1 ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class BytePairIds:
-    """The ids that the tokenizers library gives, from the same vocabulary as ranks, with frequent words remembered.
+    """The ids that the tokenizers library gives for a byte-level vocabulary (JSON), with frequent words remembered.
 
-    Byte-level merges never leave a part of the splitting pattern, so parts are encoded alone. Where spaces touch no other
-    white space, the pattern never joins text across a space and gives each following word its leading space: such texts are
-    looked up word by word, others part by part.
+    Added tokens are taken out of a text first. Byte-level merges never leave a part of the splitting pattern, so parts are
+    encoded alone. Where spaces touch no other white space, the pattern never joins text across a space and gives each following
+    word its leading space: such texts are looked up word by word, others part by part.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 200_000):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split, added = spec["model"], spec["pre_tokenizer"], spec["added_tokens"]
+        if spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in added):
+            raise ValueError("only byte-level vocabularies without normalisation and with plain added tokens are supported")
+        names = byte_names()
+        self.added = {x["content"]: struct.pack("<I", x["id"]) for x in added}
+        ranks = {bytes(map(names.__getitem__, k)): v for k, v in model["vocab"].items() if k not in self.added}
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("the ids of the vocabulary must follow the order of its merges")
         self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.parts = regex.compile(SPLIT)
+        self.at_added = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) or "(?!)")
         self.end = struct.pack("<I", end_id)
         self.part = Remembered(self._part, most)
         self.word = Remembered(self._word, most)
@@ -66,36 +87,44 @@ class BytePairIds:
     def _word(self, word: str) -> bytes:
         return b"".join([self.part[x] for x in self.parts.findall(" " + word)])
 
-    def encode(self, text: str) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids, the end id last."""
+    def _plain(self, text: str) -> bytes:
         if "  " in text or "\n " in text or " \n" in text or any(c in text for c in ODD_ASCII) or not text.isascii() and any(c in text for c in ODD):
-            found = map(self.part.__getitem__, self.parts.findall(text))
-            return np.frombuffer(b"".join(found) + self.end, "<u4")
+            return b"".join(map(self.part.__getitem__, self.parts.findall(text)))
         first, *words = text.split(" ")
         head = b"".join([self.part[x] for x in self.parts.findall(first)]) if first else b""
-        return np.frombuffer(head + b"".join(map(self.word.__getitem__, words)) + self.end, "<u4")
+        return head + b"".join(map(self.word.__getitem__, words))
+
+    def encode(self, text: str) -> np.ndarray:
+        """Little-endian unsigned 32-bit ids, the end id last."""
+        if any(x in text for x in self.added):
+            found, at = [], 0
+            for m in self.at_added.finditer(text):
+                found += [self._plain(text[at : m.start()]) if m.start() > at else b"", self.added[m.group()]]
+                at = m.end()
+            found.append(self._plain(text[at:]) if at < len(text) else b"")
+            return np.frombuffer(b"".join(found) + self.end, "<u4")
+        return np.frombuffer(self._plain(text) + self.end, "<u4")
 
 
 class Packer:
     """Packs documents' ids into sequences of several tiers; out holds the pieces of finished sequences."""
 
-    def __init__(self, window: int, first_id: int, groups: int, least_tier: int = 128):
+    def __init__(self, window: int, first_id: int, least_tier: int = 128):
         self.window, self.next_id, self.least_tier = window, first_id, min(window, least_tier)
         self.rests: list[tuple] = []  # (doc_id, ids of the document, start, length), by length
         self.out: list[tuple] = []
-        self.loads = [0] * groups
+        self.made: Counter = Counter()  # sequences by tier
 
     def tier(self, n: int) -> int:
         """The shortest tier that holds n ids."""
         return max(self.least_tier, 1 << max(0, n - 1).bit_length())
 
     def emit(self, tier: int, pieces: list[tuple]) -> None:
-        """A finished sequence; the step group with the fewest ids so far takes it."""
-        group = self.loads.index(min(self.loads))
-        self.loads[group] += tier
-        at = 0
+        """A finished sequence."""
+        at, place = 0, self.made[tier]
+        self.made[tier] += 1
         for doc_id, ids, start, n in pieces:
-            self.out.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.next_id, at, tier, group))
+            self.out.append((doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), self.next_id, at, tier, place))
             at += n
         self.next_id += 1
 
@@ -136,13 +165,14 @@ class Packer:
                 self.rests += open_
 
     def close(self, pieces: list[tuple]) -> None:
-        """The task's last rests, cut into sequences of falling tiers: each is full, so none needs padding."""
+        """The task's last rests, cut into full sequences of falling tiers, and a short one of what is left then."""
         total = sum(x[3] for x in pieces)
         tier = self.window
         while total:
-            while tier > total:
+            while tier > max(total, self.least_tier):
                 tier //= 2
-            taken, room = [], tier
+            taken, room = [], min(tier, total)
+            total -= room
             while room:
                 doc_id, ids, start, n = pieces.pop(0)
                 take = min(n, room)
@@ -151,14 +181,13 @@ class Packer:
                     pieces.insert(0, (doc_id, ids, start + take, n - take))
                 room -= take
             self.emit(tier, taken)
-            total -= tier
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: int = 0, groups: int = 8) -> DataFrame:
     """Pieces of every document in sequences of at most ``window`` (a power of two) ids.
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; tier is the sequence's length, step_group the group of
-    the task's sequences that it is dealt to.
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; tier is the sequence's length, step_group the group that
+    it is dealt to.
     """
     if window & (window - 1) or window < 1:
         raise ValueError("window must be a power of two")
@@ -167,7 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
 
     def run(batches):
         codec = once(BytePairIds, path or _default_vocabulary(), end_id)
-        packer = Packer(window, TaskContext.get().partitionId() << 33, groups)
+        packer = Packer(window, TaskContext.get().partitionId() << 33)
 
         def drain(most: int):
             for i in range(0, len(packer.out) if most == 0 else len(packer.out) // most * most, most or max(1, len(packer.out))):
@@ -183,10 +212,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
         packer.pack(last=True)
         yield from drain(0)
 
-    return texts(docs).mapInArrow(run, schema)
+    pieces = written(texts(docs).mapInArrow(run, schema)).withColumn("task", F.shiftright("sequence_id", 33))
+    # a row for each task and tier
+    made = pieces.groupBy("task", "tier").agg((F.max("place") + 1).alias("n"))
+    before = made.select("task", "tier", (F.sum("n").over(Window.partitionBy("tier").orderBy("task")) - F.col("n")).alias("before"))
+    return pieces.join(before, ["task", "tier"]).withColumn("step_group", F.pmod(F.col("before") + F.col("place"), F.lit(groups).cast("long"))).drop("task", "place", "before")
 
 
 def _default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
