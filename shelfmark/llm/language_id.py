@@ -1,14 +1,19 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A word's subwords are its character n-grams (1 to 4, with word marks) and the word itself, hashed into a fixed number of
-buckets. A text is the average of its subwords' embeddings; a linear layer and softmax give the language. Since averaging is
-linear, embeddings and layer are multiplied once after training: a text's logits are the mean of its words' rows, and words
-are remembered. Temperature is fitted on a fold of the training sample that training does not see; so is the score under
-which a prediction counts as rejected (the given quantile of the scores of right predictions).
-
-Only text and non-null lang of the rows outside the held-out fold are learned from, at most ``per_lang`` rows of each language
-(chosen by a hash of id and text) and at most ``most_langs`` languages, the most frequent first. A null text, or one without a
-letter, is ``und`` with score 0. With nothing to learn from, every text is ``und``. Every row gives one row.
+buckets. A run of over ``LONGEST`` characters (as in scripts without spaces) counts as overlapping words of that length, so that
+all of its n-grams are read. A text is the average of its subwords' embeddings; a linear layer and softmax give the language, the
+first by name where two are equally likely. Since averaging is linear, embeddings and layer are multiplied once after training: a
+text's logits are the mean of its words' rows, and words are remembered. Temperature is fitted on a fold of the training sample
+that training does not see; so is the score under which a prediction counts as rejected (the given quantile of the scores of right
+predictions).
+
+Only text and non-null lang of the rows outside the held-out fold are learned from: of each language the ``per_lang`` rows (or
+fewer, where there are more than ``most_rows`` / ``per_lang`` languages) of smallest hash of id and text; each gives ``words`` and
+again ``short_words`` words from places all over its text. Every language is learned; the model has a column for each.
+
+A null text, or one without a letter, is ``und`` with score 0. With nothing to learn from, every text is ``und``. Every row gives
+one row; equal texts have equal results.
 """
 
 from __future__ import annotations
@@ -17,33 +22,45 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Remembered, arrow_map, crc_fold
 
 LETTER = re.compile(r"[^\W\d_]")
+LONGEST = 64
 _SPACES = {ord(c): " " for c in "0123456789.,;:!?\"'()[]{}<>|#*$%&/\\@+=_-~^`\n\t\r"}
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    marked = f"<{word}>"
-    grams = [marked, *word, *(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams]
+class Subwords(Remembered):
+    """Buckets of n-grams, those of frequent n-grams remembered."""
+
+    def __init__(self, buckets: int):
+        super().__init__(lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets)
+
+    def of(self, word: str) -> list[int]:
+        marked = f"<{word}>"
+        n = len(marked)
+        grams = [marked, *word, *[marked[i : i + 2] for i in range(n - 1)], *[marked[i : i + 3] for i in range(n - 2)], *[marked[i : i + 4] for i in range(n - 3)]]
+        return list(map(self.__getitem__, grams))
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().translate(_SPACES).split()
+    words = text.lower().translate(_SPACES).split()
+    if words and max(map(len, words)) > LONGEST:
+        # parts that overlap by three characters hold every n-gram
+        return [part for w in words for part in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - 3, LONGEST - 3)])]
+    return words
 
 
 class LanguageModel:
-    def __init__(self, langs: list[str], table: np.ndarray, temperature: float, floor: float, remembered: int = 300_000):
+    def __init__(self, langs: list[str], table: np.ndarray, temperature: float, floor: float, remembered: int = 200_000):
         self.langs, self.table, self.temperature, self.floor = langs, table, temperature, floor
         self.rows = np.empty((remembered + 1, table.shape[1] + 1), np.float32)  # a word's summed rows and their number
-        self.word = Remembered(self._word, remembered)
+        self.word, self.subwords = Remembered(self._word, remembered), Subwords(len(table))
 
     def _word(self, word: str) -> int:
-        rows = subwords(word[:64], len(self.table))
+        rows = self.subwords.of(word)
         at = len(self.word)
         self.rows[at, :-1] = self.table[rows].sum(axis=0)
         self.rows[at, -1] = len(rows)
@@ -56,7 +73,7 @@ class LanguageModel:
             part = words[i : i + 100_000]
             if len(self.word) + len(part) > self.word.most:
                 self.word.clear()  # here, so that no number of this part is given twice
-            z += self.rows[[self.word[w] for w in part]].sum(axis=0)
+            z += self.rows[list(map(self.word.__getitem__, part))].sum(axis=0)
         z = z[:-1] / max(1.0, z[-1])
         e = np.exp((z - z.max()) * self.temperature)
         return e / e.sum()
@@ -69,22 +86,19 @@ class LanguageModel:
         return self.langs[i], float(p[i]), bool(p[i] < self.floor)
 
 
-def fit(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, rate: float = 20.0, words: int = 300, reject: float = 0.005, seed: int = 3) -> LanguageModel:
-    """Trains on (text, lang) rows. Each text gives up to two training bags of at most ``words`` words, from its whole length."""
-    langs = sorted({lang for _, lang in rows})
+def fit(samples: list[tuple[list[str], str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, rate: float = 20.0, reject: float = 0.005, seed: int = 3) -> LanguageModel:
+    """Trains on samples (words, lang)."""
+    langs = sorted({lang for _, lang in samples})
     if not langs:
         return LanguageModel([], np.zeros((buckets, 1), np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    cache = Remembered(lambda w: np.array(subwords(w[:64], buckets), np.int64))
-    bags, ys = [], []
-    for text, lang in sorted(rows):
-        own = words_of(text)
-        if not own:
-            continue
-        for size in (words, 12):  # long and short samples, so that short texts are known too
-            some = own if len(own) <= size else [own[i] for i in rng.integers(0, len(own), size)]
-            bags.append(np.concatenate([cache[w] for w in some]))
-            ys.append(langs.index(lang))
+    subwords = Subwords(buckets)
+    bags, ys, number = [], [], {lang: i for i, lang in enumerate(langs)}
+    for words, lang in sorted(samples):
+        if words:
+            at, n = np.unique(np.array([x for w in words for x in subwords.of(w)]), return_counts=True)
+            bags.append((at, (n / n.sum()).astype(np.float32)))
+            ys.append(number[lang])
     if not bags:
         return LanguageModel(langs, np.zeros((buckets, len(langs)), np.float32), 1.0, 0.0)
     embed = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
@@ -96,18 +110,18 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epoc
         for i in rng.permutation(train):
             lr = rate * (1 - steps / total) / 100
             steps += 1
-            x = bags[i]
-            h = embed[x].mean(axis=0)
+            at, share = bags[i]
+            h = share @ embed[at]
             z = h @ out
             p = np.exp(z - z.max())
             p /= p.sum()
             p[ys[i]] -= 1
             back = out @ p
             out -= lr * np.outer(h, p)
-            np.subtract.at(embed, x, (lr / len(x)) * back)
+            embed[at] -= np.outer(lr * share, back)
     table = embed @ out
     check = np.flatnonzero(fold) if len(bags) >= 20 else train
-    z = np.array([table[bags[i]].mean(axis=0) for i in check])
+    z = np.array([bags[i][1] @ table[bags[i][0]] for i in check])
     y = np.array([ys[i] for i in check])
 
     def loss(t: float) -> float:
@@ -121,30 +135,41 @@ def fit(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epoc
     return LanguageModel(langs, table.astype(np.float32), temperature, float(np.quantile(right, reject)) if len(right) else 0.0)
 
 
-def sample(docs: DataFrame, per_lang: int, most_langs: int, most_chars: int = 20_000) -> list[tuple[str, str]]:
-    """The bounded training sample, brought to the driver: at most per_lang rows of each of most_langs languages.
+def sample(docs: DataFrame, per_lang: int = 600, most_rows: int = 12_000, words: int = 300, short_words: int = 12) -> list[tuple[list[str], str]]:
+    """The bounded training sample (words, lang), brought to the driver: two rows for each sampled text.
 
-    A training text longer than most_chars gives that many characters: this bounds the driver's memory.
+    One pass counts the languages, one reads the texts whose hash is small; their words are drawn inside the tasks.
     """
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id")) != 2))
-    # the sort key holds no text; a bounded number of rows of each language leaves each task
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    picks = []
-    for r in counts:
-        share = min(1.0, 4.0 * per_lang / r["count"])
-        own = rows.where(F.col("lang") == r["lang"]).withColumn("h", F.xxhash64("doc_id", F.length("text")))
-        if share < 1:
-            own = own.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000))
-        picks.append(own.orderBy("h", "doc_id").limit(per_lang).select(F.substring("text", 1, most_chars).alias("text"), "lang"))
-    out = []
-    for p in picks:
-        out += [(r["text"], r["lang"]) for r in p.collect()]
-    return out
-
-
-def predict_language(docs: DataFrame, per_lang: int = 600, most_langs: int = 64, **training) -> DataFrame:
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id")) != 2))
+    counts = rows.groupBy("lang").count().collect()  # one row for each language
+    if not counts:
+        return []
+    most = max(1, min(per_lang, most_rows // len(counts)))
+    # four times as many as needed, as hashes are spread only roughly evenly
+    limits = [(r["lang"], min(2**63 - 1, int(-(2**63) + 4.0 * most / r["count"] * 2**64))) for r in counts]
+    small = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long"))
+    some = rows.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text")).join(small, "lang").where(F.col("h") <= F.col("below"))
+
+    def start():
+        def f(lang, h, text):
+            out = [[], []]
+            for t, seed in zip(text, h):
+                own, rng = words_of(t), np.random.default_rng(seed & (2**63 - 1))
+                for bag, size in zip(out, (words, short_words)):  # short samples, so that short texts are known too
+                    bag.append(own if len(own) <= size else [own[i] for i in rng.integers(0, len(own), size)])
+            return [lang, h, *out]
+
+        return f
+
+    bags = arrow_map(some.select("lang", "h", "text"), start, "lang string, h long, long array<string>, short array<string>").dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    found = bags.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "long", "short").collect()  # at most most_rows, or one for each language
+    return [(bag, r["lang"]) for r in found for bag in (r["long"], r["short"])]
+
+
+def predict_language(docs: DataFrame, per_lang: int = 600, most_rows: int = 12_000, **training) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row."""
-    model = fit(sample(docs, per_lang, most_langs), **training)
+    model = fit(sample(docs, per_lang, most_rows), **training)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.temperature, model.floor))
 
     def start():
