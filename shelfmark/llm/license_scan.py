@@ -1,9 +1,11 @@
 """Licence scans: matching statistics against a generalised suffix automaton of licence templates.
 
-The automaton holds every word sequence of the templates. A text streams through it once, which gives for each word the
-longest run ending there that some template holds. Maximal runs of at least ``shortest`` words, or whole short templates, are
-matches; matches of one template that follow each other in text and template with small gaps are chained into a span, and a
-template whose chained words cover enough of it, or of a run long enough to be telling, gives its label.
+The automaton holds every word sequence of the templates: whole public licence texts (files in ``licences``) and short notices.
+A text streams through it once, which gives for each word the longest run ending there that some template holds, and the state
+reached gives all places of that run in the templates. Maximal runs of at least three words are matches; matches of one template
+that follow each other in text and template with small gaps are chained into a span, and a template whose chained words cover
+enough of it, or of a run long enough to be telling, gives its label. Of the open chains of a template that end at the same place
+of it one is kept (the longest), so their number is bounded by the template and time grows in proportion to the text.
 
 Words are runs of characters outside [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after lower-casing A-Z. Base labels come from fixed
 phrases and always stay. Null counts as empty; a text without words has no labels, null places and score 0.
@@ -11,7 +13,9 @@ phrases and always stay. Null counts as empty; a text without words has no label
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import functools
+import pkgutil
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +25,10 @@ from shelfmark.llm.common import arrow_map, once, texts
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Openings and telling sentences of public licence texts, by label.
+#: Labels of the whole licence texts in the folder ``licences``.
+WHOLE = ("apache-2.0", "bsd", "cc0", "gpl", "isc", "mit", "mpl-2.0")
+
+#: Notices of public licences, by label.
 TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2.0",
@@ -31,8 +38,6 @@ TEMPLATES = {
     "mit": [
         "released under the mit license",
         "licensed under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
@@ -40,8 +45,6 @@ TEMPLATES = {
         "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
     ],
     "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
         "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     ],
     "cc-by": [
@@ -51,7 +54,6 @@ TEMPLATES = {
         "this work is licensed under a creative commons attribution 4.0 international license",
     ],
     "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "reserved": ["copyright all rights reserved", "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher"],
 }
 
@@ -63,37 +65,45 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_SEPARATORS).split()
 
 
+@functools.cache
+def whole_texts() -> dict[str, list[str]]:
+    """The whole licence texts by label, from the package's files."""
+    return {label: [pkgutil.get_data(__package__, f"licences/{label}.txt").decode()] for label in WHOLE}
+
+
 class SuffixAutomaton:
-    """Generalised suffix automaton over sequences of word numbers. Each state keeps one (template, end) that shows it."""
+    """Generalised suffix automaton over sequences of word numbers."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.shown = [-1], [0], [(0, 0)]
+        self.link, self.length = [-1], [0]
+        prefixes = []
         for t, words in enumerate(sequences):
             last = 0
             for at, w in enumerate(words):
-                last = self._extend(last, w, (t, at + 1))
+                last = self._extend(last, w)
+                prefixes.append((last, (t, at + 1)))
+        self._number(prefixes)
 
-    def _state(self, length: int, edges: dict[int, int], link: int, shown: tuple[int, int]) -> int:
+    def _state(self, length: int, edges: dict[int, int], link: int) -> int:
         self.next.append(edges)
         self.length.append(length)
         self.link.append(link)
-        self.shown.append(shown)
         return len(self.next) - 1
 
     def _split(self, p: int, w: int, q: int) -> int:
         """A copy of q for the strings that are one longer than p's longest."""
-        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], self.shown[q])
+        copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = copy
             p = self.link[p]
         return copy
 
-    def _extend(self, last: int, w: int, shown: tuple[int, int]) -> int:
+    def _extend(self, last: int, w: int) -> int:
         if (q := self.next[last].get(w)) is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        new = self._state(self.length[last] + 1, {}, 0, shown)
+        new = self._state(self.length[last] + 1, {}, 0)
         p = last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = new
@@ -103,6 +113,31 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, w, q)
         return new
 
+    def _number(self, prefixes: list[tuple[int, tuple[int, int]]]) -> None:
+        """Lays the prefixes' ends out so that those of all strings of a state (its subtree of links) are one slice."""
+        own: list[list] = [[] for _ in self.next]
+        below: list[list[int]] = [[] for _ in self.next]
+        for state, end in prefixes:
+            own[state].append(end)
+        for state, up in enumerate(self.link):
+            if up >= 0:
+                below[up].append(state)
+        self.ends: list[tuple[int, int]] = []
+        self.slices = [slice(0)] * len(self.next)
+        walk = [(0, -1)]
+        while walk:
+            state, first = walk.pop()
+            if first < 0:
+                walk.append((state, len(self.ends)))
+                self.ends += own[state]
+                walk += [(x, -1) for x in below[state]]
+            else:
+                self.slices[state] = slice(first, len(self.ends))
+
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """All (template, end) of the strings that lead to a state."""
+        return self.ends[self.slices[state]]
+
     def statistics(self, words: list[int]) -> list[tuple[int, int]]:
         """For each place, the length of the longest known run that ends there, and its state."""
         out, state, n = [], 0, 0
@@ -122,18 +157,16 @@ class LicenseScanner:
         self.shortest, self.gap, self.cover, self.telling = shortest, gap, cover, telling
         self.number: dict[bytes, int] = {}
         self.labels, sequences = [], []
-        for label, lines in (templates or TEMPLATES).items():
-            for line in lines:
+        for given in (templates,) if templates else (TEMPLATES, whole_texts()):
+            for label, line in ((label, line) for label, lines in given.items() for line in lines):
                 self.labels.append(label)
                 sequences.append([self.number.setdefault(w, len(self.number)) for w in words_of(line)])
         self.sequences = sequences
         self.phrases = [(tuple(words_of(p)), label) for p, label in PHRASES.items()]
         self.first = {p[0] for p, _ in self.phrases}
         self.automaton = SuffixAutomaton(sequences)
-        self.places: dict[tuple, list[tuple[int, int]]] = {}
-        for t, seq in enumerate(sequences):
-            for i in range(len(seq) - 2):
-                self.places.setdefault(tuple(seq[i : i + 3]), []).append((t, i))
+        sizes = [len(seq) for seq in sequences]
+        self.need = [min(n, max(shortest, int(np.ceil(cover * n))), max(telling, shortest)) for n in sizes]
 
     def base(self, words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
         """All places of the phrases: number, smallest and largest start, labels."""
@@ -152,52 +185,49 @@ class LicenseScanner:
                         labels.add(label)
         return n, lo, hi, labels
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """Maximal runs (template, start in the template, start in the text, length) in text order."""
         number = self.number
         ids = [number.get(w, -1) for w in words]
-        found = []
         known = np.flatnonzero(np.array(ids) >= 0)
         if len(known) < 3:
-            return found
+            return
         for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
             if len(run) < 3:
                 continue
             a, b = int(run[0]), int(run[-1]) + 1
             stats = self.automaton.statistics(ids[a:b])
-            for i, (n, _) in enumerate(stats):
+            for i, (n, state) in enumerate(stats):
                 if n >= 3 and (i + 1 == len(stats) or stats[i + 1][0] <= n):  # can't be longer with the next word
-                    start = a + i + 1 - n
-                    for t, at in self.places.get(tuple(ids[start : start + 3]), ()):
-                        if self.sequences[t][at : at + n] == ids[start : start + n]:
-                            found.append((t, at, start, n))
-        return found
+                    for t, end in self.automaton.places(state):
+                        yield t, end - n, a + i + 1 - n, n
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
         """Covered template spans: (template, first word, end word, matched words)."""
-        by: dict[int, list] = {}
+        out: list[tuple[int, int, int, int]] = []
+        open_: dict[int, dict[int, list[int]]] = {}  # template, its end: [text start, text end, matched]
+
+        def close(t: int, c: list[int]) -> None:
+            if c[2] >= self.need[t]:
+                out.append((t, *c))
+
         for t, at, start, n in self.matches(words):
-            by.setdefault(t, []).append((start, at, n))
-        out = []
-        for t, found in by.items():
-            chains: list[list[int]] = []  # [text start, text end, template end, matched]
-            ends: list[int] = []
-            for start, at, n in sorted(found):
-                i = bisect_left(ends, start - self.gap)
-                for c in chains[i:]:
-                    if c[1] <= start + 2 and 0 <= at + n - c[2] and -2 <= start - c[1] <= self.gap and -2 <= at - c[2] <= self.gap:
-                        c[3] += start + n - max(c[1], start)
-                        c[1], c[2] = start + n, at + n
-                        break
-                else:
-                    chains.append([start, start + n, at + n, n])
-                ends = [c[1] for c in chains]
-                if any(x > y for x, y in zip(ends, ends[1:])):
-                    chains.sort(key=lambda c: c[1])
-                    ends = [c[1] for c in chains]
-            need = min(max(self.shortest, int(np.ceil(self.cover * len(self.sequences[t])))), max(self.telling, self.shortest))
-            need = min(need, len(self.sequences[t]))
-            out += [(t, c[0], c[1], c[3]) for c in chains if c[3] >= need]
+            chains, best = open_.setdefault(t, {}), None
+            for end in range(at - self.gap, min(at + 2, at + n) + 1):
+                c = chains.get(end)
+                if c and -2 <= start - c[1] <= self.gap and (best is None or c[2] > chains[best][2]):
+                    best = end
+            c = chains.pop(best) if best is not None else [start, start, 0]
+            c[1], c[2] = start + n, c[2] + start + n - max(c[1], start)
+            old = chains.get(at + n)
+            if old and start - old[1] <= self.gap and old[2] > c[2]:
+                old, c = c, old  # the longer of two open chains goes on
+            if old:
+                close(t, old)
+            chains[at + n] = c
+        for t, chains in open_.items():
+            for c in chains.values():
+                close(t, c)
         return out
 
     def scan(self, text: str) -> tuple:
