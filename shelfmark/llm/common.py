@@ -76,13 +76,18 @@ def once(kind: type, *args):
 
 
 class Remembered(dict):
-    """A dict that computes missing values with f and starts over at a fixed number of entries."""
+    """A dict that computes missing values with f and starts over at a fixed number of entries.
 
-    def __init__(self, f: Callable, most: int = 400_000):
+    Values of keys longer than ``longest`` are computed each time, so that the number of bytes has a bound too.
+    """
+
+    def __init__(self, f: Callable, most: int = 200_000, longest: int = 64):
         super().__init__()
-        self.f, self.most = f, most
+        self.f, self.most, self.longest = f, most, longest
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.f(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.f(key)

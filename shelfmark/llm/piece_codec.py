@@ -4,9 +4,10 @@ A piece sequence is what merging yields if and only if each adjacent pair is com
 two gives the two back. So the encoder walks the text with the longest piece at each position, tries shorter ones where a
 pair is not compatible, and steps back where none is left; a bitfield keeps the positions from which no way leads on.
 Pieces come from an Aho-Corasick automaton. No piece has U+2581 after another character, so merges never cross the start of
-a run of spaces: each such segment is encoded alone and remembered (a fixed number of segments in each task).
+a run of spaces: each such segment is encoded alone, and short ones are remembered (a fixed number in each task).
 
-Nulls count as empty texts; an empty text has no ids. Every row gives one row, repeated rows too.
+Nulls count as empty texts; an empty text has no ids. Every row gives one row, repeated rows too. A text without spaces is one
+segment; its time grows in proportion to its length, since a step looks no further than the longest piece.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class PieceCodec:
         for p in whole:
             self.found.add_word(p, len(p))
         self.found.make_automaton()
+        self.most = max(map(len, whole))
         #: the next shorter piece with which each piece begins
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), "") for p in whole}
         self.fits = Remembered(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
@@ -68,8 +70,9 @@ class PieceCodec:
 
     def longest(self, text: str, at: int) -> str:
         """The longest piece that starts here; an unknown character stands alone and never merges."""
-        end, n = next(self.found.iter_long(text, at), (at, 1))
-        return text[at : at + (n if end + 1 - n == at else 1)]
+        part = text[at : at + self.most]
+        end, n = next(self.found.iter_long(part), (0, 1))
+        return part[: n if end + 1 == n else 1]
 
     def tokens(self, text: str) -> list[str]:
         out: list[str] = []

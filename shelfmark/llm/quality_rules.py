@@ -12,6 +12,7 @@ repeated rows are documents of their own.
 
 from __future__ import annotations
 
+import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ METRICS = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.04, "re
 
 class TextMetrics:
     def __init__(self):
-        self.number = Remembered(lambda w: len(self.number), 2_000_000)
+        self.number = Remembered(lambda w: len(self.number), 500_000)
 
     def of(self, text: str) -> tuple[int, int, int, int, int, int]:
         """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (those with a word)."""
@@ -44,6 +45,8 @@ class TextMetrics:
         """Words that lie in a three-word window found at least twice."""
         if len(words) < 4:
             return 0
+        if max(map(len, words)) > self.number.longest:  # a digest stands for a very long word
+            words = [w if len(w) <= self.number.longest else b"\0" + hashlib.blake2b(w, digest_size=24).digest() for w in words]
         if len(self.number) + len(words) > self.number.most:
             self.number.clear()
         if len(words) > self.number.most:  # numbers must stay the same within a text
