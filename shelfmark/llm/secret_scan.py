@@ -4,15 +4,19 @@ Base spans come from three fixed patterns. The method adds spans: long tokens wh
 strings explains better than one of ordinary identifiers. Both models are first-order chains over 66 characters and one class
 for all others, counted from labelled samples (a fixed number of digests in several alphabets; words of a bounded sample of
 documents, joined as identifiers are) with add-one smoothing. A token's score is its mean log-likelihood ratio; the threshold
-is where at most a given share of the ordinary samples lies above. Model tables have a fixed size (67 x 67).
+lies half way between the score that ``false_share`` of the ordinary samples exceed and the one that as many of the random ones
+miss (not under the former, where the two cross). Model tables have a fixed size (67 x 67).
 
 Places of matches: text is split at the matches of a pattern, and lengths are added up; so each row is done by itself, with
-no shuffle. Null texts count as empty; every row gives one row, repeated rows too. Places are in code points, end exclusive.
+no shuffle. Running sums and maxima go over chunks of about the root of an array's size, so that a text of very many matches
+takes n**1.5 small steps, and redaction reads a text in blocks. Null texts count as empty; every row gives one row, repeated rows
+too. Places are in code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,19 +31,31 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _spans(text: Column, pattern: str, found: Column, kind: int) -> Column:
-    """Places of the matches: lengths of the gaps and of the matches, added up."""
-    none = F.array().cast(SPAN)
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("own"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once even where lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The running results of step over an array of ints."""
+    none = F.array().cast("array<int>")
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["own"]).alias("stop"))
-        return F.struct((at + x["own"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def over(v: Column) -> Column:
+        return F.aggregate(v, none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(step(F.get(acc, F.size(acc) - 1), x)))))
 
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(none)
+    def deal(v: Column) -> Column:
+        chunk = F.ceil(F.sqrt(F.size(v))).cast("int")
+        at = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int"))
+        return _let(F.transform(at, lambda c: over(F.slice(v, c * chunk + 1, chunk))), lambda parts: _let(over(F.transform(parts, lambda x: F.get(x, F.size(x) - 1))), lambda ends: F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: step(F.get(ends, i - 1), y)))))))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(deal(v)))
+
+
+def _spans(text: Column, pattern: str, found: Column, kind: int) -> Column:
+    """Places of the matches: lengths of the gaps and of the matches, added up."""
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, own: F.length(gap) + F.length(own))
+    spans = F.zip_with(_running(steps, lambda a, b: a + b), found, lambda stop, own: F.struct((stop - F.length(own)).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
 def ratios(samples: DataFrame) -> list[float]:
@@ -73,14 +89,22 @@ def _code(c: Column) -> Column:
     return F.position(c, F.lit(CHARS))
 
 
-def samples(docs: DataFrame, most_docs: int = 400, most_random: int = 3000) -> DataFrame:
-    """Labelled samples (text, label): digests in several alphabets, and identifiers made of words."""
+def samples(docs: DataFrame, most_docs: int = 400, most_words: int = 400, longest_word: int = 14, most_random: int = 3000) -> DataFrame:
+    """Labelled samples (text, label): digests in several alphabets, and identifiers made of words.
+
+    Texts and words are those of the smallest hashes: at most most_docs texts, and of each at most most_words distinct words of
+    two to longest_word letters from all over it.
+    """
     spark = docs.sparkSession
     ids = spark.range(most_random).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("hex"))
     b64 = F.base64(F.unhex("hex"))
     random = ids.select(F.explode(F.array(F.substring("hex", 1, 40), F.substring(b64, 1, 32), F.upper(F.substring(b64, 5, 24)), F.regexp_replace(F.substring(b64, 1, 36), "[+/=]", "x"))).alias("text"), F.lit(1).alias("label"))
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).orderBy("h").limit(most_docs)
-    words = some.select(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,14}"), F.lit(0))), 1, 400).alias("ws")).where(F.size("ws") > 3)
+    # the texts of a small range of hashes, some eight times as many as needed; only their words move
+    below = min(2**63 - 1, int(-(2**63) + 8.0 * most_docs / max(1, docs.count()) * 2**64))
+    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).where(F.col("h") <= below)
+    own = F.array_distinct(F.regexp_extract_all("text", F.lit(f"[A-Za-z]{{2,{longest_word}}}"), F.lit(0)))
+    own = F.transform(F.slice(F.array_sort(F.transform(own, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, most_words), lambda x: x["w"])
+    words = some.select("h", own.alias("ws")).groupBy("h").agg(F.first("ws").alias("ws")).orderBy("h").limit(most_docs).select("ws").where(F.size("ws") > 3)
     three = words.select(F.posexplode("ws").alias("at", "a"), "ws").select("at", "a", F.get("ws", F.col("at") + 1).alias("b"), F.get("ws", F.col("at") + 2).alias("c")).where(F.col("c").isNotNull())
     forms = F.element_at(
         F.array(
@@ -99,11 +123,13 @@ def samples(docs: DataFrame, most_docs: int = 400, most_random: int = 3000) -> D
 
 
 def train(docs: DataFrame, false_share: float = 0.0005, **sizes) -> tuple[list[float], float]:
-    """The pair table and the threshold over which at most false_share of the ordinary samples lie."""
+    """The pair table and the threshold."""
     rows = samples(docs, **sizes)
     llr = ratios(rows)
-    top = rows.where((F.col("label") == 0) & (F.length("text") >= 20)).select(F.percentile_approx(mean_ratio(F.col("text"), llr), 1 - false_share, 10_000).alias("t")).first()["t"]
-    return llr, max(0.35, top if top is not None else 0.35)
+    scored = rows.where(F.length("text") >= 20).select("label", mean_ratio(F.col("text"), llr).alias("s"))
+    ends = scored.select(*(F.percentile_approx(F.when(F.col("label") == label, F.col("s")), at, 10_000).alias(f"t{label}") for label, at in ((0, 1 - false_share), (1, false_share)))).first()
+    ordinary, random = ends["t0"], ends["t1"]
+    return llr, random if ordinary is None else max(ordinary, (ordinary + random) / 2)
 
 
 def with_spans(docs: DataFrame, model: tuple[list[float], float]) -> DataFrame:
@@ -114,13 +140,19 @@ def with_spans(docs: DataFrame, model: tuple[list[float], float]) -> DataFrame:
     rows = rows.select("row", "txt", *(F.regexp_extract_all("txt", F.lit(p), F.lit(0)).alias(f"m_{k}") for k, p in patterns.items()))
     rows = rows.select("row", "txt", *(f"m_{k}" for k in patterns), *(_spans(F.col("txt"), p, F.col(f"m_{k}"), i).alias(f"s_{k}") for i, (k, p) in enumerate(patterns.items())))
     # an assigned value shorter than six characters takes part in the matching, but is dropped
-    long_value = F.transform("m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
-    rows = rows.withColumn("s_assign", F.filter("s_assign", lambda s, i: F.get(long_value, i)))
-    rows = rows.withColumn("base", F.array_sort(F.concat("s_assign", "s_access", "s_hex")))
-    base = F.col("base")
-    # a token that reaches beyond a base span is scored as a whole
-    free = F.filter("s_markov", lambda s, i: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])) & (mean_ratio(F.get(F.col("m_markov"), i), llr) > threshold))
-    return rows.withColumn("spans", F.when(F.size("s_markov") == 0, base).otherwise(F.array_sort(F.concat(base, free))))
+    long_ones = F.array_compact(F.zip_with("s_assign", "m_assign", lambda s, m: F.when(F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6, s)))
+    rows = rows.withColumn("base", F.array_sort(F.concat(long_ones, "s_access", "s_hex")))
+    # a token that reaches beyond a base span is scored as a whole; base kinds sort first, so the furthest stop so far tells
+    scored = F.zip_with("s_markov", "m_markov", lambda s, m: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), mean_ratio(m, llr).alias("score")))
+    others = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(0.0).alias("score")))
+    is_base = lambda s: s["kind"] < len(KINDS) - 1
+
+    def chosen(both: Column) -> Column:
+        reach = _running(F.transform(both, lambda s: F.when(is_base(s), s["stop"]).otherwise(0)), lambda a, b: F.greatest(a, b))
+        found = F.zip_with(both, reach, lambda s, r: F.when(is_base(s) | (s["stop"] > r) & (s["score"] > threshold), F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))
+        return F.array_compact(found)
+
+    return rows.withColumn("spans", F.when(F.size("s_markov") == 0, F.col("base")).otherwise(_let(F.array_sort(F.concat(others, scored)), chosen)))
 
 
 def _text_of(spans: str) -> Column:
@@ -135,17 +167,29 @@ def scan_secrets(docs: DataFrame, model: tuple[list[float], float] | None = None
     return rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), count("assign"), count("access"), count("hex"), F.sha2(_text_of("base"), 256).alias("base_sha256"), _text_of("spans").alias("spans"), count("markov"))
 
 
-def redact(docs: DataFrame, model: tuple[list[float], float] | None = None, mark: str = "[SECRET]") -> DataFrame:
+def _between(blocks: Column, a: Column, b: Column, width: int) -> Column:
+    """The text from place a to place b, from its blocks of ``width`` characters."""
+    i, j = F.floor(a / width).cast("int"), F.floor(b / width).cast("int")
+    block = lambda n: F.coalesce(F.get(blocks, n), F.lit(""))
+    across = F.concat(F.substr(block(i), a % width + 1), F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(block(j), F.lit(1), b % width))
+    return F.when(i == j, F.substr(block(i), a % width + 1, b - a)).otherwise(across)
+
+
+def redact(docs: DataFrame, model: tuple[list[float], float] | None = None, mark: str = "[SECRET]", width: int = 1000) -> DataFrame:
     """The rows in all their columns, every span in text replaced by a mark; n_chars follows where there is such a column."""
     rows = with_spans(docs, model or train(docs))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]  # a span inside or across the last one only lengthens it
-        gap = F.substr(F.col("txt"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def cut(blocks: Column) -> Column:
+        """A mark for each span that begins at or after the end of those before it; others only lengthen the last."""
+
+        def joined(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+            parts = F.zip_with("spans", before, lambda s, at: F.when(s["start"] >= at, F.concat(_between(blocks, at, s["start"], width), F.lit(mark))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), _between(blocks, F.get(reach, F.size(reach) - 1), F.length("txt"), width))
+
+        return _let(_running(F.transform("spans", lambda s: s["stop"]), lambda a, b: F.greatest(a, b)), joined)
 
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("txt"), acc["at"] + 1)))
-    rows = rows.withColumn("new", F.when(F.size("spans") > 0, cut).otherwise(F.col("row.text")))
+    blocks = F.regexp_extract_all("txt", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    rows = rows.withColumn("new", F.when(F.size("spans") > 0, _let(blocks, cut)).otherwise(F.col("row.text")))
     out = {"text": F.col("new"), "n_chars": F.when(F.size("spans") > 0, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return rows.select(*(out[c].alias(c) if out.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns))
