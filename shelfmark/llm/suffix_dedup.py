@@ -14,7 +14,8 @@ stays, the others may be cut.
 Words are runs without ASCII white space, compared as they stand. Places in results are word numbers, end exclusive. Repeats
 inside one document count from a distance of ``least_words`` on. Null and short texts have no repeats. Rows with equal doc_id and text are
 one document, and each gets its result. The order is that of hashed words, which groups equal beginnings like any other order.
-The sorted suffixes stream through each task.
+The sorted suffixes stream through each task. Words beside a key are compared by 32 bits of their hashes: an end of a span may
+lie a word too far with probability 5e-10 for each pair compared.
 """
 
 from __future__ import annotations
@@ -193,7 +194,8 @@ def repeats(docs: DataFrame, k: int = 16, least_words: int = 50, reach: int = 16
     given = held.select(F.col("row.doc_id").cast("long").alias("doc_id"), "k1", "k2", F.col("row.text").cast("string").alias("text"))
     rows = written(arrow_map(given, start, "doc_id long, k1 long, k2 long, n_words long, keys array<long>, places array<int>"))
     anchors = rows.where(F.size("keys") > 0).select("k1", "k2", F.explode(F.arrays_zip("keys", "places")).alias("x")).select("k1", "k2", F.col("x.keys").alias("key"), F.col("x.places").alias("pos"))
-    often = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > reach + 1).alias("crowded"))
+    # as a table, so that Spark may split the join of a hot key's anchors
+    often = written(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", (F.col("n") > reach + 1).alias("crowded")))
     found = anchors.join(often, "key")
     lists = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "key", "crowded")).alias("at"))  # bounded by the text
 
