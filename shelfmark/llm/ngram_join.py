@@ -3,9 +3,9 @@
 1. Each distinct set is one class (rows with equal sets are never compared). A class's bands, made of its MinHash values, name
    the buckets it falls into; two sets with Jaccard likeness J share a band of r values with probability J**r each.
 2. In each bucket the smallest class leads. A class joins the groups of its buckets' leaders, so similar documents meet in few
-   groups. Buckets over ``most_in_bucket`` classes are refined by further MinHash values. What stays crowded (very many near
-   copies) is dealt into chunks: each meets the bucket's first chunk, and then the classes that are still apart from the
-   bucket's largest component meet every chunk, in blocks. So no group grows with the data, and no pair of a bucket is left out.
+   groups. Buckets over ``most_in_bucket`` classes (very many near copies) are dealt into chunks: each meets the bucket's first
+   chunk, and then the classes that are still apart from the bucket's largest component meet every chunk, in blocks. So no group
+   grows with the data, and no pair of a bucket is left out.
 3. Each group's task partitions its members by a MinHash value into token groups and stores each one's token union (the
    token-group matrix). A query opens a token group only if its overlap with the union reaches what any member needs
    (``share`` of its own size); there, exact overlaps decide. Classes that are already connected are not compared again.
@@ -175,33 +175,28 @@ def join_components(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 3
 
 def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 32, rows: int = 3, most_in_bucket: int = 2000) -> DataFrame:
     """doc_id, k2 (hash of the text), n_shingles and label of every row; equal labels are one component."""
-    values = bands * (rows + 1)  # one more for each band refines large buckets
+    values = bands * rows
 
     def start():
         sh = once(Shingles, n, values)
 
         def f(doc_id, text, k2):
-            size, key, band, fine = [], [], [], []
+            size, key, band = [], [], []
             for t in text:
                 s = sh.of(t)
                 size.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = sh.least(s) if len(s) else None
                 band.append([] if m is None else [_fold(m[i * rows : (i + 1) * rows], i) for i in range(bands)])
-                fine.append([] if m is None else [_fold(m[[*range(i * rows, (i + 1) * rows), bands * rows + i]], i) for i in range(bands)])
-            return [doc_id, k2, size, key, band, fine]
+            return [doc_id, k2, size, key, band]
 
         return f
 
     base = texts(docs).withColumn("k2", F.xxhash64(F.coalesce("text", F.lit("\0"))))
-    sets = written(arrow_map(base, start, "doc_id long, k2 long, n_shingles long, set_key binary, band array<long>, fine array<long>"))
-    met, wide = _buckets(sets, "band", most_in_bucket)
+    sets = written(arrow_map(base, start, "doc_id long, k2 long, n_shingles long, set_key binary, band array<long>"))
+    met, wide = _buckets(sets, most_in_bucket)
     crowded = not wide.isEmpty()
     if crowded:
-        # buckets of too many classes are dealt again by one more MinHash value
-        again = sets.join(wide.select("set_key").distinct(), "set_key", "left_semi")
-        finer, wide = _buckets(again, "fine", most_in_bucket)
-        met = met.unionAll(finer)
         wide = written(wide)
         met = met.unionAll(_with_first_chunk(wide))
     order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k1"), "k2")
@@ -224,9 +219,9 @@ def classes(docs: DataFrame, n: int = 4, share: int = 85, bands: int = 32, rows:
     return sets.select("doc_id", "k2", "n_shingles", "set_key").join(labels, F.col("set_key") == F.col("node"), "left").select("doc_id", "k2", "n_shingles", F.coalesce("label", "set_key").alias("label"))
 
 
-def _buckets(sets: DataFrame, band: str, most: int) -> tuple[DataFrame, DataFrame]:
+def _buckets(sets: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(set_key, lead) of the classes in buckets of two to ``most`` classes; (set_key, at, chunk, chunks) of those in larger ones."""
-    spots = sets.select("set_key", F.explode(band).alias("at"))
+    spots = sets.select("set_key", F.explode("band").alias("at"))
     shared = spots.groupBy("at").agg(F.min("set_key").alias("lead"), F.max("set_key").alias("last"), F.count(F.lit(1)).alias("n")).where("lead <> last").select("at", "lead", "n")
     met = written(spots.join(shared, "at").select("set_key", "lead", "at", (F.col("n") > most).alias("large")).distinct())
     # rows were counted so far; classes count
