@@ -36,3 +36,15 @@ def parsed(json: Column) -> Column:
 def split_number(value: Column) -> Column:
     """'3/12' as (number, total)."""
     return F.struct(F.regexp_extract(value, r"^0*(\d+)", 1).try_cast("int").alias("number"), F.regexp_extract(value, r"/0*(\d+)$", 1).try_cast("int").alias("total"))
+
+
+def in_display_order(names: Column, known: list[str], performer: str = "performer:") -> Column:
+    """Known names in their order, then performers, then the others by name."""
+    rank = lambda n: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), n), F.lit(0).cast("long")), F.when(n.startswith(performer), F.lit(10_000)).otherwise(20_000).cast("long"))
+    return F.transform(F.array_sort(F.transform(names, lambda n: F.struct(rank(n).alias("rank"), n.alias("name")))), lambda x: x["name"])
+
+
+def same(a: Column, b: Column) -> Column:
+    """Whether two value lists say the same; none is an empty one."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(a, none) == F.coalesce(b, none)

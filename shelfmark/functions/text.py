@@ -100,3 +100,64 @@ def decode(data: bytes) -> str:
         if name != "cp932" or re.search("[぀-ヿ]", text):
             return text
     return data.decode("latin-1")
+
+
+def legacy_text(data: bytes) -> str:
+    """Text of an old 8-bit field: UTF-8, else Shift_JIS, where they decode without an error, else Latin-1."""
+    for name in ("utf-8", "cp932"):
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            pass
+    return data.decode("latin-1")
+
+
+#: Code pages of archive names, in order, and what the characters that come out speak for.
+CODE_PAGES = ("utf-8", "cp932", "gbk", "big5", "cp949")
+WEIGHTS = (
+    (-6, ((0x00, 0x1F), (0x7F, 0x7F), (0xE000, 0xF8FF), (0xFFFD, 0xFFFD))),
+    (0, ((0x20, 0x7E), (0xC0, 0x24F))),
+    (3, ((0x3040, 0x30FF),)),
+    (-4, ((0xFF61, 0xFF9F),)),
+    (1, ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x3000, 0x303F), (0xFF01, 0xFF5E))),
+)
+
+
+def plausible(text: str) -> int:
+    """How much a decoded name looks like text; characters of no listed range count -2."""
+    return sum(next((w for w, ranges in WEIGHTS if any(a <= ord(c) <= b for a, b in ranges)), -2) for c in text)
+
+
+def code_page(names: list[bytes]) -> str | None:
+    """The code page under which an archive's names are the most plausible; null where all are ASCII."""
+    data = b"".join(n for n in names if not n.isascii())
+    if not data:
+        return None
+    scores = {}
+    for name in CODE_PAGES:
+        try:
+            scores[name] = plausible("".join(n.decode(name) for n in names if not n.isascii()))
+        except UnicodeDecodeError:
+            continue
+    return max(scores, key=scores.__getitem__) if scores else "cp932"
+
+
+def read_bytes(name: str, column: Column | str) -> Column:
+    """decode or legacy_text over a binary column, in Arrow batches."""
+    f = {"decode": decode, "legacy_text": legacy_text}[name]
+
+    @F.pandas_udf(StringType())
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda x: None if x is None else f(bytes(x)))
+
+    return run(column)
+
+
+def page_of(column: Column | str) -> Column:
+    """code_page of an array of binary names."""
+
+    @F.pandas_udf(StringType())
+    def run(xs: pd.Series) -> pd.Series:
+        return xs.map(lambda names: None if names is None else code_page([bytes(n) for n in names]))
+
+    return run(column)

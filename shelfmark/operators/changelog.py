@@ -60,3 +60,37 @@ def replace_pairs(pairs: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame
     left = pairs.join(ids.select(F.col("id").alias("a")), "a", "left_anti").join(ids.select(F.col("id").alias("b")), "b", "left_anti")
     fresh = new.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"])
     return left.unionByName(fresh, allowMissingColumns=True)
+
+
+def guarded(base: DataFrame, rows: DataFrame, key: str, deleted: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """The rows that may be added: not there yet, not deleted in the log, under a parent that exists.
+
+    deleted has the column ``key``, parents the column ``parent``. A second run adds nothing.
+    """
+    new = rows.dropDuplicates([key]).join(base.select(key), key, "left_anti").join(deleted.select(key), key, "left_anti")
+    return new.join(parents.select(parent), parent, "left_semi").select(*rows.columns)
+
+
+def ensured(folders: DataFrame, entities: DataFrame) -> DataFrame:
+    """folders (id, entity_id) with one for each entity (entity_id); new ids come from the entity, so a second run changes nothing."""
+    missing = entities.select("entity_id").distinct().join(folders, "entity_id", "left_anti")
+    return folders.select("id", "entity_id").unionByName(missing.select(F.concat(F.lit("fd_"), F.left(F.sha1(F.col("entity_id").cast("binary")), F.lit(16))).alias("id"), "entity_id"))
+
+
+def replaced(derived: DataFrame, outputs: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, orphans): the derived rows (content, key) of the contents go, their outputs come; orphans are keys that nothing uses then."""
+    rows = derived.join(contents, "content", "left_anti").unionByName(outputs)
+    before = derived.join(contents, "content", "left_semi").select("key").distinct()
+    return rows, before.join(rows.select("key"), "key", "left_anti")
+
+
+def refused(made: DataFrame, pointing: DataFrame) -> DataFrame:
+    """(batch, later): batches whose made rows (batch, id) other batches' rows (batch, id of what they point to) use by now."""
+    uses = pointing.groupBy("id", "batch").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("batch", "by")
+    return made.join(uses, "id").where(F.col("by") != F.col("batch")).groupBy("batch").agg(F.sum("n").alias("later"))
+
+
+def undo_marks(undos: DataFrame) -> DataFrame:
+    """(batch, reverted_by) from (batch, undoes): the last undo of a batch marks it, unless that undo was undone itself."""
+    standing = undos.join(undos.select(F.col("undoes").alias("batch")), "batch", "left_anti")
+    return standing.groupBy(F.col("undoes").alias("batch")).agg(F.max("batch").alias("reverted_by"))

@@ -157,12 +157,18 @@ def bulk_rename(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", F.concat_ws(" ", F.lpad(n.cast("string"), 3, "0"), F.replace("s_name", F.lit("Supplier#"), F.lit(""))).alias("name"))
 
 
+_SIZE = lambda u, p: f"CASE WHEN n / {1024.0**p:.1f} < 10 THEN printf('%.1f', round(n / {1024.0**p:.1f}, 1)) ELSE printf('%.0f', round(n / {1024.0**p:.1f})) END || ' {u}'"
+
+
 @query(
     "human_sizes",
-    "SELECT doc_id, CASE WHEN n_chars >= 1024 THEN printf('%.1f KB', n_chars / 1024.0) ELSE n_chars || ' B' END AS size FROM documents",
+    f"""WITH s AS (SELECT doc_id, CAST(n_chars * CASE doc_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 WHEN 4 THEN 1 END AS DOUBLE) AS n FROM documents)
+    SELECT doc_id, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN CAST(n AS BIGINT) || ' B' WHEN n < {1024**2} THEN {_SIZE("KB", 1)} WHEN n < {1024**3} THEN {_SIZE("MB", 2)} WHEN n < {1024**4} THEN {_SIZE("GB", 3)} ELSE {_SIZE("TB", 4)} END AS size FROM s""",
 )
 def human_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", parse.human_size(F.col("n_chars")).alias("size"))
+    """Characters as bytes, taken as kilo-, mega- and gigabytes in turn; every sixth has no size."""
+    scale = F.when(F.col("doc_id") % 6 == 5, None).when(F.col("doc_id") % 6 < 4, F.pow(F.lit(1024), F.col("doc_id") % 6).cast("long")).otherwise(1)
+    return table(spark, d, "documents").select("doc_id", parse.human_size(F.col("n_chars") * scale).alias("size"))
 
 
 @query(

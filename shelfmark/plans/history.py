@@ -41,7 +41,7 @@ def tree_closure(spark: SparkSession, d: str) -> DataFrame:
 )
 def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return graph.rolled_up(graph.closure(nodes(spark, d)), own, "n")
+    return graph.rolled_up(nodes(spark, d), own, "n")
 
 
 @query(
@@ -50,10 +50,7 @@ def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
 )
 def tree_context(spark: SparkSession, d: str) -> DataFrame:
     """The nearest era, release and edition above each node."""
-    n = nodes(spark, d)
-    above = graph.closure(n).join(n.select(F.col("id").alias("ancestor"), "kind"), "ancestor")
-    near = lambda k: F.min_by(F.when(F.col("kind") == k, F.col("ancestor")), F.when(F.col("kind") == k, F.col("depth"))).alias(k)
-    return above.groupBy(F.col("descendant").alias("id")).agg(near("era"), near("release"), near("edition"))
+    return graph.context(nodes(spark, d), ["era", "release", "edition"])
 
 
 @query(

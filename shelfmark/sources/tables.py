@@ -26,9 +26,9 @@ def probe_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "line")
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each member of each archive record (one JSON file for each archive)."""
-    records = spark.read.schema(ARCHIVE).option("multiLine", True).json(path)
+def archive_members(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each member of each archive record (one JSON file for each archive, or one line)."""
+    records = spark.read.schema(ARCHIVE).option("multiLine", not lines).json(path)
     return records.select("sha256", "type", "status", F.explode("members").alias("m")).select("sha256", "type", "status", "m.path", "m.size", "m.crc32", F.col("m.sha256").alias("member_sha256"))
 
 
