@@ -53,7 +53,7 @@ class PieceCodec:
         #: the next shorter piece with which each piece begins
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in whole), "") for p in whole}
         self.fits = Remembered(lambda pair: self.merged(pair[0] + pair[1]) == [*pair])
-        self.segment = Remembered(self._segment)
+        self.segment = Remembered(self._segment, 400_000)
 
     def merged(self, text: str) -> list[str]:
         """Merges the best adjacent pair, the leftmost of equals, until none is left: the definition, for short strings."""
