@@ -1,6 +1,7 @@
 """Order-dependent resolution within groups: guarded merging and greedy one-to-one assignment.
 
-Both stream through partitions that are sorted by group and rank, and hold the state of one group at a time.
+Both stream through partitions that are sorted by group and rank, and hold the state of one group at a time: its nodes and their
+guards, or the ends that are taken. Groups are releases or editions, which their own content bounds; one group is one task's work.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def guarded_groups(edges: DataFrame, by: str) -> DataFrame:
 
         def find(n: int) -> int:
             while up[n] != n:
-                n = up[n]
+                up[n] = n = up[up[n]]
             return n
 
         def close() -> list[tuple[int, int, int]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.operators.graph import kept
+
 #: Seconds of a value, smoothing width, agreement, votes, candidates, seconds of a part and of a whole.
 STEP_MS = 1365 / 11025 * 1000
 WIDTH, AGREE_BITS, LEAST_VOTES, MOST_OTHERS = 24, 538, 10, 40
@@ -12,29 +14,31 @@ PART_MS, WHOLE_MS, WHOLE_SHARE, BLOCK, BLOCK_AGREE = 30_000, 60_000, 0.8, 40, 0.
 
 
 def values(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """(name, pos, value): the words of a text as unsigned 32-bit values."""
-    words = df.select(F.col(key).cast("long").alias(name), F.posexplode(F.regexp_extract_all(text, F.lit(r"[^ \n\t\r]+"), F.lit(0))).alias("pos", "word"))
-    return words.select(name, F.col("pos").cast("long").alias("pos"), F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long").alias("value"))
+    """(name, v): the words of a text as an array of unsigned 32-bit values."""
+    words = F.regexp_extract_all(text, F.lit(r"[^ \n\t\r]+"), F.lit(0))
+    return df.select(F.col(key).cast("long").alias(name), F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")).alias("v"))
 
 
 def keys(df: DataFrame, name: str) -> DataFrame:
-    """Two keys for each value: its upper half, and its lower half above them."""
+    """(name, pos, key): two keys for each value, its upper half, and its lower half above them."""
+    each = df.select(name, F.posexplode("v").alias("pos", "value"))
     both = F.array(F.shiftright("value", 16), F.col("value").bitwiseAND(65535) + 65536)
-    return df.select(name, "pos", F.explode(both).alias("key"))
+    return each.select(name, F.col("pos").cast("long").alias("pos"), F.explode(both).alias("key"))
 
 
 def candidates(q: DataFrame, o: DataFrame) -> DataFrame:
     """(q, o, shift, votes): for each query at most 40 others, with their best shift.
 
-    Keys that occur too often in the index are left out before the join: that bounds its skew. Counts are per key (at most
-    131072 of them), and the total is one row.
+    Of the index only the queries' keys are kept (at most 131072, so they are broadcast), in one pass. Keys that occur too often
+    in it are left out before the join: that bounds its skew. Both limits are part of the definition. o is read twice: give it as
+    a written table.
     """
-    index = keys(o, "o")
+    asked = keys(q, "q").withColumnRenamed("pos", "at")
+    index = kept(keys(o, "o").join(F.broadcast(asked.select("key").distinct()), "key", "left_semi"))
     counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg((F.lit(20.0) * F.greatest(F.sum("n") / 131072.0, F.lit(1.0))).alias("most"))
+    total = o.agg((F.lit(20.0) * F.greatest(2 * F.sum(F.size("v")) / 131072.0, F.lit(1.0))).alias("most"))  # one row
     rare = counts.join(F.broadcast(total), F.col("n") <= F.col("most")).select("key")
-    asked = keys(q, "q").join(rare, "key", "left_semi").withColumnRenamed("pos", "at")
-    votes = asked.join(index, "key").groupBy("q", "o", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    votes = asked.join(rare, "key", "left_semi").join(index, "key").groupBy("q", "o", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
     pair = Window.partitionBy("q", "o")
     near = votes.withColumn("votes", F.sum("n").over(pair.orderBy("shift").rangeBetween(-1, 1))).where(F.col("votes") >= LEAST_VOTES)
     first = near.groupBy("q", "o").agg(F.min(F.struct((-F.col("votes")).alias("v"), "shift")).alias("k")).select("q", "o", "k.shift", (-F.col("k.v")).alias("votes"))
@@ -43,16 +47,22 @@ def candidates(q: DataFrame, o: DataFrame) -> DataFrame:
 
 
 def overlap(pairs: DataFrame, q: DataFrame, o: DataFrame) -> DataFrame:
-    """(q, o, shift, pos, bits): equal bits of the values that lie over each other."""
-    mine = pairs.select("q", "o", "shift").join(q, "q").withColumnRenamed("value", "a").withColumn("there", F.col("pos") + F.col("shift"))
-    other = o.select("o", F.col("pos").alias("there"), F.col("value").alias("b"))
-    return mine.join(other, ["o", "there"]).select("q", "o", "shift", "pos", (32 - F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).cast("int").alias("bits"))
+    """(q, o, shift, pos, bits): equal bits of the values that lie over each other.
+
+    Whole sequences are joined to the pairs (q, o, shift), and their slices compared value by value; only pairs' sequences move.
+    """
+    some = pairs.select("q", "o", F.col("shift").cast("int").alias("shift"))
+    met = some.join(q.withColumnRenamed("v", "a"), "q").join(o.withColumnRenamed("v", "b"), "o")
+    met = met.withColumn("lo", F.greatest(F.lit(0), -F.col("shift")))
+    n = F.greatest(F.least(F.size("a") - F.col("lo"), F.size("b") - F.col("lo") - F.col("shift")), F.lit(0))
+    bits = F.zip_with(F.slice("a", F.col("lo") + 1, n), F.slice("b", F.col("lo") + F.col("shift") + 1, n), lambda x, y: 32 - F.bit_count(x.bitwiseXOR(y)))
+    return met.select("q", "o", F.col("shift").cast("long").alias("shift"), "lo", F.posexplode(bits).alias("at", "bits")).select("q", "o", "shift", (F.col("lo") + F.col("at")).cast("long").alias("pos"), F.col("bits").cast("int").alias("bits"))
 
 
-def longest_part(pairs: DataFrame, q: DataFrame, o: DataFrame) -> DataFrame:
-    """(q, o, shift, start, length, bits): the longest run whose smoothed agreement holds, the first of equals."""
+def longest_part(over: DataFrame) -> DataFrame:
+    """(q, o, shift, start, length, bits) of overlaps: the longest run whose smoothed agreement holds, the first of equals."""
     at = Window.partitionBy("q", "o", "shift")
-    smooth = overlap(pairs, q, o).withColumns({"s": F.sum("bits").over(at.orderBy("pos").rowsBetween(-12, 11)), "n": F.count(F.lit(1)).over(at)})
+    smooth = over.withColumns({"s": F.sum("bits").over(at.orderBy("pos").rowsBetween(-12, 11)), "n": F.count(F.lit(1)).over(at)})
     good = smooth.where((F.col("n") >= WIDTH) & (F.col("s") >= AGREE_BITS))
     island = good.withColumn("g", F.col("pos") - F.row_number().over(at.orderBy("pos")))
     runs = island.groupBy("q", "o", "shift", "g").agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"), F.sum("bits").alias("bits"))
@@ -60,11 +70,10 @@ def longest_part(pairs: DataFrame, q: DataFrame, o: DataFrame) -> DataFrame:
     return best.select("q", "o", "shift", "k.start", (-F.col("k.l")).alias("length"), "k.bits")
 
 
-def whole(pairs: DataFrame, q: DataFrame, o: DataFrame, sizes: DataFrame) -> DataFrame:
+def whole(over: DataFrame, sizes: DataFrame) -> DataFrame:
     """(q, o, shift, length, bits): overlaps that agree over their whole length, block by block too."""
-    each = overlap(pairs, q, o)
     first = Window.partitionBy("q", "o", "shift").orderBy("pos")
-    blocks = each.withColumn("block", F.floor((F.row_number().over(first) - 1) / BLOCK)).groupBy("q", "o", "shift", "block").agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
+    blocks = over.withColumn("block", F.floor((F.row_number().over(first) - 1) / BLOCK)).groupBy("q", "o", "shift", "block").agg(F.sum("bits").alias("bits"), F.count(F.lit(1)).alias("n"))
     full = F.when(F.col("n") == BLOCK, F.col("bits") / (32.0 * BLOCK))
     total = blocks.groupBy("q", "o", "shift").agg(F.sum("bits").alias("bits"), F.sum("n").alias("length"), F.percentile(full, 0.1).alias("low"))
     sized = total.join(sizes, ["q", "o"])
@@ -74,15 +83,16 @@ def whole(pairs: DataFrame, q: DataFrame, o: DataFrame, sizes: DataFrame) -> Dat
 
 def decided(found: DataFrame, q: DataFrame, o: DataFrame) -> DataFrame:
     """(q, o, kind, score, offset_ms, matched_ms) over shifts -1 to +1 of the candidates."""
-    pairs = found.select("q", "o", F.explode(F.sequence(F.col("shift") - 1, F.col("shift") + 1)).alias("shift"))
-    sizes = found.select("q", "o").join(q.groupBy("q").agg((F.max("pos") + 1).alias("q_size")), "q").join(o.groupBy("o").agg((F.max("pos") + 1).alias("o_size")), "o")
-    part = longest_part(pairs, q, o).join(sizes, ["q", "o"])
+    found = kept(found)
+    over = kept(overlap(found.select("q", "o", F.explode(F.sequence(F.col("shift") - 1, F.col("shift") + 1)).alias("shift")), q, o))
+    sizes = found.select("q", "o").join(q.select("q", F.size("v").alias("q_size")), "q").join(o.select("o", F.size("v").alias("o_size")), "o")
+    part = longest_part(over).join(sizes, ["q", "o"])
     score = F.col("bits") / (32.0 * F.col("length"))
     shorter = F.least("q_size", "o_size")
     part = part.where((F.col("length") * STEP_MS >= PART_MS) | (2 * F.col("length") >= shorter) & (score >= 0.85)).withColumn("score", score)
     best = part.groupBy("q", "o").agg(F.max(F.struct("length", "score", (-F.col("shift")).alias("s"), F.least("q_size", "o_size").alias("shorter"))).alias("p"))
-    over = whole(pairs, q, o, sizes).groupBy("q", "o").agg(F.max(F.struct((F.col("bits") / (32.0 * F.col("length"))).alias("score"), "length", (-F.col("shift")).alias("s"))).alias("w"))
-    both = best.join(over, ["q", "o"], "full")
+    all_ = whole(over, sizes).groupBy("q", "o").agg(F.max(F.struct((F.col("bits") / (32.0 * F.col("length"))).alias("score"), "length", (-F.col("shift")).alias("s"))).alias("w"))
+    both = best.join(all_, ["q", "o"], "full")
     take_part = F.col("p").isNotNull() & (F.col("w").isNull() | (F.col("p.length") >= 0.9 * F.col("p.shorter")))
     pick = lambda f: F.when(take_part, F.col(f"p.{f}")).otherwise(F.col(f"w.{f}"))
     return both.select("q", "o", F.when(take_part, "part").otherwise("whole").alias("kind"), F.bround(pick("score"), 4).alias("score"), F.bround(-pick("s") * STEP_MS).cast("long").alias("offset_ms"), F.bround(pick("length") * STEP_MS).cast("long").alias("matched_ms"))

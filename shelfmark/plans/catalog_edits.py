@@ -208,4 +208,4 @@ def best_edition(spark: SparkSession, d: str) -> DataFrame:
 )
 def decoded_prints(spark: SparkSession, d: str) -> DataFrame:
     v = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "item_id")
-    return v.groupBy("item_id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("value").alias("total"))
+    return v.select("item_id", F.size("v").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

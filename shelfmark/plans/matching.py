@@ -271,16 +271,15 @@ FP = r"""v AS (SELECT CAST(item_id AS BIGINT) AS q, CAST(i - 1 AS BIGINT) AS pos
     cand AS (SELECT q, o, shift, votes FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY votes DESC, o, shift) AS rank FROM one WHERE rn = 1) WHERE rank <= 40)"""
 
 
-@query("fp_candidates", f"WITH {FP} SELECT q, o, shift, votes FROM cand")
-def fp_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _fp(spark, d)
+def _prints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Query sequences (benchmark passages) and the index of all documents, as a written table."""
+    q = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "q")
+    return q, graph.kept(sequences.values(table(spark, d, "documents"), "doc_id", "text", "o"))
 
 
-def _fp(spark: SparkSession, d: str) -> DataFrame:
-    """Query sequences (benchmark passages) against the index of all documents: the incremental form of matching."""
-    q = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "q")
-    o = sequences.values(table(spark, d, "documents"), "doc_id", "text", "o")
-    return sequences.candidates(q, o)
+@query("fp_candidates", f"WITH {FP} SELECT q, o, shift, votes FROM cand")
+def fp_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.candidates(*_prints(spark, d))
 
 
 @query(
@@ -292,16 +291,35 @@ def _fp(spark: SparkSession, d: str) -> DataFrame:
     SELECT q, o, shift, start, length, CAST(bits AS BIGINT) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY q, o, shift ORDER BY length DESC, start) AS rn FROM runs) WHERE rn = 1""",
 )
 def fp_verify(spark: SparkSession, d: str) -> DataFrame:
-    q = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "q")
-    o = sequences.values(table(spark, d, "documents"), "doc_id", "text", "o")
-    return sequences.longest_part(sequences.candidates(q, o), q, o)
+    q, o = _prints(spark, d)
+    return sequences.longest_part(sequences.overlap(graph.kept(sequences.candidates(q, o)), q, o))
+
+
+FPM = f"""{FP}, both_ AS (SELECT c.q, c.o, c.shift + k AS shift, v.pos, 32 - bit_count(xor(v.value, dv.value)) AS bits FROM (SELECT *, unnest([-1, 0, 1]) AS k FROM cand) c JOIN v ON v.q = c.q JOIN dv ON dv.o = c.o AND dv.pos = v.pos + c.shift + k),
+    sz AS (SELECT c.q, c.o, least(a.n, b.n) AS shorter FROM cand c JOIN (SELECT q, count(*) AS n FROM v GROUP BY q) a ON a.q = c.q JOIN (SELECT o, count(*) AS n FROM dv GROUP BY o) b ON b.o = c.o),
+    smooth AS (SELECT *, sum(bits) OVER (PARTITION BY q, o, shift ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS s, count(*) OVER (PARTITION BY q, o, shift) AS n FROM both_),
+    isl AS (SELECT *, pos - row_number() OVER (PARTITION BY q, o, shift ORDER BY pos) AS g FROM smooth WHERE n >= 24 AND s >= 538),
+    runs AS (SELECT q, o, shift, g, min(pos) AS start, count(*) AS length, sum(bits) AS bits FROM isl GROUP BY ALL),
+    part AS (SELECT q, o, shift, length, bits / (32.0::DOUBLE * length) AS score, shorter FROM (SELECT *, row_number() OVER (PARTITION BY q, o, shift ORDER BY length DESC, start) AS rn FROM runs) JOIN sz USING (q, o) WHERE rn = 1),
+    bp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, o ORDER BY length DESC, score DESC, shift) AS rn FROM part WHERE length * (1365::DOUBLE / 11025 * 1000) >= 30000 OR 2 * length >= shorter AND score >= 0.85) WHERE rn = 1),
+    blocks AS (SELECT q, o, shift, b, sum(bits) AS bits, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY q, o, shift ORDER BY pos) - 1) // 40 AS b FROM both_) GROUP BY ALL),
+    total AS (SELECT q, o, shift, sum(bits) AS bits, sum(n) AS length, quantile_cont(CASE WHEN n = 40 THEN bits / 1280::DOUBLE END, 0.1) AS low FROM blocks GROUP BY ALL),
+    bw AS (SELECT * FROM (SELECT q, o, shift, length, bits / (32.0::DOUBLE * length) AS score, row_number() OVER (PARTITION BY q, o ORDER BY bits / (32.0::DOUBLE * length) DESC, length DESC, shift) AS rn FROM total JOIN sz USING (q, o) WHERE length * (1365::DOUBLE / 11025 * 1000) >= 60000 AND length >= 0.8 * shorter AND bits * 10 >= 7 * 32 * length AND coalesce(low, 1.0) >= 0.62) WHERE rn = 1),
+    m AS (SELECT q, o, bp.q IS NOT NULL AND (bw.q IS NULL OR bp.length >= 0.9 * bp.shorter) AS p, CASE WHEN p THEN bp.score ELSE bw.score END AS score, CASE WHEN p THEN bp.shift ELSE bw.shift END AS shift, CASE WHEN p THEN bp.length ELSE bw.length END AS length FROM bp FULL JOIN bw USING (q, o)),
+    decided AS (SELECT q, o, CASE WHEN p THEN 'part' ELSE 'whole' END AS kind, round_even(score, 4) AS score, CAST(round_even(shift * (1365::DOUBLE / 11025 * 1000), 0) AS BIGINT) AS offset_ms, CAST(round_even(length * (1365::DOUBLE / 11025 * 1000), 0) AS BIGINT) AS matched_ms FROM m)"""
 
 
-@query("fp_matches")
+@query("fp_matches", f"WITH {FPM} SELECT * FROM decided")
 def fp_matches(spark: SparkSession, d: str) -> DataFrame:
     """Decided matches: the better of part and whole over shifts next to the candidate's, in milliseconds."""
-    q = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "q")
-    o = sequences.values(table(spark, d, "documents"), "doc_id", "text", "o")
+    q, o = _prints(spark, d)
     return sequences.decided(sequences.candidates(q, o), q, o)
 
 
+@query("fp_incremental", f"WITH {FPM} SELECT * FROM decided WHERE q % 3 = 0")
+def fp_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """New sequences alone query the whole index: equal to all matches, restricted to theirs."""
+    q, o = _prints(spark, d)
+    new = q.where("q % 3 = 0")
+    fresh = sequences.decided(sequences.candidates(new, o), new, o)
+    return fresh

@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators import changelog, tasks
+from shelfmark.operators import changelog, graph, tasks
 
 
-def state_stream(events: DataFrame, name: str, trigger: dict | None = None) -> StreamingQuery:
-    """Task states from a stream of events in a table named ``name``; by default, all that is there and then an end.
+def state_stream(events: DataFrame, store: str, checkpoint: str, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+    """Task states (id, state, at, attempts) from a stream of events, kept in a folder; by default, all that is there and then an end.
 
-    One small row of state for each key; every update replaces the key's row.
+    Only keys that a batch changed leave the stream's state (one small row for each key), and only the buckets they fall into are
+    written anew. A repeated batch writes the same rows again.
     """
-    writer = tasks.states(events).writeStream.outputMode("complete").format("memory").queryName(name)
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = graph.kept(batch.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        if number:
+            old = spark.read.schema(new.schema).parquet(store).where(F.col("bucket").isin(touched))
+            new = graph.kept(old.join(new.select("id"), "id", "left_anti").unionByName(new))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(store)
+
+    writer = tasks.states(events).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
