@@ -214,25 +214,35 @@ def comparison_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "candidate_scoring",
-    """SELECT a.p_partkey, b.p_partkey AS candidate, CAST((CASE WHEN a.p_name = b.p_name THEN 40 ELSE 0 END) + (CASE WHEN a.p_brand = b.p_brand THEN 30 ELSE 0 END) + greatest(0, 20 - 5 * abs(a.p_size - b.p_size)) AS INTEGER) AS score
-    FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey""",
+    """SELECT p_partkey, candidate, CAST(70 + greatest(0, 20 - 5 * gap) AS INTEGER) AS score FROM (SELECT a.p_partkey, b.p_partkey AS candidate, abs(a.p_size - b.p_size) AS gap, row_number() OVER (PARTITION BY a.p_partkey ORDER BY abs(a.p_size - b.p_size), b.p_partkey) AS rn
+    FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) WHERE rn = 1""",
 )
 def candidate_scoring(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, (F.col("a.p_name") == F.col("b.p_name")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
-    score = F.lit(70) + F.greatest(F.lit(0), 20 - 5 * F.abs(F.col("a.p_size") - F.col("b.p_size")))
-    return met.select(F.col("a.p_partkey"), F.col("b.p_partkey").alias("candidate"), score.cast("int").alias("score"))
+    """Each part's best candidate of its name, type and brand: the nearest size, then the smaller id. Only a size's two smallest
+    ids and the sizes beside it are looked at, so a group gives one row a part and not its pairs."""
+    key = ["p_name", "p_type", "p_brand"]
+    p = table(spark, d, "part").select(*key, "p_size", "p_partkey")
+    least = p.groupBy(*key, "p_size").agg(F.min("p_partkey").alias("one"))
+    second = p.join(least, [*key, "p_size"]).where("p_partkey <> one").groupBy(*key, "p_size").agg(F.min("p_partkey").alias("two"))
+    w = Window.partitionBy(*key).orderBy("p_size")
+    beside = lambda f: f(F.struct(F.col("p_size").alias("size"), F.col("one").alias("id"))).over(w)
+    sizes = least.withColumns({"before": beside(F.lag), "after": beside(F.lead)}).join(second, [*key, "p_size"], "left")
+    met = p.join(sizes, [*key, "p_size"])
+    near = lambda size, i: F.when(i.isNotNull(), F.struct(F.abs(F.col("p_size") - size).alias("gap"), i.alias("id")))
+    same = F.when(F.col("one") != F.col("p_partkey"), F.col("one")).otherwise(F.col("two"))
+    best = F.least(near(F.col("p_size"), same), near(F.col("before.size"), F.col("before.id")), near(F.col("after.size"), F.col("after.id")))
+    return met.withColumn("x", best).where("x is not null").select("p_partkey", F.col("x.id").alias("candidate"), (F.lit(70) + F.greatest(F.lit(0), 20 - 5 * F.col("x.gap"))).cast("int").alias("score"))
 
 
 @query(
     "sidecar_pairs",
-    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, lower(regexp_extract(url, '/([^/?#.]*)[^/?#]*(?:[?#].*)?$', 1)) AS stem FROM pages) SELECT a.page_id, b.page_id AS sidecar FROM p a JOIN p b ON a.host = b.host AND a.stem = b.stem AND a.page_id < b.page_id""",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, lower(regexp_extract(url, '/([^/?#.]*)[^/?#]*(?:[?#].*)?$', 1)) AS stem FROM pages) SELECT a.page_id, p.page_id AS sidecar FROM p JOIN (SELECT host, stem, min(page_id) AS page_id FROM p GROUP BY ALL) a USING (host, stem) WHERE a.page_id < p.page_id""",
 )
 def sidecar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one stem in one folder go with the first of them."""
     p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.lower(F.regexp_extract("url", r"/([^/?#.]*)[^/?#]*(?:[?#].*)?$", 1)).alias("stem"))
-    other = p.select(F.col("page_id").alias("sidecar"), "host", "stem")
-    return p.join(other, ["host", "stem"]).where("page_id < sidecar").select("page_id", "sidecar")
+    first = p.groupBy("host", "stem").agg(F.min("page_id").alias("first"))
+    return p.join(first, ["host", "stem"]).where("first < page_id").select(F.col("first").alias("page_id"), F.col("page_id").alias("sidecar"))
 
 
 @query(
@@ -250,7 +260,10 @@ def cover_priority(spark: SparkSession, d: str) -> DataFrame:
     return best.select("l_orderkey", F.col("k.l_partkey").alias("cover"), "k.prio")
 
 
-@query("title_key_groups")
+@query(
+    "title_key_groups",
+    r"""SELECT regexp_replace(lower(replace(strip_accents(title), 'ß', 'ss')), '[^\p{L}\p{N}]+', '', 'g') AS key, count(*) AS n, min(page_id) AS first, min(title) AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) GROUP BY key""",
+)
 def title_key_groups(spark: SparkSession, d: str) -> DataFrame:
     """Page titles that are one under the title fold."""
     from shelfmark.functions.text import folded
