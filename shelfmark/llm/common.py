@@ -7,8 +7,6 @@ each such row still appears in the result. ``doc_id`` may be null, and different
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from shelfmark.operators.graph import kept
+
 NO_ID = -(2**63)
 
 
@@ -39,20 +39,9 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    at = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return kept(df)
 
 
 def arrow_map(df: DataFrame, start: Callable[[], Callable[..., list]], ddl: str) -> DataFrame:
