@@ -28,8 +28,12 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
 )
 def dup_content_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of equal contents; the keeper is the least of a struct of sort keys, so groups of any size merge in parts."""
+    return _groups(_contents(spark, d))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
     key = F.struct(F.col("lang").isNull().alias("a"), F.col("source").isNull().alias("b"), (-F.col("n_chars")).alias("c"), F.col("source").alias("e"), F.col("lang").alias("f"), F.col("doc_id").alias("id"))
-    groups = _contents(spark, d).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.max("n_chars").alias("size"), F.min(key).alias("k")).where("copies > 1")
+    groups = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.max("n_chars").alias("size"), F.min(key).alias("k")).where("copies > 1")
     return groups.select("sha", "copies", ((F.col("copies") - 1) * F.col("size")).alias("gain"), F.col("k.id").alias("keeper"))
 
 
@@ -39,8 +43,8 @@ def dup_content_groups(spark: SparkSession, d: str) -> DataFrame:
     SELECT k.doc_id, k.sha, o.doc_id AS keeper, k.rn = 1 AS is_keeper FROM k JOIN k o ON o.sha = k.sha AND o.rn = 1 WHERE k.n > 1""",
 )
 def dup_content_members(spark: SparkSession, d: str) -> DataFrame:
-    groups = dup_content_groups(spark, d).select("sha", "keeper")
-    return _contents(spark, d).join(groups, "sha").select("doc_id", "sha", "keeper", (F.col("doc_id") == F.col("keeper")).alias("is_keeper"))
+    rows = graph.kept(_contents(spark, d))  # texts are read and hashed once
+    return rows.join(_groups(rows).select("sha", "keeper"), "sha").select("doc_id", "sha", "keeper", (F.col("doc_id") == F.col("keeper")).alias("is_keeper"))
 
 
 @query(
@@ -50,7 +54,7 @@ def dup_content_members(spark: SparkSession, d: str) -> DataFrame:
 )
 def dup_mark_plan(spark: SparkSession, d: str) -> DataFrame:
     """Marks the chosen ones (here: English) as copies of a keeper, one outside the choice where there is one."""
-    rows = _contents(spark, d).withColumn("chosen", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    rows = graph.kept(_contents(spark, d)).withColumn("chosen", F.coalesce(F.col("lang") == "en", F.lit(False)))
     key = F.struct(F.col("chosen").alias("o"), F.col("lang").isNull().alias("a"), F.col("source").isNull().alias("b"), (-F.col("n_chars")).alias("c"), F.col("source").alias("e"), F.col("lang").alias("f"), F.col("doc_id").alias("id"))
     keepers = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("k")).where("n > 1").select("sha", F.col("k.id").alias("dup_of"))
     return rows.where("chosen").join(keepers, "sha").where("doc_id <> dup_of").select("doc_id", "dup_of")
@@ -62,7 +66,7 @@ def dup_mark_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def composite_key_match(spark: SparkSession, d: str) -> DataFrame:
     """The first other content of equal size and checksum: the least two ids of each key, not its pairs."""
-    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.md5("text").alias("sum"))
+    rows = graph.kept(table(spark, d, "documents").select("doc_id", "n_chars", F.md5("text").alias("sum")))
     least = rows.groupBy("n_chars", "sum").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = rows.join(least, ["n_chars", "sum"])
     second = met.where("doc_id <> first").groupBy("n_chars", "sum").agg(F.min("doc_id").alias("second"))
