@@ -377,6 +377,84 @@ def candidate_editions(spark: SparkSession, d: str) -> DataFrame:
     return j.select("o_orderkey", F.when(F.col("cd"), "cd_rip").otherwise("digital").alias("slot"), name.alias("name"))
 
 
+def _key(c: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({c}), '\\([^()]*\\)', '', 'g'), '[^a-z0-9]+', '', 'g')"
+
+
+MATCH_FILES = """r AS (SELECT l_orderkey AS edition, l_linenumber AS row, any_value(p_name ORDER BY p_partkey, l_suppkey) AS title, max(l_quantity) * 1000 AS ms FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+    f AS (SELECT edition, row AS file, CASE row % 4 WHEN 0 THEN title WHEN 1 THEN title || ' (live)' WHEN 2 THEN string_split(title, ' ')[1] ELSE 'other' END AS name, ms / 1000 + (row % 3) * 2 AS seconds, edition % 7 = 0 AND row = 1 AS heard FROM r)"""
+
+
+@query(
+    "matched_files",
+    rf"""WITH {MATCH_FILES}, k AS (SELECT f.edition, f.file, r.row, f.heard AND r.row = 2 AS heard, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS fe, {_key("name")} AS fk, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS re, {_key("title")} AS rk, abs(seconds * 1000 - ms) AS gap FROM f JOIN r USING (edition)),
+    s AS (SELECT *, CASE WHEN heard THEN 10 ELSE 0 END + CASE WHEN fe = re THEN 10 WHEN fk = rk THEN 6 WHEN least(len(fk), len(rk)) >= 3 AND (ends_with(rk, fk) OR starts_with(rk, fk) OR ends_with(fk, rk) OR starts_with(fk, rk)) THEN 3 ELSE 0 END AS said FROM k),
+    t AS (SELECT edition, file, row, CASE WHEN said > 0 OR gap <= 3000 THEN said + CASE WHEN gap <= 1500 THEN 3 WHEN gap <= 3000 THEN 2 WHEN gap <= 6000 THEN 0 ELSE -6 END + CASE WHEN file = row THEN 1 ELSE 0 END ELSE 0 END AS score FROM s),
+    b AS (SELECT *, row_number() OVER (PARTITION BY edition, file ORDER BY score DESC) AS rn, lead(score) OVER (PARTITION BY edition, file ORDER BY score DESC) AS next FROM t)
+    SELECT edition, file, row, CAST(score AS INTEGER) AS score FROM b WHERE rn = 1 AND score >= 3 AND (next IS NULL OR next < score)""",
+)
+def matched_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files to the rows of their edition; pairs stay within an edition, which bounds them."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    r = li.groupBy(F.col("l_orderkey").alias("edition"), F.col("l_linenumber").alias("row")).agg(F.min(F.struct("p_partkey", "l_suppkey", "p_name")).alias("x"), (F.max("l_quantity") * 1000).alias("ms")).select("edition", "row", F.col("x.p_name").alias("title"), "ms")
+    exact = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    loose = lambda c: exact(F.regexp_replace(c, r"\([^()]*\)", ""))
+    k = F.col("row") % 4
+    name = F.when(k == 0, F.col("title")).when(k == 1, F.concat("title", F.lit(" (live)"))).when(k == 2, F.split("title", " ")[0]).otherwise("other")
+    f = r.select("edition", F.col("row").alias("file"), name.alias("name"), (F.col("ms") / 1000 + (F.col("row") % 3) * 2).alias("seconds"))
+    f = f.select(F.col("edition").alias("of"), "file", exact(F.col("name")).alias("f_exact"), loose(F.col("name")).alias("f_key"), "seconds", F.lit(1).alias("f_disc"), F.col("file").alias("f_track"))
+    e = r.select("edition", "row", "ms", exact(F.col("title")).alias("r_exact"), loose(F.col("title")).alias("r_key"), F.lit(1).alias("r_disc"), F.col("row").alias("r_position"))
+    e = e.withColumns({"e_exact": F.col("r_exact"), "e_key": F.col("r_key")})
+    heard = (F.col("edition") % 7 == 0) & (F.col("file") == 1) & (F.col("row") == 2)
+    return placement.matched(placement.match_scores(f.join(e, F.col("of") == F.col("edition")).withColumn("heard", heard)), ["edition", "file"], "row")
+
+
+PRESETS = {
+    "sure": "place IS NULL AND suggested AND confidence >= 0.8",
+    "unsure": "place IS NULL AND suggested AND confidence < 0.5",
+    "seal": "suggested_seal AND NOT sealed AND kind = 'archive'",
+    "sealed": "sealed",
+    "duplicates": "copies > 1",
+    "recordings": "matches > 0",
+    "third_party": "rights = 'third'",
+    "unknown_rights": "rights = 'unknown' AND place IS NOT NULL",
+    "recent": "added >= DATE '1998-06-01' - INTERVAL 7 DAY",
+    "gone": "origin = 'nas' AND coalesce(last_seen < DATE '1997-01-01', true)",
+    "unlinked": "kind = 'audio' AND place IS NOT NULL AND track IS NULL",
+    "title_differs": "title_key <> entry_key",
+    "format_differs": "ext <> folder_ext",
+    "problem_editions": "problems > 0",
+}
+
+PRESET_FILES = [
+    "CASE o_orderkey % 3 WHEN 0 THEN o_custkey END AS place",
+    "o_orderkey % 4 > 0 AS suggested",
+    "(o_orderkey % 11) / 10.0 AS confidence",
+    "o_orderkey % 9 = 0 AS suggested_seal",
+    "o_orderkey % 13 = 0 AS sealed",
+    "CASE o_orderstatus WHEN 'F' THEN 'audio' WHEN 'O' THEN 'archive' ELSE 'text' END AS kind",
+    "o_custkey % 3 AS copies",
+    "o_custkey % 2 AS matches",
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'third' WHEN '5-LOW' THEN 'unknown' ELSE 'own' END AS rights",
+    "o_orderdate AS added",
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'nas' ELSE 'web' END AS origin",
+    "CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS last_seen",
+    "CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey END AS track",
+    "o_orderkey % 7 AS title_key",
+    "o_custkey % 7 AS entry_key",
+    "o_orderkey % 2 AS ext",
+    "o_custkey % 2 AS folder_ext",
+    "o_custkey % 4 AS problems",
+]
+
+
+@query("preset_lists", f"SELECT v.view, v.n FROM (SELECT {', '.join(f'count(*) FILTER ({c}) AS {n}' for n, c in PRESETS.items())} FROM (SELECT {', '.join(PRESET_FILES)} FROM orders)) UNPIVOT (n FOR view IN ({', '.join(PRESETS)})) v")
+def preset_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The fourteen lists of a desk, counted in one pass."""
+    files = table(spark, d, "orders").selectExpr(*PRESET_FILES)
+    return predicates.counted(files, {n: F.expr(c) for n, c in PRESETS.items()})
+
+
 @query(
     "generated_tracks",
     """WITH f AS (SELECT l_orderkey AS edition, l_partkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS id, l_partkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS disc, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),

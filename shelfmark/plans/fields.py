@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import parse, tags
 from shelfmark.functions.text import folded, page_of, read_bytes
-from shelfmark.operators import graph
+from shelfmark.operators import graph, sequences
 from shelfmark.plans.catalogue import query
 from shelfmark.sources import sinks, tables
 from shelfmark.sources.tables import table
@@ -285,6 +285,29 @@ def archive_code_pages(spark: SparkSession, d: str) -> DataFrame:
     return t.select("archive", page_of("names").alias("page"))
 
 
+HMAC_KEY = b"shelf"
+_PADS = [bytes(b ^ x for b in HMAC_KEY.ljust(64, b"\0")).hex() for x in (0x36, 0x5C)]
+
+
+@query("content_hashes", f"SELECT item_id, sha1(text) AS sha1, md5(text) AS md5, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(text)))) AS signature FROM benchmark")
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """SHA-1 and MD5 of contents, and the HMAC-SHA-256 signature of an address."""
+    inner, outer = (F.unhex(F.lit(x)) for x in _PADS)
+    data = F.encode("text", "UTF-8")
+    signature = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, data), 256))), 256)
+    return table(spark, d, "benchmark").select("item_id", F.sha1(data).alias("sha1"), F.md5(data).alias("md5"), signature.alias("signature"))
+
+
+@query("stored_prints", r"""SELECT item_id, list_aggregate([CAST(('0x' || substr(md5(x), 1, 8))::BIGINT AS VARCHAR) FOR x IN regexp_extract_all(text, '[^ \n\t\r]+')], 'string_agg', ',') AS print FROM benchmark""")
+def stored_prints(spark: SparkSession, d: str) -> DataFrame:
+    """Prints as base64 of little-endian 32-bit words, and read back."""
+    v = sequences.values(table(spark, d, "benchmark"), "item_id", "text", "item_id")
+    turned = lambda h: F.concat(*(F.substring(h, i, 2) for i in (7, 5, 3, 1)))
+    stored = v.select("item_id", F.base64(F.unhex(F.array_join(F.transform("v", lambda x: turned(F.lpad(F.hex(x), 8, "0"))), ""))).alias("b64"))
+    words = F.regexp_extract_all(F.hex(F.unbase64("b64")), F.lit("[0-9A-F]{8}"), F.lit(0))
+    return stored.select("item_id", F.array_join(F.transform(words, lambda w: F.conv(turned(w), 16, 10)), ",").alias("print"))
+
+
 # JSON
 
 
