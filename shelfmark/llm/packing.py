@@ -216,7 +216,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 1024, end_id: i
     # a row for each task and tier
     made = pieces.groupBy("task", "tier").agg((F.max("place") + 1).alias("n"))
     before = made.select("task", "tier", (F.sum("n").over(Window.partitionBy("tier").orderBy("task")) - F.col("n")).alias("before"))
-    return pieces.join(before, ["task", "tier"]).withColumn("step_group", F.pmod(F.col("before") + F.col("place"), F.lit(groups).cast("long"))).drop("task", "place", "before")
+    group = F.pmod(F.col("before") + F.col("place"), F.lit(groups).cast("long")).alias("step_group")
+    return pieces.join(before, ["task", "tier"]).select(*(c for c in arrow.names if c != "place"), group)
 
 
 def _default_vocabulary() -> str:
