@@ -196,7 +196,7 @@ def nearest(words: DataFrame, least: int, most_in_group: int = 50_000, words_in_
     blocks = F.coalesce(F.ceil(F.col("n_in") / most_in_group), F.lit(1)).cast("int")
     sides = sides.select("word", "n", "side", "key", F.pmod(F.xxhash64("word"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     tasks = max(spark.sparkContext.defaultParallelism, 2 * words.count() // words_in_task)
-    dealt = sides.repartition(tasks, "side", "key", "block").select("word", "n", "side", (F.col("own") == F.col("block")).alias("held"))
+    dealt = sides.repartition(tasks, "side", "key", "block").select("word", "n", "side", "block", (F.col("own") == F.col("block")).alias("held"))
     schema = StructType.fromDDL("word string, n_near long, near_n long, near string")
     arrow = to_arrow_schema(schema)
 
@@ -205,8 +205,10 @@ def nearest(words: DataFrame, least: int, most_in_group: int = 50_000, words_in_
         if not every:
             return
         every = pa.Table.from_batches(every)
-        for side, (first, end) in enumerate(((k, None), (0, k))):
-            part = every.filter(pc.equal(every["side"], side))
+        # groups can be looked up together, as their candidates differ; blocks of one group can't
+        for side, block in sorted({(r["side"], r["block"]) for r in every.select(["side", "block"]).group_by(["side", "block"]).aggregate([]).to_pylist()}):
+            first, end = ((k, None), (0, k))[side]
+            part = every.filter(pc.and_(pc.equal(every["side"], side), pc.equal(every["block"], block)))
             held = part.filter(part["held"])
             if not held.num_rows:
                 continue

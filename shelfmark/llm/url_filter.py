@@ -88,7 +88,8 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = "allow", most_broad
     fits = met.where((F.col("asked") == F.col("digest")) & F.startswith("start", F.col("rule_path")))
     order = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
     best = fits.groupBy("host", "start").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), order).alias("best"))
-    best = best.select(F.col("host").alias("best_host"), F.col("start").alias("best_start"), "best")
+    # written, so that the join below can split a hot url's rows
+    best = written(best.select(F.col("host").alias("best_host"), F.col("start").alias("best_start"), "best"))
     both = rows.join(best, (F.col("host") == F.col("best_host")) & (start == F.col("best_start")), "left")
     return both.select(*rows.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
