@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_NAME = 200
@@ -32,10 +32,10 @@ def checked(rules: list[dict], allowed: dict[str, set[str]]) -> list[Rule]:
         seen.add(name)
         if not isinstance(confidence, (int, float)) or not 0 <= confidence <= 1:
             raise ValueError(f"rule {name!r}: confidence {confidence!r}")
-        try:
-            re.compile(raw.get("pattern") or "")
-        except re.error as e:
-            raise ValueError(f"rule {name!r}: {e}") from e
+        try:  # the engine that will run it
+            SparkSession.active().range(1).select(F.lit("").rlike(raw.get("pattern") or "")).collect()
+        except PySparkException as e:
+            raise ValueError(f"rule {name!r}: bad pattern {raw.get('pattern')!r}") from e
         values = {k: v for k, v in raw.items() if k not in ("name", "pattern", "confidence", "keep")}
         for k, v in values.items():
             if k not in allowed or v not in allowed[k]:
@@ -45,10 +45,9 @@ def checked(rules: list[dict], allowed: dict[str, set[str]]) -> list[Rule]:
 
 
 def kept_folders(path: Column, pattern: str) -> Column:
-    """The folders of a path below the end of the match, joined by slashes."""
-    found = F.regexp_substr(path, F.lit(pattern))
-    rest = F.trim(F.substr(path, F.instr(path, found) + F.length(found)), F.lit("/"))
-    parts = F.split(rest, "/")
+    """The folders of a path below the end of the first match, joined by slashes."""
+    rest = F.regexp_replace(path, rf"^[\s\S]*?(?:{pattern})", "")
+    parts = F.split(F.trim(rest, F.lit("/")), "/")
     return F.array_join(F.transform(F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x != ""), lambda x: F.substring(x, 1, MOST_NAME)), "/")
 
 
@@ -88,14 +87,21 @@ def problems(releases: DataFrame, eras: set[str], kinds: set[str]) -> DataFrame:
     return r.select("row", "id", F.coalesce(*(F.when(c, p) for c, p in checks)).alias("problem"))
 
 
-def titles_in(texts: DataFrame, names: DataFrame, most_words: int) -> DataFrame:
+def titles_in(texts: DataFrame, names: DataFrame, most_words: int | None = None) -> DataFrame:
     """(id, release): the release whose name stands in a text as whole words, the longest name; where two tie there is none.
 
-    texts (id, words: array), names (release, name: words joined by spaces, at most most_words). Texts are cut into runs of
-    words and joined by equality, so no text meets every name.
+    texts (id, words: array), names (release, name: words joined by spaces; at most most_words, or as many as they have). Where both have a column ``era``, a text's era, if it
+    has one, must be the release's. Runs of words that begin like a name are joined to the names by equality, so no text meets
+    every name, and of texts only such runs move.
     """
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, n), " "))))
-    found = texts.select("id", F.explode(F.array_distinct(runs)).alias("name")).where("name <> ''").join(names, "name")
+    has_era = "era" in texts.columns and "era" in names.columns
+    names = names.select("release", "name", F.col("era").alias("its_era") if has_era else F.lit(None).cast("string").alias("its_era"))
+    most = most_words or names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    starts = F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, most))).otherwise(F.array())
+    runs = texts.select("id", (F.col("era") if has_era else F.lit(None).cast("string")).alias("era"), F.explode(F.array_distinct(starts)).alias("run"))
+    begun = runs.withColumn("word", F.get("run", F.lit(0))).join(names.select(F.split("name", " ")[0].alias("word")).distinct(), "word", "left_semi")
+    tried = begun.select("id", "era", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.array_join(F.slice("run", F.lit(1), n), " "))).alias("name"))
+    found = tried.join(names, "name").where(F.col("era").isNull() | F.col("era").eqNullSafe(F.col("its_era")))
     best = found.groupBy("id", F.length("name").alias("size")).agg(F.min("release").alias("a"), F.max("release").alias("b"))
     best = best.groupBy("id").agg(F.max(F.struct("size", "a", "b")).alias("x"))
     return best.where("x.a = x.b").select("id", F.col("x.a").alias("release"))

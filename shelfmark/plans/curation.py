@@ -58,14 +58,14 @@ def rules_applied(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "title_in_text",
-    r"""WITH w AS (SELECT doc_id AS id, ' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' ' AS hay FROM documents WHERE doc_id % 4 < 4), n AS (SELECT DISTINCT item_id AS release, array_to_string(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')[2:2 + item_id % 3], ' ') AS name FROM benchmark),
+    r"""WITH w AS (SELECT doc_id AS id, ' ' || trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) || ' ' AS hay FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT DISTINCT item_id AS release, array_to_string(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')[2:2 + item_id % 3], ' ') AS name FROM benchmark),
     h AS (SELECT id, release, length(name) AS size FROM w JOIN n ON name <> '' AND contains(hay, ' ' || name || ' ')), m AS (SELECT id, size, min(release) AS a, max(release) AS b, row_number() OVER (PARTITION BY id ORDER BY size DESC) AS rn FROM h GROUP BY id, size)
     SELECT id, a AS release FROM m WHERE rn = 1 AND a = b""",
 )
 def title_in_text(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z]+", " ")), " ")
     names = table(spark, d, "benchmark").select(F.col("item_id").alias("release"), F.array_join(F.slice(words("text"), F.lit(2), (F.col("item_id") % 3 + 1).cast("int")), " ").alias("name")).where("name <> ''").distinct()
-    return rules.titles_in(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words("text").alias("words")), names, 3)
+    return rules.titles_in(table(spark, d, "documents").select(F.col("doc_id").alias("id"), words("text").alias("words")), names)
 
 
 # guarded writes
