@@ -108,3 +108,31 @@ def components(pairs: DataFrame) -> DataFrame:
             centres = new.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
             return centres.unionAll(new.select(F.col("b").alias("node"), F.col("a").alias("label")))
         edges = new
+
+
+def chains(rows: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(id, oldest, depth, replaced_by) of versions (id, replaces): the first version of each one's chain, how many versions stand
+    before it, and the least of those that replace it.
+
+    Each pointer is joined with the pointers of where it leads, so it reaches twice as far in each round. A pointer to a version that
+    isn't there ends the chain. Two versions may replace the same one; of repeated ids the least pointer counts. A cycle, or a chain of more than most_depth versions
+    before one, is an error.
+    """
+    rows = kept(rows.groupBy("id").agg(F.min("replaces").alias("replaces")))
+    there = rows.select(F.col("id").alias("replaces"))
+    links = rows.select("id", "replaces").where("replaces is not null").join(there, "replaces", "left_semi")
+    at = kept(rows.select("id").join(links, "id", "left").select("id", F.coalesce("replaces", "id").alias("to"), F.col("replaces").isNotNull().cast("int").alias("depth")))
+    reach = 1
+    while True:
+        on = at.where("depth > 0").select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("depth").alias("more"))
+        moved = at.join(on, "to", "left")
+        if moved.where("more is not null").isEmpty():
+            break
+        if reach > most_depth:
+            raise ValueError(f"a cycle, or a chain of more than {most_depth} versions")
+        at = kept(moved.select("id", F.coalesce("further", "to").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        reach *= 2
+    if not at.where(F.col("depth") > most_depth).isEmpty():
+        raise ValueError(f"a chain of more than {most_depth} versions")
+    next_ = links.groupBy(F.col("replaces").alias("id")).agg(F.min("id").alias("replaced_by"))
+    return at.select("id", F.col("to").alias("oldest"), "depth").join(next_, "id", "left")

@@ -1,7 +1,8 @@
-"""Order-dependent resolution within groups: guarded merging and greedy one-to-one assignment.
+"""Order-dependent resolution: guarded merging, greedy one-to-one assignment, merging of orders.
 
-Both stream through partitions that are sorted by group and rank, and hold the state of one group at a time: its nodes and their
-guards, or the ends that are taken. Groups are releases or editions, which their own content bounds; one group is one task's work.
+Each result is defined by a sequence of steps in a strict order. Small groups (of at most ``most_in_task`` pairs) stream through
+partitions that are sorted by group and order. Of larger groups, assignment is found in rounds over all pairs at once, and merging
+by connected components of the edges.
 """
 
 from __future__ import annotations
@@ -10,11 +11,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from shelfmark.operators.graph import components, kept
+
+
+def _by_size(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of small groups, and those of large ones as a written table (none if there are no large groups)."""
+    large = kept(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(by))
+    if large.isEmpty():
+        return rows, None
+    few = F.broadcast(large) if large.count() <= 10_000 else large
+    return rows.join(few, by, "left_anti"), kept(rows.join(few, by, "left_semi"))
 
-def guarded_groups(edges: DataFrame, by: str) -> DataFrame:
-    """Unites the ends of edges (node, guard, other, other_guard) in order of rank, then of nodes, unless both groups hold an
-    equal guard. Returns (by, node, label)."""
+
+def _united(edges: DataFrame, by: list[str], deal: list[str]) -> DataFrame:
+    """Unites along sorted edges, all of one value of ``deal`` in one task; the state is one group's nodes and their guards."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, up, held = None, {}, {}
@@ -24,14 +36,14 @@ def guarded_groups(edges: DataFrame, by: str) -> DataFrame:
                 up[n] = n = up[up[n]]
             return n
 
-        def close() -> list[tuple[int, int, int]]:
-            return [(group, n, find(n)) for n in sorted(up)]
+        def close() -> list[tuple]:
+            return [(group[0], n, find(n)) for n in sorted(up)]
 
         for pdf in parts:
             out = []
-            for g, a, ga, b, gb in zip(pdf[by], pdf["node"], pdf["guard"], pdf["other"], pdf["other_guard"]):
+            for g, a, ga, b, gb in zip(zip(*(pdf[c] for c in (by[0], *deal))), pdf["node"], pdf["guard"], pdf["other"], pdf["other_guard"]):
                 if g != group:
-                    out += close()
+                    out += close() if group else []
                     group, up, held = g, {}, {}
                 for n, guard in ((a, ga), (b, gb)):
                     if n not in up:
@@ -39,17 +51,46 @@ def guarded_groups(edges: DataFrame, by: str) -> DataFrame:
                 x, y = sorted((find(a), find(b)))
                 if x != y and not held[x] & held[y]:
                     up[y] = x
-                    held[x] |= held[y]
-            yield pd.DataFrame(out, columns=[by, "node", "label"])
-        yield pd.DataFrame(close(), columns=[by, "node", "label"])
+                    less, more = sorted((held[x], held.pop(y)), key=len)
+                    more |= less
+                    held[x] = more
+            yield pd.DataFrame(out, columns=[by[0], "node", "label"])
+        yield pd.DataFrame(close() if group else [], columns=[by[0], "node", "label"])
+
+    rows = edges.select(by[0], *(c for c in deal if c != by[0]), "node", "guard", "other", "other_guard", "rank")
+    return rows.repartition(*deal).sortWithinPartitions(*deal, "rank", "node", "other").mapInPandas(run, f"{by[0]} long, node long, label long")
 
-    rows = edges.select(by, "node", "guard", "other", "other_guard", "rank").repartition(by).sortWithinPartitions(by, "rank", "node", "other")
-    return rows.mapInPandas(run, f"{by} long, node long, label long")
+
+def guarded_groups(edges: DataFrame, by: str, most_in_task: int = 200_000) -> DataFrame:
+    """Unites the ends of edges (node, guard, other, other_guard) in order of rank, then of nodes, unless both groups hold an
+    equal guard. Returns (by, node, label): the least node of each group.
+
+    Components of the edges don't touch each other, so those of a large group are dealt out by themselves. A component whose
+    nodes all have guards of their own is one group, and needs no order; only others are followed edge by edge, one component in
+    one task.
+    """
+    small, large = _by_size(edges, by, most_in_task)
+    out = _united(small, [by], [by])
+    if large is None:
+        return out
+    ends = large.select(by, "node", "guard").unionAll(large.select(by, F.col("other").alias("node"), F.col("other_guard").alias("guard"))).distinct()
+    tied = components(large.select(F.struct(by, "node").alias("a"), F.struct(by, F.col("other").alias("node")).alias("b")))
+    part = kept(tied.select(F.col(f"node.{by}").alias(by), F.col("node.node").alias("node"), F.col("label.node").alias("part")))
+    facts = ends.join(part, [by, "node"]).groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("guard").alias("guards"), F.count_if(F.col("guard").isNull()).alias("nulls"))
+    free = kept(facts.where("n = guards + least(nulls, 1)").select(by, "part"))
+    whole = part.join(free, [by, "part"]).select(by, "node", F.col("part").alias("label"))
+    rest = large.join(part, [by, "node"]).join(free, [by, "part"], "left_anti")
+    alone = ends.join(part, [by, "node"], "left_anti").select(by, "node", F.col("node").alias("label")).distinct()  # edges to oneself
+    return out.unionByName(whole).unionByName(_united(rest, [by], [by, "part"])).unionByName(alone)
 
 
-def assign_greedily(pairs: DataFrame, by: str) -> DataFrame:
-    """Takes pairs (left, right, score, near) by score, then nearness, then ids, where both ends are free: (by, left, right,
-    score)."""
+def assign_greedily(pairs: DataFrame, by: str, most_in_task: int = 200_000) -> DataFrame:
+    """Takes pairs (left, right, score, near) by score, then nearness, then ids, where both ends are free: (by, left, right, score).
+
+    In a large group, a pair that is first at both of its ends is taken whatever else happens, so all such pairs are taken at once
+    and the pairs of their ends go; rounds follow until none is left. Few rounds do unless scores fall along a chain of pairs.
+    """
+    small, large = _by_size(pairs.select(by, "left", "right", "score", "near"), by, most_in_task)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, lefts, rights = None, set(), set()
@@ -65,5 +106,50 @@ def assign_greedily(pairs: DataFrame, by: str) -> DataFrame:
                 keep.append(free)
             yield pdf.loc[keep, [by, "left", "right", "score"]]
 
-    rows = pairs.select(by, "left", "right", "score", "near").repartition(by).sortWithinPartitions(by, pairs["score"].desc(), "near", "left", "right")
-    return rows.mapInPandas(run, f"{by} long, left int, right long, score int")
+    kind = dict(small.dtypes)
+    rows = small.repartition(by).sortWithinPartitions(by, small["score"].desc(), "near", "left", "right")
+    out = rows.mapInPandas(run, ", ".join(f"{c} {kind[c]}" for c in (by, "left", "right", "score")))
+    order = F.struct((-F.col("score")).alias("less"), "near", "left", "right").alias("k")
+    while large is not None and not large.isEmpty():
+        at = lambda end: large.groupBy(by, end).agg(F.min(order).alias("k")).select(by, "k")  # noqa: B023, E731
+        first = kept(at("left").join(at("right"), [by, "k"]).select(by, "k.left", "k.right", (-F.col("k.less")).cast(kind["score"]).alias("score")))
+        out = out.unionByName(first)
+        large = kept(large.join(first.select(by, "left"), [by, "left"], "left_anti").join(first.select(by, "right"), [by, "right"], "left_anti"))
+    return out
+
+
+def merged_orders(rows: DataFrame, by: str, item: str, lists: list[str], within: list[str]) -> DataFrame:
+    """(by, item, position): one order of a group's items that keeps each list's own as far as earlier ones allow.
+
+    Lists are folded in the order of ``lists`` (their date and id); a list's items go by ``within``. A new item stands right after
+    the one that precedes it in its list. Items are a chain in which each knows the next one, so a step takes the same time
+    however long the chain is; the state is one group's items.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, after, here, listed = None, {}, None, None
+
+        def close() -> pd.DataFrame:
+            out, x = [], after.get(None)
+            while x is not None:
+                out.append(x)
+                x = after[x]
+            return pd.DataFrame({by: [group] * len(out), item: out, "position": range(1, len(out) + 1)})
+
+        for pdf in parts:
+            for g, one, x in zip(pdf[by], zip(*(pdf[c] for c in lists)), pdf[item]):
+                if g != group:
+                    if after:
+                        yield close()
+                    group, after, listed = g, {}, None
+                if one != listed:
+                    listed, here = one, None
+                if x not in after:
+                    after[x], after[here] = after.get(here), x
+                here = x
+        if after:
+            yield close()
+
+    kind = dict(rows.dtypes)
+    ordered = rows.repartition(by).sortWithinPartitions(by, *lists, *within)
+    return ordered.mapInPandas(run, f"{by} {kind[by]}, {item} {kind[item]}, position int")

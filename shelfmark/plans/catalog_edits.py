@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import parse
-from shelfmark.operators import graph, sequences
+from shelfmark.operators import graph, naming, resolve, sequences
 from shelfmark.plans.catalogue import query
 from shelfmark.plans.matching import PAIRS, part_pairs
 from shelfmark.sources.tables import table
@@ -46,40 +46,19 @@ def renumbered_tracks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.row_number().over(w).alias("position"))
 
 
-@query("merged_order")
+@query(
+    "merged_order",
+    """WITH RECURSIVE l AS (SELECT o_custkey AS c, o_orderdate AS day, o_orderkey AS o, l_partkey AS p, min(l_linenumber) AS no FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    s AS (SELECT *, lag(p) OVER (PARTITION BY c, o ORDER BY no, p) AS before, row_number() OVER (PARTITION BY c ORDER BY day, o, no, p) AS t FROM l),
+    f AS (SELECT c, p, arg_min(coalesce(before, -1), t) AS before, min(t) AS t FROM s GROUP BY c, p),
+    tree AS (SELECT c, p, [-t] AS path FROM f WHERE before = -1 UNION ALL SELECT f.c, f.p, list_append(tree.path, -f.t) FROM tree JOIN f ON f.c = tree.c AND f.before = tree.p)
+    SELECT c AS o_custkey, p AS l_partkey, CAST(row_number() OVER (PARTITION BY c ORDER BY path) AS INTEGER) AS position FROM tree""",
+)
 def merged_order(spark: SparkSession, d: str) -> DataFrame:
-    """One order of a customer's parts that keeps each order's own: the editions are folded oldest first, new ones placed after
-    the track that precedes them."""
-    import pandas as pd
-
+    """One order of a customer's parts that keeps each order's own, the oldest orders first."""
     rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("at"))
-
-    def run(parts):
-        customer, merged, after = None, [], 0
-        order = None
-
-        def close():
-            return pd.DataFrame({"o_custkey": customer, "l_partkey": merged, "position": range(1, len(merged) + 1)}, columns=["o_custkey", "l_partkey", "position"])
-
-        for pdf in parts:
-            for c, o, p in zip(pdf["o_custkey"], pdf["o_orderkey"], pdf["l_partkey"]):
-                if c != customer:
-                    if customer is not None:
-                        yield close()
-                    customer, merged, order = c, [], None
-                if o != order:
-                    order, after = o, 0
-                if p in merged:
-                    after = merged.index(p) + 1
-                else:
-                    merged.insert(after, p)
-                    after += 1
-        if customer is not None:
-            yield close()
-
-    ordered = rows.repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderdate", "o_orderkey", "at", "l_partkey")
-    return ordered.mapInPandas(run, "o_custkey long, l_partkey long, position int")
+    return resolve.merged_orders(rows, "o_custkey", "l_partkey", ["o_orderdate", "o_orderkey"], ["at", "l_partkey"])
 
 
 @query(
@@ -148,6 +127,26 @@ def free_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", F.when(F.col("rn") == 1, F.concat("p_name", F.lit(".ext"))).otherwise(F.format_string("%s (%d).ext", "p_name", "rn")).alias("name"))
 
 
+@query(
+    "free_file_names",
+    r"""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_brand AS folder, CASE WHEN p_partkey % 7 = 0 THEN upper(p_name) ELSE p_name END || CASE WHEN p_partkey % 11 = 0 THEN ' (' || (p_partkey % 3 + 1) || ')' ELSE '' END || CASE WHEN p_partkey % 5 < 3 THEN '.ext' ELSE '' END AS name FROM part),
+    t AS (SELECT DISTINCT folder, lower(name) AS name FROM n WHERE id % 4 = 0),
+    a AS (SELECT id, folder, name, lower(name) IN (SELECT t.name FROM t WHERE t.folder = n.folder) OR row_number() OVER (PARTITION BY folder, lower(name) ORDER BY id) > 1 AS clash FROM n WHERE id % 4 > 0),
+    used AS (SELECT * FROM t UNION SELECT folder, lower(name) FROM a WHERE NOT clash),
+    c AS (SELECT *, lower(regexp_replace(name, '\.ext$', '')) AS stem, CASE WHEN ends_with(name, '.ext') THEN '.ext' ELSE '' END AS ext FROM a WHERE clash),
+    q AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY id) AS i FROM c),
+    m AS (SELECT folder, stem, ext, max(i) AS most FROM q GROUP BY ALL),
+    free AS (SELECT folder, stem, ext, k, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY k) AS i FROM (SELECT m.*, unnest(range(2, most + 50)) AS k FROM m) x WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = x.folder AND u.name = x.stem || ' (' || x.k || ')' || x.ext))
+    SELECT id, folder, name AS free FROM a WHERE NOT clash UNION ALL SELECT id, folder, regexp_replace(name, '\.ext$', '') || ' (' || k || ')' || ext FROM q JOIN free USING (folder, stem, ext, i)""",
+)
+def free_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """New files in folders where names, and names with numbers, are shown already."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 7 == 0, F.upper("p_name")).otherwise(F.col("p_name")), F.when(k % 11 == 0, F.concat(F.lit(" ("), (k % 3 + 1).cast("string"), F.lit(")"))).otherwise(""), F.when(k % 5 < 3, ".ext").otherwise(""))
+    files = table(spark, d, "part").select(k.alias("id"), F.col("p_brand").alias("folder"), name.alias("name"))
+    return naming.free_names(files.where("id % 4 > 0"), files.where("id % 4 = 0"))
+
+
 @query(
     "bulk_rename",
     "SELECT s_suppkey, lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS VARCHAR), 3, '0') || ' ' || replace(s_name, 'Supplier#', '') AS name FROM supplier",

@@ -102,6 +102,19 @@ def version_chain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("replaces"), F.row_number().over(w).alias("version"), F.count(F.lit(1)).over(own).alias("versions"))
 
 
+@query(
+    "version_pointers",
+    """WITH RECURSIVE f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN -o_orderkey ELSE lag(o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS replaces FROM orders),
+    c AS (SELECT id, id AS top, 0 AS depth FROM f UNION ALL SELECT g.id, c.top, c.depth + 1 FROM c JOIN f ON f.id = c.id JOIN f g ON g.id = f.replaces)
+    SELECT top AS id, arg_max(id, depth) AS oldest, max(depth) AS depth, (SELECT min(f.id) FROM f WHERE f.replaces = top) AS replaced_by FROM c GROUP BY top""",
+)
+def version_pointers(spark: SparkSession, d: str) -> DataFrame:
+    """Versions that point to the one they replace, with branches and pointers to versions that are gone, followed to the oldest."""
+    o, w = F.col("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    replaces = F.when(o % 5 == 0, None).when(o % 9 == 0, -o).when(o % 4 == 0, F.lag("o_orderkey", 2).over(w)).otherwise(F.lag("o_orderkey").over(w))
+    return graph.chains(table(spark, d, "orders").select(o.alias("id"), replaces.alias("replaces")))
+
+
 REV = "rev AS (SELECT event_id AS id, ts AS at, user_id || ':' || strftime(ts, '%Y-%m-%d') AS batch_id, event_type AS entity, user_id AS entity_id, value AS after_v, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before_v FROM events)"
 
 

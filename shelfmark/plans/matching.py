@@ -123,7 +123,16 @@ def merge_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(near.unionAll(same))
 
 
-@query("connected_songs", None)
+@query(
+    "connected_songs",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS c, o_orderkey AS node, strftime(o_orderdate, '%m') AS guard, strftime(o_orderdate, '%Y') AS y FROM orders),
+    e AS (SELECT c, node, guard, lead(node) OVER w AS other, lead(guard) OVER w AS og FROM o WINDOW w AS (PARTITION BY c, y ORDER BY node)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY guard = og, node, other) AS n FROM e WHERE other IS NOT NULL),
+    s AS (SELECT c, CAST(0 AS BIGINT) AS n, list({'node': node, 'label': node, 'guard': guard}) AS g FROM (SELECT c, node, guard FROM r UNION SELECT c, other, og FROM r) GROUP BY c
+    UNION ALL SELECT c, n, CASE WHEN list_has_any([x.guard FOR x IN g IF x.label = la], [x.guard FOR x IN g IF x.label = lb]) THEN g ELSE [{'node': x.node, 'label': CASE WHEN x.label = greatest(la, lb) THEN least(la, lb) ELSE x.label END, 'guard': x.guard} FOR x IN g] END
+    FROM (SELECT s.c, r.n, s.g, [x.label FOR x IN s.g IF x.node = r.node][1] AS la, [x.label FOR x IN s.g IF x.node = r.other][1] AS lb FROM s JOIN r ON r.c = s.c AND r.n = s.n + 1))
+    SELECT c AS o_custkey, x.node AS node, x.label AS label FROM (SELECT c, unnest(arg_max(g, n)) AS x FROM s GROUP BY c)""",
+)
 def connected_songs(spark: SparkSession, d: str) -> DataFrame:
     """Guarded merging: candidate pairs in order of rank unite unless both groups hold an order of one month."""
     from shelfmark.operators.resolve import guarded_groups
@@ -181,7 +190,15 @@ def file_row_scoring(spark: SparkSession, d: str) -> DataFrame:
     return r.select("l_orderkey", "l_linenumber", "line_part", "p_partkey", "score")
 
 
-@query("greedy_assignment")
+@query(
+    "greedy_assignment",
+    """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, p_size FROM lineitem JOIN part ON p_partkey = l_partkey),
+    p AS (SELECT a.l_orderkey, a.l_linenumber AS "left", b.l_partkey AS "right", 20 - abs(a.p_size - b.p_size) AS score, abs(a.l_linenumber - b.l_linenumber) AS near FROM l a JOIN l b USING (l_orderkey) WHERE abs(a.p_size - b.p_size) <= 20),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, near, "left", "right") AS n FROM p),
+    g AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS n, CAST([] AS INTEGER[]) AS ls, CAST([] AS BIGINT[]) AS rs, false AS took FROM p
+    UNION ALL SELECT l_orderkey, n, CASE WHEN took THEN list_append(ls, "left") ELSE ls END, CASE WHEN took THEN list_append(rs, "right") ELSE rs END, took FROM (SELECT g.l_orderkey, r.n, g.ls, g.rs, r."left", r."right", NOT list_contains(g.ls, r."left") AND NOT list_contains(g.rs, r."right") AS took FROM g JOIN r ON r.l_orderkey = g.l_orderkey AND r.n = g.n + 1))
+    SELECT l_orderkey, "left", "right", score FROM g JOIN r USING (l_orderkey, n) WHERE took""",
+)
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Lines to parts of the same brand within an order, one to one, best scores first."""
     from shelfmark.operators.resolve import assign_greedily
