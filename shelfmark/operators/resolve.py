@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from shelfmark.operators.graph import components, kept
 
@@ -45,9 +46,9 @@ def _united(edges: DataFrame, by: list[str], deal: list[str]) -> DataFrame:
                 if g != group:
                     out += close() if group else []
                     group, up, held = g, {}, {}
-                for n, guard in ((a, ga), (b, gb)):
+                for n, guards in ((a, ga), (b, gb)):
                     if n not in up:
-                        up[n], held[n] = n, {guard}
+                        up[n], held[n] = n, set(guards)
                 x, y = sorted((find(a), find(b)))
                 if x != y and not held[x] & held[y]:
                     up[y] = x
@@ -63,12 +64,14 @@ def _united(edges: DataFrame, by: list[str], deal: list[str]) -> DataFrame:
 
 def guarded_groups(edges: DataFrame, by: str, most_in_task: int = 200_000) -> DataFrame:
     """Unites the ends of edges (node, guard, other, other_guard) in order of rank, then of nodes, unless both groups hold an
-    equal guard. Returns (by, node, label): the least node of each group.
+    equal guard. Returns (by, node, label): the least node of each group. A node has one guard, or an array of them.
 
     Components of the edges don't touch each other, so those of a large group are dealt out by themselves. A component whose
     nodes all have guards of their own is one group, and needs no order; only others are followed edge by edge, one component in
     one task.
     """
+    if not isinstance(edges.schema["guard"].dataType, ArrayType):
+        edges = edges.withColumns({"guard": F.array("guard"), "other_guard": F.array("other_guard")})
     small, large = _by_size(edges, by, most_in_task)
     out = _united(small, [by], [by])
     if large is None:
@@ -76,8 +79,9 @@ def guarded_groups(edges: DataFrame, by: str, most_in_task: int = 200_000) -> Da
     ends = large.select(by, "node", "guard").unionAll(large.select(by, F.col("other").alias("node"), F.col("other_guard").alias("guard"))).distinct()
     tied = components(large.select(F.struct(by, "node").alias("a"), F.struct(by, F.col("other").alias("node")).alias("b")))
     part = kept(tied.select(F.col(f"node.{by}").alias(by), F.col("node.node").alias("node"), F.col("label.node").alias("part")))
-    facts = ends.join(part, [by, "node"]).groupBy(by, "part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("guard").alias("guards"), F.count_if(F.col("guard").isNull()).alias("nulls"))
-    free = kept(facts.where("n = guards + least(nulls, 1)").select(by, "part"))
+    each = ends.join(part, [by, "node"]).select(by, "part", F.explode_outer("guard").alias("guard"), (F.size("guard") > 0).alias("any"))
+    uses = each.groupBy(by, "part", "guard").agg(F.count_if("any").alias("n"))
+    free = kept(uses.groupBy(by, "part").agg(F.max("n").alias("n")).where("n <= 1").select(by, "part"))
     whole = part.join(free, [by, "part"]).select(by, "node", F.col("part").alias("label"))
     rest = large.join(part, [by, "node"]).join(free, [by, "part"], "left_anti")
     alone = ends.join(part, [by, "node"], "left_anti").select(by, "node", F.col("node").alias("label")).distinct()  # edges to oneself

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from shelfmark.plans import catalog_edits, curation, fields, history, listing, matching, media, queues  # noqa: F401
+from shelfmark.plans import catalog_edits, curation, editions, fields, history, listing, matching, media, queues  # noqa: F401
 from shelfmark.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
