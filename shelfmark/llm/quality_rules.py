@@ -2,9 +2,14 @@
 
 Metrics of every whole text come first (one pass, a small table). Fixed base rules reject very short or repetitive texts.
 For the others, each (lang, source) group has a mergeable quantile sketch (``percentile_approx``) for each metric, built
-partly in each task and merged, so a hot source is no single task's work. A group's fences lie ``reach`` times its
-interquartile range (or a floor on that range) beyond the quartiles; groups under ``least_rows`` rows take the fences of
-their language, then of all rows. Documents beyond a fence are not kept.
+partly in each task and merged, so a hot source is no single task's work. A group's fence is read from the tail of its own
+sketch: where the widest gap between neighbouring quantiles (0.9, 0.9025, ..., 0.9975) is wider than all that lies between the
+median and the gap, values beyond it are a population of their own, and the fence stands in its middle; else the fence stands as far
+beyond the 0.99 quantile as that is from the 0.9 one. Short words have the second kind of fence alone, as texts with shorter words than
+most (verse, talk) are no fault. A group's fence is the mean of this one, weighted with the group's rows, and
+its language's, weighted with ``prior`` rows; a language's is drawn towards that of all rows in the same way. So no group needs a
+least size, and small ones differ little from their language. A share counts as beyond a fence only if it is so by more than its
+standard error (a few symbols in a text may be chance). Documents beyond a fence are not kept.
 
 Null texts have no words and fail the base rules; null lang or source are groups of their own. Empty tables give no rows;
 repeated rows are documents of their own.
@@ -15,13 +20,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Remembered, arrow_map, written
 
-#: Metrics and the floors on their ranges; with quartiles at 0, the shares' fences lie at 0.24 of the lines and 0.12 of the words.
-METRICS = {"word_length": 0.5, "symbol_share": 0.02, "dup_line_share": 0.04, "repeat_share": 0.02}
+#: Metrics, and what a share is a share of; word_length has a lower fence too.
+METRICS = {"word_length": None, "symbol_share": "word_chars", "dup_line_share": "n_lines", "repeat_share": "n_words"}
+#: The tail of a sketch: the median and 40 quantiles above 0.9.
+LEVELS = [0.5, *(round(0.9 + i / 400, 4) for i in range(40))]
 
 
 class TextMetrics:
@@ -85,18 +92,43 @@ def metrics(docs: DataFrame) -> DataFrame:
     return arrow_map(rows, start, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
 
 
-def fences(good: DataFrame, by: list[str], reach: float, accuracy: int) -> DataFrame:
-    """For each group its rows and, for each metric, the range of values that stay."""
-    sketches = good.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *(F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in METRICS))
-    out = []
-    for m, least in METRICS.items():
-        lo, hi = F.col(m)[0], F.col(m)[1]
-        spread = F.greatest(hi - lo, F.lit(least))
-        out.append(F.struct((lo - reach * spread).alias("lo"), (hi + reach * spread).alias("hi")).alias(m))
-    return sketches.select(*by, "n_rows", *out)
+def far_fence(quantiles: Column) -> Column:
+    """As far beyond the 0.99 quantile as that is from the 0.9 one."""
+    start, far = (F.get(quantiles, F.lit(LEVELS.index(p))) for p in (0.9, 0.99))
+    return far + (far - start)
 
 
-def judge(docs: DataFrame, least_rows: int = 50, reach: float = 6.0, accuracy: int = 2000) -> DataFrame:
+def fence(quantiles: Column) -> Column:
+    """The upper fence of a metric from its quantiles at LEVELS."""
+    tail = F.slice(quantiles, 2, len(LEVELS) - 1)
+    gaps = F.transform(F.sequence(F.lit(1), F.lit(len(LEVELS) - 2)), lambda i: F.struct((F.get(tail, i) - F.get(tail, i - 1)).alias("gap"), (-i).alias("first"), F.get(tail, i - 1).alias("low")))
+    middle = F.get(quantiles, F.lit(0))
+    widest = F.array_max(gaps)
+    return F.when(widest["gap"] > widest["low"] - middle, widest["low"] + widest["gap"] / 2).otherwise(far_fence(quantiles))
+
+
+def fences(good: DataFrame, by: list[str], accuracy: int) -> DataFrame:
+    """For each group its rows and a fence for each metric: what its own rows say."""
+    sides = {**{m: F.col(m) for m in METRICS}, "short_words": -F.col("word_length")}
+    sketches = good.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), *(F.percentile_approx(c, LEVELS, accuracy).alias(m) for m, c in sides.items()))
+    return sketches.select(*by, "n_rows", F.struct(*((fence if m in METRICS else far_fence)(F.col(m)).alias(m) for m in sides)).alias("own"))
+
+
+def drawn(own: str, parent: Column, prior: float) -> Column:
+    """A group's fences drawn towards its parent's."""
+    both = lambda m: ((F.col("n_rows") * F.col(f"{own}.{m}") + prior * parent[m]) / (F.col("n_rows") + prior)).alias(m)
+    return F.struct(*(both(m) for m in (*METRICS, "short_words")))
+
+
+def group_fences(good: DataFrame, prior: float, accuracy: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fences of each (lang, source), of each lang and of all rows, each drawn towards the wider group's."""
+    whole = written(fences(good, [], accuracy).select(F.col("own").alias("of_all")))  # one row
+    langs = written(fences(good, ["lang"], accuracy).join(F.broadcast(whole)).select(F.col("lang").alias("of"), drawn("own", F.col("of_all"), prior).alias("of_lang")))
+    groups = fences(good, ["lang", "source"], accuracy).join(langs, F.col("lang").eqNullSafe(F.col("of")))
+    return groups.select(F.col("lang").alias("its_lang"), F.col("source").alias("its_source"), drawn("own", F.col("of_lang"), prior).alias("of_group")), langs, whole
+
+
+def judge(docs: DataFrame, prior: float = 1000.0, accuracy: int = 10_000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and reasons."""
     rows = metrics(docs)
     words = F.greatest(F.col("n_words"), F.lit(1))
@@ -108,18 +140,21 @@ def judge(docs: DataFrame, least_rows: int = 50, reach: float = 6.0, accuracy: i
         "repeat_share": F.col("n_repeat_words") / words,
     })
     rows = written(rows)
-    good = rows.where(~F.col("base_failed"))
-    own = fences(good, ["lang", "source"], reach, accuracy).where(F.col("n_rows") >= least_rows)
-    lang = fences(good, ["lang"], reach, accuracy).where(F.col("n_rows") >= least_rows)
-    whole = fences(good, [], reach, accuracy)
-    pack = lambda df, name, by: df.select(*(F.col(c).alias(f"{name}_{c}") for c in by), F.struct(*METRICS).alias(name))
+    groups, langs, whole = group_fences(rows.where(~F.col("base_failed")), prior, accuracy)
     joined = (
-        rows.join(pack(own, "own", ["lang", "source"]), F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
-        .join(pack(lang, "of_lang", ["lang"]), F.col("lang").eqNullSafe(F.col("of_lang_lang")), "left")
-        .join(F.broadcast(pack(whole, "of_all", [])), F.lit(True), "left")  # one row
+        rows.join(groups, F.col("lang").eqNullSafe(F.col("its_lang")) & F.col("source").eqNullSafe(F.col("its_source")), "left")
+        .join(langs, F.col("lang").eqNullSafe(F.col("of")), "left")
+        .join(F.broadcast(whole))  # one row
     )
-    fence = F.coalesce("own", "of_lang", "of_all")
-    out = [F.when((F.col(m) < fence[m]["lo"]) | (F.col(m) > fence[m]["hi"]), F.lit(m)) for m in METRICS]
+    hi = F.coalesce("of_group", "of_lang", "of_all")
+
+    def beyond(m: str, of: str | None) -> Column:
+        x = F.col(m)
+        if of is None:
+            return (x > hi[m]) | (-x > hi["short_words"])
+        return x - F.sqrt(x * (1 - x) / F.greatest(F.col(of), F.lit(1))) > hi[m]
+
+    out = [F.when(beyond(m, of), F.lit(m)) for m, of in METRICS.items()]
     return (
         joined.withColumn("reasons", F.concat_ws(",", F.when(F.col("base_failed"), F.lit("base")), *out))
         .withColumn("kept", ~F.col("base_failed") & (F.col("reasons") == ""))

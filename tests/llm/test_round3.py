@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shelfmark.llm import spelling, url_filter, vector_codes
+from shelfmark.llm import quality_rules, spelling, url_filter, vector_codes
 
 # 11
 
@@ -212,3 +212,91 @@ def test_random_rules_equal_brute_force(spark, most_broadcast):
 def test_no_rules(spark):
     df = spark.createDataFrame([("http://a.net/x",)], "url string")
     assert [tuple(r) for r in url_filter.judged(df, spark.createDataFrame([], "host string, path string, verdict string")).collect()] == [("http://a.net/x", "a.net", "/x", None, "allow")]
+
+
+# 10
+
+
+def brute_fence(values, gaps=True):
+    values = sorted(values)
+    q = [values[max(0, math.ceil(p * len(values)) - 1)] for p in quality_rules.LEVELS]
+    tail = q[1:]
+    gap, low = max(((b - a, -i), a) for i, (a, b) in enumerate(zip(tail, tail[1:])))
+    far = q[quality_rules.LEVELS.index(0.99)]
+    return low + gap[0] / 2 if gaps and gap[0] > low - q[0] else far + (far - tail[0])
+
+
+METRICS = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "short_words"]
+
+
+def brute_fences(rows, prior):
+    """Fences of each group from (lang, source, values by metric)."""
+
+    def own(some):
+        return {m: brute_fence([-v["word_length"] if m == "short_words" else v[m] for v in some], m != "short_words") for m in METRICS}
+
+    def mixed(some, parent):
+        return {m: (len(some) * x + prior * parent[m]) / (len(some) + prior) for m, x in own(some).items()}
+
+    whole = own([v for *_, v in rows])
+    langs = {a: mixed([v for x, _, v in rows if x == a], whole) for a in {x for x, *_ in rows}}
+    groups = {(a, s): mixed([v for x, y, v in rows if (x, y) == (a, s)], langs[a]) for a, s in {(x, y) for x, y, _ in rows}}
+    return groups, langs, whole
+
+
+@pytest.mark.parametrize("prior", [0.0, 50.0])
+def test_fences_equal_exact_quantiles(spark, prior):
+    r = random.Random(12)
+    rows = []
+    for lang, source, n, junk in (("en", "a", 400, 0.05), ("en", "b", 3, 0), ("en", None, 90, 0.5), (None, "a", 150, 0.02), ("de", "c", 700, 0)):
+        for _ in range(n):
+            bad = r.random() < junk
+            rows.append((lang, source, {"word_length": r.gauss(5, 0.3) + 3 * bad, "symbol_share": r.uniform(0.3, 0.4) if bad else 0.0, "dup_line_share": r.choice([0.0] * 30 + [0.02, 0.05]), "repeat_share": r.expovariate(30)}))
+    df = spark.createDataFrame([(a, s, *v.values()) for a, s, v in rows], f"lang string, source string, {', '.join(f'{m} double' for m in METRICS[:4])}").repartition(4)
+    groups, langs, whole = brute_fences(rows, prior)
+    got, got_langs, got_whole = quality_rules.group_fences(df, prior, 10_000)
+    found = {(x["its_lang"], x["its_source"]): x["of_group"].asDict() for x in got.collect()}
+    assert found.keys() == groups.keys() and all(found[k] == pytest.approx(groups[k]) for k in groups)
+    assert {x["of"]: x["of_lang"]["repeat_share"] for x in got_langs.collect()} == pytest.approx({k: x["repeat_share"] for k, x in langs.items()})
+    assert got_whole.first()["of_all"].asDict() == pytest.approx(whole)
+    assert 0.1 < groups["en", "a"]["symbol_share"] < 0.3 and len({x["repeat_share"] for x in groups.values()}) == 5
+
+
+def test_verdicts_equal_brute_force(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+
+    def text(kind):
+        lines = [" ".join(word() for _ in range(9)) for _ in range(r.randrange(8, 30))]
+        if kind == 1:
+            lines = [x.replace(" ", "### ") for x in lines]
+        if kind == 2:
+            lines += r.choices(lines[:3], k=len(lines) // 3)
+        return "\n".join(lines)
+
+    rows = [(i, text(r.choice([0] * 18 + [1, 2])), r.choice(["en", "en", "de", None]), r.choice(["s", "s", "t", None])) for i in range(500)]
+    rows += [(600, None, "en", "s"), (601, "", "xx", None), (602, rows[0][1], "new", "new"), (None, rows[1][1], None, None), (603, " ".join(word() for _ in range(60_000)), "en", "s"), (604, "x" * 200_000 + " y" * 3, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    m = quality_rules.TextMetrics()
+    facts = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, repeat, lines = m.of(t or "")
+        failed = n < 50 or 100 * repeat > 50 * n
+        values = {"word_length": chars / max(n, 1), "symbol_share": symbols / max(chars, 1), "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / max(n, 1)}
+        facts.append((i, lang, source, failed, values, {"symbol_share": chars, "dup_line_share": lines, "repeat_share": n}))
+    groups, langs, whole = brute_fences([(a, s, v) for _, a, s, failed, v, _ in facts if not failed], 1000.0)
+    want = Counter()
+    for i, lang, source, failed, v, of in facts:
+        hi = groups.get((lang, source)) or langs.get(lang) or whole
+        bad = v["word_length"] > hi["word_length"] or -v["word_length"] > hi["short_words"]
+        bad |= any(v[k] - math.sqrt(v[k] * (1 - v[k]) / max(n, 1)) > hi[k] for k, n in of.items())
+        want[i, failed, not failed and not bad] += 1
+    got = Counter((x["doc_id"], x["base_failed"], x["kept"]) for x in quality_rules.judge(df).collect())
+    assert got == want and 10 < sum(n for (_, failed, kept), n in want.items() if not failed and not kept) < 100
+
+
+def test_fences_differ_between_groups(spark):
+    """On the given documents the fences come from the groups' own sketches."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality_rules.judge(docs)
+    assert out.where("reasons like '%symbol_share%' and not base_failed").count() > 10 and out.where("kept").count() > 0.8 * docs.count()
