@@ -8,17 +8,17 @@ text's logits are the mean of its words' rows, and words are remembered. Tempera
 that training does not see; so is the score under which a prediction counts as rejected (the given quantile of the scores of right
 predictions).
 
-Only text and non-null lang of the rows outside the held-out fold are learned from: of each language the ``per_lang`` rows (or
-fewer, where there are more than ``most_rows`` / ``per_lang`` languages) of smallest hash of id and text; each gives ``words`` and
-again ``short_words`` words from places all over its text. Every language is learned; the model has a column for each.
+Only text and non-null lang of the rows outside the held-out fold are learned from: of each language the ``per_lang`` distinct texts
+(or fewer, where there are more than ``most_rows`` / ``per_lang`` languages) of smallest hash; each gives ``words`` and again
+``short_words`` words from places all over its text. A text counts once however often its rows are repeated. Every language that
+has a text is learned, and the model has a column for each.
 
-A null text, or one without a letter, is ``und`` with score 0. With nothing to learn from, every text is ``und``. Every row gives
+A null text, or one without a letter (Unicode's category L), is ``und`` with score 0. With nothing to learn from, every text is ``und``. Every row gives
 one row; equal texts have equal results.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import Remembered, arrow_map, crc_fold
 
-LETTER = re.compile(r"[^\W\d_]")
 LONGEST = 64
 _SPACES = {ord(c): " " for c in "0123456789.,;:!?\"'()[]{}<>|#*$%&/\\@+=_-~^`\n\t\r"}
 
@@ -79,7 +78,7 @@ class LanguageModel:
         return e / e.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         p = self.probabilities(text)
         i = int(p.argmax())
@@ -138,17 +137,18 @@ def fit(samples: list[tuple[list[str], str]], buckets: int = 1 << 16, dim: int =
 def sample(docs: DataFrame, per_lang: int = 600, most_rows: int = 12_000, words: int = 300, short_words: int = 12) -> list[tuple[list[str], str]]:
     """The bounded training sample (words, lang), brought to the driver: two rows for each sampled text.
 
-    One pass counts the languages, one reads the texts whose hash is small; their words are drawn inside the tasks.
+    One pass counts each language's distinct texts, one reads those whose hash is small; their words are drawn inside the tasks.
     """
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (crc_fold(F.col("doc_id")) != 2))
-    counts = rows.groupBy("lang").count().collect()  # one row for each language
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc_id")) != 2))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row for each language
     if not counts:
         return []
     most = max(1, min(per_lang, most_rows // len(counts)))
-    # four times as many as needed, as hashes are spread only roughly evenly
-    limits = [(r["lang"], min(2**63 - 1, int(-(2**63) + 4.0 * most / r["count"] * 2**64))) for r in counts]
+    # four times as many as needed, as hashes are spread, and distinct ones counted, only roughly
+    limits = [(r["lang"], min(2**63 - 1, int(-(2**63) + 4.0 * most / max(1, r["n"]) * 2**64))) for r in counts]
     small = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, below long"))
-    some = rows.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text")).join(small, "lang").where(F.col("h") <= F.col("below"))
+    some = rows.join(small, "lang").where(F.col("h") <= F.col("below")).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def start():
         def f(lang, h, text):
@@ -161,7 +161,7 @@ def sample(docs: DataFrame, per_lang: int = 600, most_rows: int = 12_000, words:
 
         return f
 
-    bags = arrow_map(some.select("lang", "h", "text"), start, "lang string, h long, long array<string>, short array<string>").dropDuplicates(["lang", "h"])
+    bags = arrow_map(some.select("lang", "h", "text"), start, "lang string, h long, long array<string>, short array<string>")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     found = bags.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "long", "short").collect()  # at most most_rows, or one for each language
     return [(bag, r["lang"]) for r in found for bag in (r["long"], r["short"])]

@@ -92,19 +92,21 @@ def _code(c: Column) -> Column:
 def samples(docs: DataFrame, most_docs: int = 400, most_words: int = 400, longest_word: int = 14, most_random: int = 3000) -> DataFrame:
     """Labelled samples (text, label): digests in several alphabets, and identifiers made of words.
 
-    Texts and words are those of the smallest hashes: at most most_docs texts, and of each at most most_words distinct words of
-    two to longest_word letters from all over it.
+    Texts and words are those of the smallest hashes: at most most_docs distinct texts (a text counts once however often its rows
+    are repeated), and of each at most most_words distinct words of two to longest_word letters from all over it.
     """
     spark = docs.sparkSession
     ids = spark.range(most_random).select(F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256).alias("hex"))
     b64 = F.base64(F.unhex("hex"))
     random = ids.select(F.explode(F.array(F.substring("hex", 1, 40), F.substring(b64, 1, 32), F.upper(F.substring(b64, 5, 24)), F.regexp_replace(F.substring(b64, 1, 36), "[+/=]", "x"))).alias("text"), F.lit(1).alias("label"))
-    # the texts of a small range of hashes, some eight times as many as needed; only their words move
-    below = min(2**63 - 1, int(-(2**63) + 8.0 * most_docs / max(1, docs.count()) * 2**64))
-    some = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).where(F.col("h") <= below)
+    # the texts of a small range of hashes, some eight times as many as needed, each once; only their words move on
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    distinct = texts.agg(F.approx_count_distinct("h")).first()[0]
+    below = min(2**63 - 1, int(-(2**63) + 8.0 * most_docs / max(1, distinct) * 2**64))
+    some = texts.where(F.col("h") <= below).groupBy("h").agg(F.first("text").alias("text"))
     own = F.array_distinct(F.regexp_extract_all("text", F.lit(f"[A-Za-z]{{2,{longest_word}}}"), F.lit(0)))
     own = F.transform(F.slice(F.array_sort(F.transform(own, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, most_words), lambda x: x["w"])
-    words = some.select("h", own.alias("ws")).groupBy("h").agg(F.first("ws").alias("ws")).orderBy("h").limit(most_docs).select("ws").where(F.size("ws") > 3)
+    words = some.select("h", own.alias("ws")).orderBy("h").limit(most_docs).select("ws").where(F.size("ws") > 3)
     three = words.select(F.posexplode("ws").alias("at", "a"), "ws").select("at", "a", F.get("ws", F.col("at") + 1).alias("b"), F.get("ws", F.col("at") + 2).alias("c")).where(F.col("c").isNotNull())
     forms = F.element_at(
         F.array(

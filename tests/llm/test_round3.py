@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shelfmark.llm import quality_rules, spelling, url_filter, vector_codes
+from shelfmark.llm import language_id, quality_rules, secret_scan, spelling, url_filter, vector_codes
 
 # 11
 
@@ -300,3 +300,35 @@ def test_fences_differ_between_groups(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = quality_rules.judge(docs)
     assert out.where("reasons like '%symbol_share%' and not base_failed").count() > 10 and out.where("kept").count() > 0.8 * docs.count()
+
+
+# 2 and 8 where rows repeat
+
+
+def invented(seed, alphabet, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+
+def test_repeated_texts_are_learned(spark):
+    """A language whose rows are repeated thousands of times, one of null texts alone, and letters by their category."""
+    rows = [(i, invented(i, "aeioustrn", 60), "en") for i in range(100)] + [(1000 + i, invented(i, "äöüßchkwz", 60), "de") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    more = df.where("lang = 'de'").crossJoin(spark.range(2000).select()).unionByName(df.where("lang = 'en'"))
+    more = more.unionByName(spark.createDataFrame([(5000, None, "xx"), (5001, "½ ² Ⅷ ① 12", None), (5002, None, None), (5003, invented(7, "äöüßchkwz", 40), None)], df.schema))
+    samples = language_id.sample(more)
+    assert Counter(lang for _, lang in samples).keys() == {"en", "de"} and min(Counter(lang for _, lang in samples).values()) > 100
+    out = {(x["doc_id"], x["lang_pred"]) for x in language_id.predict_language(more).select("doc_id", "lang_pred").distinct().collect()}
+    assert sum(p == ("en" if i < 1000 else "de") for i, p in out if i < 5000) >= 198 and {(5000, "und"), (5001, "und"), (5002, "und"), (5003, "de")} <= out
+
+
+def test_secrets_are_learned_from_repeated_texts(spark):
+    texts = [(i, invented(i, "aeioustrnlm", 300)) for i in range(41)] + [(50, "getUserAccountSettingsByName internationalization/configuration/management")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    repeated = df.crossJoin(spark.range(3000).select())
+    assert secret_scan.samples(repeated).where("label = 0").count() == secret_scan.samples(df).where("label = 0").count() > 1000
+    llr, threshold = secret_scan.train(repeated)
+    once = secret_scan.train(df)
+    assert llr == pytest.approx(once[0]) and threshold == pytest.approx(once[1])
+    found = secret_scan.scan_secrets(df, (llr, threshold)).where("doc_id = 50").first()
+    assert found["n_markov"] == 0
