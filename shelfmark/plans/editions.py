@@ -1,13 +1,15 @@
-"""Track lists of editions in full, tracks heard in files, and entries that look like one track."""
+"""Track lists of editions in full, heard tracks, entries that look like one track; merged folders; the backup."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import graph, tracks
+from shelfmark.operators import graph, merging, tracks
 from shelfmark.plans.catalogue import query
+from shelfmark.plans.fields import _folder
 from shelfmark.plans.matching import PAIRS, part_pairs
+from shelfmark.sources import backup
 from shelfmark.sources.tables import table
 
 LINES = "l AS (SELECT *, l_partkey * 1000000 + l_suppkey * 1000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS id FROM lineitem JOIN part ON p_partkey = l_partkey)"
@@ -100,3 +102,46 @@ def duplicate_entries(spark: SparkSession, d: str) -> DataFrame:
     x, y = files.alias("x"), files.alias("y")
     masters = x.join(y, (F.col("x.release") == F.col("y.release")) & (F.col("x.file") < F.col("y.file")) & ((F.col("x.file") + F.col("y.file")) % 17 == 0)).select(F.col("x.file").alias("a"), F.col("y.file").alias("b")).distinct()
     return tracks.duplicate_entries(entries, rows, files, masters)
+
+
+# merging trees, and the backup
+
+
+@query(
+    "folders_merged",
+    """WITH c AS (SELECT min(c_custkey) AS k, c_nationkey AS n, c_mktsegment || (c_custkey % 3) AS name, c_custkey % 7 = 0 AS edition FROM customer GROUP BY ALL), o AS (SELECT min(o_orderkey) AS k, o_custkey AS c, o_orderpriority AS name FROM orders JOIN c ON c.k = o_custkey GROUP BY ALL),
+    p AS (SELECT x.k, y.k AS into_k FROM c x JOIN c y ON x.n % 2 = 1 AND y.n = x.n - 1 AND x.name = y.name AND NOT x.edition AND NOT y.edition),
+    f AS (SELECT l.l_orderkey * 10 + l.l_linenumber AS id, o.k, o.name, c.k AS ck, c.n, c.edition, CASE WHEN l_tax < 0.03 THEN 'unknown' ELSE 'licensed' END AS rights FROM lineitem l JOIN o ON o.k = l_orderkey JOIN c ON c.k = o.c)
+    SELECT id, 'o' || coalesce(y.k, f.k) AS folder, 'n' || (n - 1) AS release, CASE WHEN edition THEN 'c' || ck END AS edition, CASE rights WHEN 'unknown' THEN 'own' ELSE rights END AS rights, true AS loses_track FROM f LEFT JOIN p ON p.k = f.ck LEFT JOIN o y ON y.c = p.into_k AND y.name = f.name WHERE n % 2 = 1""",
+)
+def folders_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Odd nations' folders (releases, with customers and their orders below) are merged into the even nations before them: what becomes of the files."""
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    n = table(spark, d, "nation").select(text("n", "n_nationkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("release").alias("kind"), F.col("n_name").alias("name"))
+    edition = F.col("c_custkey") % 7 == 0
+    c = table(spark, d, "customer").groupBy("c_nationkey", F.concat("c_mktsegment", (F.col("c_custkey") % 3).cast("string")).alias("name"), edition.alias("edition")).agg(F.min("c_custkey").alias("k"))
+    c = graph.kept(c)
+    o = graph.kept(table(spark, d, "orders").join(c.select(F.col("k").alias("o_custkey")), "o_custkey").groupBy("o_custkey", F.col("o_orderpriority").alias("name")).agg(F.min("o_orderkey").alias("k")))
+    folders = n.unionByName(c.select(text("c", "k").alias("id"), text("n", "c_nationkey").alias("parent_id"), F.when(F.col("edition"), "edition").otherwise("plain").alias("kind"), "name"))
+    folders = folders.unionByName(o.select(text("o", "k").alias("id"), text("c", "o_custkey").alias("parent_id"), F.lit("plain").alias("kind"), "name")).withColumn("readme", F.lit(None).cast("long"))
+    lines_ = table(spark, d, "lineitem").join(o.select(F.col("k").alias("l_orderkey")), "l_orderkey")
+    files = lines_.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text("o", "l_orderkey").alias("folder"), F.when(F.col("l_tax") < 0.03, "unknown").otherwise("licensed").alias("rights"))
+    moves = table(spark, d, "nation").where("n_nationkey % 2 = 1").select(text("n", "n_nationkey").alias("id"), F.concat(F.lit("n"), (F.col("n_nationkey") - 1).cast("string")).alias("into"))
+    return merging.merge_folders(folders, files, moves)[1]
+
+
+@query(
+    "backup_copied",
+    """WITH d AS (SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS size FROM documents WHERE text IS NOT NULL), h AS (SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)
+    SELECT sha256, size, sha256 NOT IN (SELECT sha256 FROM h) AS copied, CAST(0 AS BIGINT) AS again, CAST(20 AS BIGINT) AS intact FROM d""",
+)
+def backup_copied(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as contents: a third is in the backup, the rest is copied; a second run copies nothing, and a sample of 20 is read back."""
+    texts = table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), F.col("text").cast("binary").alias("content"))
+    at = _folder(spark, "backup")
+    backup.copy_missing(texts.where("doc_id % 3 = 0"), at)
+    copied = backup.copy_missing(texts, at).withColumn("copied", F.lit(True))
+    again = backup.copy_missing(texts, at).count()
+    intact = backup.read_back(spark, at, 20, 7).where("intact").count()
+    held = backup.backed(spark, at).select("sha256", "size")
+    return held.join(copied, ["sha256", "size"], "left").select("sha256", "size", F.coalesce("copied", F.lit(False)).alias("copied"), F.lit(again).cast("long").alias("again"), F.lit(intact).cast("long").alias("intact"))
