@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import graph, merging, tracks
+from shelfmark.operators import accept, graph, merging, tracks
 from shelfmark.plans.catalogue import query
 from shelfmark.plans.fields import _folder
 from shelfmark.plans.matching import PAIRS, part_pairs
@@ -145,3 +145,28 @@ def backup_copied(spark: SparkSession, d: str) -> DataFrame:
     intact = backup.read_back(spark, at, 20, 7).where("intact").count()
     held = backup.backed(spark, at).select("sha256", "size")
     return held.join(copied, ["sha256", "size"], "left").select("sha256", "size", F.coalesce("copied", F.lit(False)).alias("copied"), F.lit(again).cast("long").alias("again"), F.lit(intact).cast("long").alias("intact"))
+
+
+@query(
+    "accept_decisions",
+    """WITH f AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 1 OR p_partkey % 8 = 2 THEN p_partkey - 1 END AS member_of, p_partkey % 37 = 0 AS sealed, p_partkey % 4 = 0 OR p_partkey % 8 = 1 AS archive, p_size % 9 > 0 AS has, (p_size % 10) / 10.0 AS confidence, CASE WHEN p_size % 3 > 0 THEN 'r' || (p_partkey % 20) END AS release_id, CASE WHEN p_size % 6 = 0 THEN 'era' END AS era_id, CASE WHEN p_size % 3 = 1 THEN CASE WHEN p_partkey % 5 = 0 THEN 'gone' ELSE 'cd' END END AS slot,
+      CASE WHEN p_size % 2 = 0 THEN p_type END AS edition, CASE WHEN p_size % 4 = 0 THEN 'x/' || (p_size % 3) END AS folder, p_size % 5 < 2 AS seal, CASE WHEN p_size % 7 = 0 THEN 'own' END AS rights, CASE WHEN p_size % 11 = 0 THEN 'log' END AS role, CASE WHEN p_size % 13 = 0 THEN 'ignored' END AS state FROM part),
+    s AS (SELECT id FROM f WHERE NOT sealed AND has AND confidence >= 0.5 AND seal AND archive), i1 AS (SELECT id FROM f WHERE member_of IN (SELECT id FROM s)), i2 AS (SELECT id FROM i1 UNION SELECT id FROM f WHERE member_of IN (SELECT id FROM i1)),
+    p AS (SELECT *, nullif(concat_ws('/', coalesce(release_id, era_id), CASE WHEN slot IS NOT NULL THEN slot || ':' || coalesce(edition, '') END, folder), '') AS spot FROM f),
+    o AS (SELECT *, CASE WHEN sealed THEN 'hidden' WHEN id IN (SELECT id FROM i2) THEN 'inside' WHEN NOT has THEN 'none' WHEN confidence < 0.5 THEN 'unsure' WHEN slot = 'gone' AND release_id IS NOT NULL THEN 'no type' WHEN state = 'ignored' THEN 'ignored' WHEN spot IS NOT NULL OR rights IS NOT NULL OR role IS NOT NULL OR (seal AND archive) THEN 'accepted' ELSE 'nothing' END AS outcome FROM p)
+    SELECT id, outcome, CASE WHEN outcome = 'accepted' THEN spot END AS place, CASE WHEN outcome = 'accepted' THEN rights END AS rights, CASE WHEN outcome = 'accepted' THEN role END AS role, outcome = 'accepted' AND seal AND archive AS sealed FROM o""",
+)
+def accept_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for parts as files, some of them archives with members, archives among these too."""
+    plan, _ = _suggested_parts(spark, d)
+    return plan.select("id", "outcome", "place", "rights", "role", "sealed")
+
+
+def _suggested_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    files = table(spark, d, "part").select(
+        k.alias("id"), F.when((k % 4 == 1) | (k % 8 == 2), k - 1).alias("member_of"), F.when(k % 37 == 0, 0).alias("sealed_in"), ((k % 4 == 0) | (k % 8 == 1)).alias("archive"), F.when(s % 9 > 0, "rule").alias("rule"), ((s % 10) / 10.0).alias("confidence"),
+        F.when(s % 3 > 0, F.concat(F.lit("r"), (k % 20).cast("string"))).alias("release_id"), F.when(s % 6 == 0, "era").alias("era_id"), F.when(s % 3 == 1, F.when(k % 5 == 0, "gone").otherwise("cd")).alias("slot"), F.when(s % 2 == 0, F.col("p_type")).alias("edition"),
+        F.when(s % 4 == 0, F.concat(F.lit("x/"), (s % 3).cast("string"))).alias("folder"), (s % 5 < 2).alias("seal"), F.lit(None).cast("boolean").alias("readme"), F.when(s % 7 == 0, "own").alias("rights"), F.when(s % 11 == 0, "log").alias("role"), F.when(s % 13 == 0, "ignored").alias("state"),
+    )
+    return accept.decided(files, {"cd"}), files
