@@ -403,3 +403,37 @@ def copy_plan(spark: SparkSession, d: str) -> DataFrame:
     """What a copy lacks."""
     rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key"), F.col("n_chars").alias("size"))
     return sinks.copy_plan(rows.groupBy("key").agg(F.max("size").alias("size")), rows.where("doc_id % 3 = 0").select("key", "size").distinct())
+
+
+#: Names as old systems wrote them: text, code page, bytes.
+OLD_NAMES = [
+    ("さくら", "cp932", "82b382ad82e7"),
+    ("简体中文的名字", "gbk", "bcf2cce5d6d0cec4b5c4c3fbd7d6"),
+    ("さくら", "utf-8", "e38195e3818fe38289"),
+    ("繁體中文名稱", "big5", "c163c5e9a4a4a4e5a657bad9"),
+    ("café", "latin-1", "636166e9"),
+]
+_OLD = ", ".join(f"({i}, '{t}', '{page}')" for i, (t, page, _) in enumerate(OLD_NAMES))
+
+
+def _old_name(at, ending) -> Column:
+    """The bytes of one of OLD_NAMES and an ASCII ending."""
+    return F.concat(F.coalesce(*(F.when(at == i, F.unhex(F.lit(x))) for i, (_, _, x) in enumerate(OLD_NAMES))), F.encode(ending, "US-ASCII"))
+
+
+@query("old_texts", f"WITH o(i, name, page) AS (VALUES {_OLD}) SELECT p_partkey, CASE WHEN page IN ('cp932', 'gbk', 'utf-8') THEN name || ' ' || p_partkey END AS text, CASE WHEN page IN ('cp932', 'utf-8', 'latin-1') THEN name || ' ' || p_partkey END AS tag FROM part JOIN o ON i = p_partkey % 5")
+def old_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes in Shift_JIS, GBK, UTF-8 and Latin-1 as texts (by what they decode to) and as tag fields (UTF-8, Shift_JIS, else Latin-1)."""
+    at = F.col("p_partkey") % 5
+    data = _old_name(at, F.concat(F.lit(" "), _n("p_partkey")))
+    return table(spark, d, "part").select("p_partkey", F.when(at < 3, read_bytes("decode", data)).alias("text"), F.when(at.isin(0, 2, 4), read_bytes("legacy_text", data)).alias("tag"))
+
+
+@query("old_archives", f"WITH o(i, name, page) AS (VALUES {_OLD}) SELECT archive, CASE WHEN archive % 6 < 4 THEN page END AS page FROM (SELECT DISTINCT p_partkey // 7 AS archive FROM part) LEFT JOIN o ON i = archive % 6")
+def old_archives(spark: SparkSession, d: str) -> DataFrame:
+    """The code page of each archive's names, some of them plain: Japanese ones, Chinese ones of two kinds, UTF-8, and archives of plain names alone."""
+    archive = F.floor(F.col("p_partkey") / 7)
+    ending = F.concat(F.lit(" "), _n("p_partkey"), F.lit(".mp3"))
+    name = F.when((archive % 6 < 4) & (F.col("p_partkey") % 7 > 1), _old_name(archive % 6, ending)).otherwise(F.encode(ending, "US-ASCII"))
+    t = table(spark, d, "part").groupBy(archive.alias("archive")).agg(F.collect_list(name).alias("names"))
+    return t.select("archive", page_of("names").alias("page"))
