@@ -136,3 +136,24 @@ def chains(rows: DataFrame, most_depth: int = 64) -> DataFrame:
         raise ValueError(f"a chain of more than {most_depth} versions")
     next_ = links.groupBy(F.col("replaces").alias("id")).agg(F.min("id").alias("replaced_by"))
     return at.select("id", F.col("to").alias("oldest"), "depth").join(next_, "id", "left")
+
+
+def full_paths(nodes: DataFrame, separator: str = " / ", most_depth: int = 64) -> DataFrame:
+    """(id, path) of a forest (id, parent_id, name): the names from the top down to each node, carried down level by level.
+
+    A node whose parent isn't there has no path; a name that is null counts as empty.
+    """
+    named = nodes.select("id", "parent_id", F.coalesce("name", F.lit("")).alias("name"))
+    levels = [kept(named.where("parent_id is null").select("id", F.col("name").alias("path")))]
+    for _ in range(most_depth + 1):
+        last = levels[-1].select(F.col("id").alias("parent_id"), F.col("path").alias("above"))
+        below = kept(named.join(last, "parent_id").select("id", F.concat("above", F.lit(separator), "name").alias("path")))
+        if below.isEmpty():
+            break
+        levels.append(below)
+    else:
+        raise ValueError(f"a cycle, or a path of more than {most_depth} steps")
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionAll(x)
+    return out

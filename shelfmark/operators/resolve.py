@@ -18,12 +18,13 @@ from shelfmark.operators.graph import components, kept
 
 
 def _by_size(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | None]:
-    """The rows of small groups, and those of large ones as a written table (none if there are no large groups)."""
+    """The rows of small groups, and those of large ones (none if there are no large groups), as written tables."""
+    rows = kept(rows)
     large = kept(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(by))
     if large.isEmpty():
         return rows, None
     few = F.broadcast(large) if large.count() <= 10_000 else large
-    return rows.join(few, by, "left_anti"), kept(rows.join(few, by, "left_semi"))
+    return rows.join(few, by, "left_anti"), rows.join(few, by, "left_semi")
 
 
 def _united(edges: DataFrame, by: list[str], deal: list[str]) -> DataFrame:

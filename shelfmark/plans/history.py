@@ -63,6 +63,18 @@ def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat_ws(" / ", "r_name", "n_name", "c_name").alias("path"))
 
 
+@query(
+    "tree_full_paths",
+    """WITH RECURSIVE n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 50 > 0 THEN p_partkey // 2 END AS parent_id, CASE WHEN p_size % 9 > 0 THEN p_name END AS name FROM part WHERE p_partkey % 31 > 0 OR p_partkey % 50 = 0),
+    r AS (SELECT id, coalesce(name, '') AS path FROM n WHERE parent_id IS NULL UNION ALL SELECT n.id, r.path || ' / ' || coalesce(n.name, '') FROM n JOIN r ON r.id = n.parent_id) SELECT id, path FROM r""",
+)
+def tree_full_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of a tree of several depths, some of whose nodes are gone with all that hangs below them."""
+    k = F.col("p_partkey")
+    n = table(spark, d, "part").where((k % 31 > 0) | (k % 50 == 0)).select(k.alias("id"), F.when(k % 50 > 0, F.floor(k / 2)).alias("parent_id"), F.when(F.col("p_size") % 9 > 0, F.col("p_name")).alias("name"))
+    return graph.full_paths(n)
+
+
 @query(
     "delete_plan_levels",
     f"""WITH {TREE}, chosen AS (SELECT descendant AS id, min(depth) AS level FROM tree WHERE ancestor IN ('r0', 'n1', 'n2') GROUP BY ALL), blocked AS (SELECT DISTINCT t.ancestor AS id FROM tree t JOIN orders ON t.descendant = 'o' || o_orderkey WHERE o_orderstatus = 'P')

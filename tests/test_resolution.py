@@ -116,3 +116,9 @@ def test_free_names_never_clash(spark):
     found = naming.free_names(spark.createDataFrame(new, "id int, folder string, name string"), spark.createDataFrame(there, "folder string, name string")).collect()
     shown = [(x["folder"], x["free"].lower()) for x in found]
     assert len(found) == 120 and len(set(shown)) == 120 and not set(shown) & {(f, n.lower()) for f, n in there}
+
+
+def test_full_paths(spark):
+    rows = [(1, None, "a"), (2, 1, "b"), (3, 2, None), (4, 9, "lost"), (5, None, None), (6, 5, "c")]
+    found = {tuple(r) for r in graph.full_paths(spark.createDataFrame(rows, "id int, parent_id int, name string"), "/").collect()}
+    assert found == {(1, "a"), (2, "a/b"), (3, "a/b/"), (5, ""), (6, "/c")}
