@@ -16,39 +16,39 @@ def test_lyrics(spark):
         spark,
         None,
         "\n \r\n\t　",
-        "\r\nかすみゆく空　太陽\r雲はとけて　夢現\r\r\r冷たい　水の\r\r",
-        "[1:23] ここから\n二番\n三番\n四番",
-        "﻿[ti:Song]\n[ar:Someone]\n[00:12.50]first\n[00:20.00][01:10.00]chorus\n[00:30.1]<00:30.10>wo<00:30.50>rds\n[00:40]\n[00:41.000]last",
+        "\r\nひとつめの　行\rふたつめの　行\r\r\rみっつめの　行\r\r",
+        "[1:23] はじめ\n二番\n三番\n四番",
+        "﻿[ti:Song]\n[ar:Nobody]\n[00:12.50]first\n[00:20.00][01:10.00]chorus\n[00:30.1]<00:30.10>wo<00:30.50>rds\n[00:40]\n[00:41.000]last",
         "[offset:+500]\n[00:00.20]a\n[00:10.00]b",
-        "[00:01.00]\n[00:05.00]星の歌\n[00:05.00]Song of the stars\n[00:05.00]星之歌\n[00:09.00]次",
+        "[00:01.00]\n[00:05.00]鳥のうた\n[00:05.00]Song of the birds\n[00:05.00]鸟之歌\n[00:09.00]つぎ",
         "[00:07]only",
         "[00:01]\n[00:02]",
         "[00:05]a\n[00:05]\n[00:05]b\n[00:05]c",
         "[offset:2000]\n[00:03]x\n[00:01]y\n[offset:bad]\n[00:01.5]z",
     )
     assert found[:2] == [[], []] and found[8] == []
-    assert found[2] == [(None, "かすみゆく空　太陽"), (None, "雲はとけて　夢現"), (None, ""), (None, "冷たい　水の")] and not synced[2]
-    assert found[3][0] == (None, "[1:23] ここから") and not synced[3]
+    assert found[2] == [(None, "ひとつめの　行"), (None, "ふたつめの　行"), (None, ""), (None, "みっつめの　行")] and not synced[2]
+    assert found[3][0] == (None, "[1:23] はじめ") and not synced[3]
     assert found[4] == [(12500, "first"), (20000, "chorus"), (30100, "words"), (40000, ""), (41000, "last"), (70000, "chorus")] and synced[4]
     assert found[5] == [(0, "a"), (9500, "b")]
-    assert found[6] == [(5000, "星の歌", "Song of the stars", "星之歌"), (9000, "次")]
+    assert found[6] == [(5000, "鳥のうた", "Song of the birds", "鸟之歌"), (9000, "つぎ")]
     assert found[7] == [(7000, "only")]
     assert found[9] == [(5000, "a"), (5000, "b", "c")]
     assert found[10] == [(0, "y", "z"), (1000, "x")]
 
 
-KNOWN = {"slots": {"cd_rip", "pv"}, "rights": {"own"}, "states": {"ignored"}, "eras": {"theatre", "thaw"}}
+KNOWN = {"slots": {"cd_rip", "pv"}, "rights": {"own"}, "states": {"ignored"}, "eras": {"first", "late"}}
 
 
 @pytest.fixture(scope="module")
 def releases(spark):
     rows = [
-        ("rtcd-006", "RTCD-006", "theatre", ["Rinn Ding Dong -L'avenir de la Flesvelka-"]),
-        ("garnet", None, "theatre", ["Rinn Ding Dong -Garnet Star-"]),
-        ("rtcd-004", "RTCD-004", "theatre", ["Lengsel -Ghosts of Memories-", "Lengsel"]),
-        ("gt-solros", None, "thaw", ["SOLROS"]),
-        ("same-a", None, "thaw", ["Twin"]),
-        ("same-b", None, "thaw", ["Ｔｗｉｎ"]),
+        ("ab-006", "AB-006", "first", ["Silver Bell -The Long Road-"]),
+        ("amber", None, "first", ["Silver Bell -Amber Light-"]),
+        ("ab-004", "AB-004", "first", ["Möwe -Letters from Home-", "Möwe"]),
+        ("lt-nordlys", None, "late", ["NORDLYS"]),
+        ("same-a", None, "late", ["Twin"]),
+        ("same-b", None, "late", ["Ｔｗｉｎ"]),
     ]
     return spark.createDataFrame(rows, "id string, catalog_no string, era string, names array<string>")
 
@@ -61,60 +61,60 @@ def placed(spark, releases, raw, *paths):
 def test_first_rule_wins_and_unknown_releases_give_way(spark, releases):
     raw = [
         {"name": "junk", "ext": ["download"], "state": "ignored"},
-        {"name": "rip", "match": r"^rips/\[(?P<cat>RTCD-\d{3})A?\]", "release": {"catalog": "cat"}, "slot": "cd_rip", "rights": "own", "confidence": 0.9},
+        {"name": "rip", "match": r"^rips/\[(?P<cat>AB-\d{3})A?\]", "release": {"catalog": "cat"}, "slot": "cd_rip", "rights": "own", "confidence": 0.9},
         {"name": "fallback", "match": "^rips/", "rights": "own", "confidence": 0.3},
     ]
-    a, b, c = "rips/[RTCD-004A] Lengsel/01.flac", "rips/[RTCD-999] Unknown/01.flac", "rips/x.download"
+    a, b, c = "rips/[AB-004A] Möwe/01.flac", "rips/[AB-999] Unknown/01.flac", "rips/x.download"
     found = placed(spark, releases, raw, a, a, b, c, "else/x", None)
     assert set(found) == {a, b, c}
-    assert found[a] == {"path": a, "rule": "rip", "confidence": 0.9, "release_id": "rtcd-004", "slot": "cd_rip", "edition": "", "rights": "own"}
+    assert found[a] == {"path": a, "rule": "rip", "confidence": 0.9, "release_id": "ab-004", "slot": "cd_rip", "edition": "", "rights": "own"}
     assert found[b]["rule"] == "fallback" and "release_id" not in found[b] and found[c]["state"] == "ignored"
 
 
 def test_titles(spark, releases):
-    raw = [{"name": "era", "match": "^era/", "release": {"title": "$name", "era": "theatre"}}, {"name": "any", "match": "^(?:era|any)/", "release": {"title": "$name"}}]
-    found = placed(spark, releases, raw, "any/Rigel - Miwele - Rinn Ding Dong - Garnet Star.mkv", "any/Rigel - Lengsel（缺）.mkv", "any/Lengselx.a", "era/SOLROS Special Content.a", "era/léngsel.a", "any/twin.x")
+    raw = [{"name": "era", "match": "^era/", "release": {"title": "$name", "era": "first"}}, {"name": "any", "match": "^(?:era|any)/", "release": {"title": "$name"}}]
+    found = placed(spark, releases, raw, "any/Band - Singer - Silver Bell - Amber Light.mkv", "any/Band - Möwe（缺）.mkv", "any/Möwex.a", "era/NORDLYS Extra Things.a", "era/MOWE.a", "any/twin.x")
     assert {p: (x["rule"], x["release_id"]) for p, x in found.items()} == {
-        "any/Rigel - Miwele - Rinn Ding Dong - Garnet Star.mkv": ("any", "garnet"),
-        "any/Rigel - Lengsel（缺）.mkv": ("any", "rtcd-004"),
-        "era/SOLROS Special Content.a": ("any", "gt-solros"),
-        "era/léngsel.a": ("era", "rtcd-004"),
+        "any/Band - Singer - Silver Bell - Amber Light.mkv": ("any", "amber"),
+        "any/Band - Möwe（缺）.mkv": ("any", "ab-004"),
+        "era/NORDLYS Extra Things.a": ("any", "lt-nordlys"),
+        "era/MOWE.a": ("era", "ab-004"),
     }
 
 
 def test_places(spark, releases):
     raw = [
-        {"name": "rip A", "match": r"^rips/\[(?P<cn>(?P<cat>RTCD-\d{3})A)\][^/]*/", "release": {"catalog": "cat"}, "slot": "cd_rip", "edition": {"name": "第 2 版", "catalog": "cn"}, "keep": True},
-        {"name": "rip", "match": r"^rips/\[(?P<cat>RTCD-\d{3})\][^/]*/", "release": {"catalog": "cat"}, "slot": "cd_rip"},
-        {"name": "web", "match": "^web/", "era": "theatre", "folder": "官网存档", "keep": True},
-        {"name": "bms", "match": "^bms/", "era": "thaw", "folder": "BMS", "seal": True},
-        {"name": "readme", "match": r"^notes/说明\.txt$", "folder": "关于/说明", "readme": True},
+        {"name": "rip A", "match": r"^rips/\[(?P<cn>(?P<cat>AB-\d{3})A)\][^/]*/", "release": {"catalog": "cat"}, "slot": "cd_rip", "edition": {"name": "second", "catalog": "cn"}, "keep": True},
+        {"name": "rip", "match": r"^rips/\[(?P<cat>AB-\d{3})\][^/]*/", "release": {"catalog": "cat"}, "slot": "cd_rip"},
+        {"name": "web", "match": "^web/", "era": "first", "folder": "旧网页", "keep": True},
+        {"name": "bms", "match": "^bms/", "era": "late", "folder": "BMS", "seal": True},
+        {"name": "readme", "match": r"^notes/read\.txt$", "folder": "about/notes", "readme": True},
     ]
-    paths = ["rips/[RTCD-004A] Lengsel/Scans/1.jpg", "rips/[RTCD-004] Lengsel/01.flac", "web/20200616/rigel/index.html", "bms/x.RAR", "bms/x.ogg", "notes/说明.txt"]
+    paths = ["rips/[AB-004A] Möwe/Scans/1.jpg", "rips/[AB-004] Möwe/01.flac", "web/2019/pages/index.html", "bms/x.RAR", "bms/x.ogg", "notes/read.txt"]
     found = placed(spark, releases, raw, *paths)
     pick = lambda p, *keys: tuple(found[p].get(k) for k in keys)
-    assert pick(paths[0], "release_id", "slot", "edition", "edition_catalog", "folder") == ("rtcd-004", "cd_rip", "第 2 版", "RTCD-004A", "Scans")
+    assert pick(paths[0], "release_id", "slot", "edition", "edition_catalog", "folder") == ("ab-004", "cd_rip", "second", "AB-004A", "Scans")
     assert pick(paths[1], "edition", "edition_catalog", "folder") == ("", None, None)
-    assert pick(paths[2], "era_id", "folder", "release_id") == ("theatre", "官网存档/20200616/rigel", None)
+    assert pick(paths[2], "era_id", "folder", "release_id") == ("first", "旧网页/2019/pages", None)
     assert pick(paths[3], "seal") == (True,) and pick(paths[4], "seal") == (None,)
-    assert pick(paths[5], "folder", "readme") == ("关于/说明", True)
+    assert pick(paths[5], "folder", "readme") == ("about/notes", True)
 
 
 @pytest.mark.parametrize(
     "raw,message",
     [
-        ({"match": "x", "release": "garnet", "slot": "vinyl"}, "unknown slot"),
+        ({"match": "x", "release": "amber", "slot": "vinyl"}, "unknown slot"),
         ({"match": "x", "release": {"title": "t"}}, "no group"),
         ({"match": "x", "slot": "pv"}, "needs a release"),
-        ({"match": "x", "release": "garnet", "edition": "初版"}, "edition needs a slot"),
+        ({"match": "x", "release": "amber", "edition": "early"}, "edition needs a slot"),
         ({"match": "x", "folder": "a//b"}, "bad folder"),
         ({"match": "x", "era": "nope", "folder": "a"}, "unknown era"),
-        ({"match": "x", "release": "garnet", "era": "thaw"}, "era is for folders"),
+        ({"match": "x", "release": "amber", "era": "late"}, "era is for folders"),
         ({"match": "x", "release": "none"}, "unknown release"),
         ({"match": "x(", "folder": "a"}, "bad pattern"),
         ({"folder": "a"}, "needs a pattern"),
         ({"ext": ["a"], "keep": True}, "needs a pattern"),
-        ({"match": "x", "release": {"era": "thaw"}}, "needs an id"),
+        ({"match": "x", "release": {"era": "late"}}, "needs an id"),
         ({"match": "x", "confidence": 2}, "confidence"),
     ],
 )
