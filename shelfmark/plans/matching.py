@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.operators import graph, sequences
+from shelfmark.operators import candidates, graph, sequences
 from shelfmark.plans.catalogue import query
 from shelfmark.sources.tables import table
 
@@ -255,6 +255,73 @@ def candidate_scoring(spark: SparkSession, d: str) -> DataFrame:
     return met.withColumn("x", best).where("x is not null").select("p_partkey", F.col("x.id").alias("candidate"), (F.lit(70) + F.greatest(F.lit(0), 20 - 5 * F.col("x.gap"))).cast("int").alias("score"))
 
 
+#: Releases are parts' names by brand and type, their tracks the months of their lines; a track's length is unknown where all were returned.
+RELEASES = r"""l AS (SELECT p_name, p_brand, p_type, month(l_shipdate) AS m, floor(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity END) * 1000 / sum(CASE WHEN l_returnflag <> 'R' THEN 1 END)) AS ms FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_shipdate IS NOT NULL GROUP BY ALL),
+    g AS (SELECT p_name, p_brand, p_type, list(ms ORDER BY m) AS ms, count(*) AS n FROM l GROUP BY ALL),
+    e AS (SELECT p_name || '/' || p_brand AS edition, regexp_replace(p_name, '[^a-z0-9]', '', 'g') AS key, upper(replace(p_brand, '#', '')) AS number, ms, n FROM g WHERE p_type = 'PROMO'),
+    r AS (SELECT p_name || '/' || p_brand || '/' || p_type AS release, p_name || '/' || p_type AS grp, regexp_replace(lower(CASE p_type WHEN 'LARGE' THEN 'large ' || p_name WHEN 'ECONOMY' THEN split_part(p_name, ' ', 1) || ' set' ELSE p_name END), '[^a-z0-9]', '', 'g') AS key,
+    [upper(replace(p_brand, '#', ''))] AS numbers, CASE WHEN p_type NOT IN ('SMALL', 'STANDARD') THEN ms END AS ms, n FROM g WHERE p_type <> 'PROMO'),
+    s AS (SELECT edition, release, grp FROM e, r WHERE e.key = r.key OR length(e.key) > 3 AND contains(r.key, e.key) OR length(r.key) > 3 AND contains(e.key, r.key) OR e.key[1:4] = r.key[1:4] AND len(list_filter(numbers, lambda x: starts_with(x, e.number))) > 0),
+    w AS (SELECT edition, release FROM s UNION SELECT edition, r.release FROM (SELECT DISTINCT edition, grp FROM s) JOIN r USING (grp))"""
+
+
+@query(
+    "release_candidates",
+    f"""WITH {RELEASES}, t AS (SELECT edition, release, greatest(0, 1 - abs(r.n - e.n) / greatest(r.n, e.n)) AS c, CASE WHEN list_contains(numbers, e.number) THEN 1 ELSE 0 END AS k, CASE WHEN e.key = r.key THEN 1 ELSE 0 END AS t, r.ms AS known,
+    len(list_filter(list_zip(e.ms, r.ms), lambda z: z[1] > 0 AND z[2] > 0 AND abs(z[1] - z[2]) <= 3000)) / greatest(e.n, r.n) AS x FROM w JOIN e USING (edition) JOIN r USING (release)),
+    f AS (SELECT edition, release, round(CASE WHEN known IS NULL THEN 0.5::DOUBLE * c + 0.35::DOUBLE * k + 0.15::DOUBLE * t ELSE 0.35::DOUBLE * x + 0.25::DOUBLE * c + 0.25::DOUBLE * k + 0.15::DOUBLE * t END, 6) AS score FROM t)
+    SELECT edition, release, score, CAST(row_number() OVER (PARTITION BY edition ORDER BY score DESC, release) AS INTEGER) AS rank FROM f""",
+)
+def release_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Releases that may be an edition by title or number, with their groups, best fit first."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    lines = table(spark, d, "lineitem").where("l_shipdate is not null").select("l_partkey", "l_shipdate", "l_quantity", "l_returnflag").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    given = F.col("l_returnflag") != "R"
+    name = ["p_name", "p_brand", "p_type"]
+    ms = F.floor(F.sum(F.when(given, F.col("l_quantity"))) * 1000 / F.count_if(given)).cast("double")
+    tracks = lines.groupBy(*name, F.month("l_shipdate").alias("m")).agg(F.when(F.count_if(given) > 0, ms).alias("ms"))
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("m", "ms"))), lambda x: x["ms"])
+    g = graph.kept(tracks.groupBy(*name).agg(lengths.alias("ms"), F.count(F.lit(1)).alias("n")))
+    title = F.when(F.col("p_type") == "LARGE", F.concat(F.lit("Large "), "p_name")).when(F.col("p_type") == "MEDIUM", F.concat("p_name", F.lit(" (live)"))).when(F.col("p_type") == "ECONOMY", F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" Set"))).otherwise(F.col("p_name"))
+    e = g.where("p_type = 'PROMO'").select(F.concat_ws("/", "p_name", "p_brand").alias("edition"), F.col("p_name").alias("title"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("number"), F.col("ms").alias("durations"))
+    known = F.when(~F.col("p_type").isin("SMALL", "STANDARD"), F.col("ms"))
+    r = g.where("p_type <> 'PROMO'").select(F.concat_ws("/", *name).alias("release"), F.concat_ws("/", "p_name", "p_type").alias("group"), title.alias("title"), F.lit(None).cast("string").alias("group_title"), F.array(F.replace("p_brand", F.lit("#"), F.lit(" "))).alias("numbers"), known.alias("durations"), F.col("n").alias("count"))
+    return candidates.ranked(e, r)
+
+
+#: Brands' parts by month of order: a returned line has no file, a quantity is a sound, and sounds up to five apart match.
+MONTHS = r"""l AS (SELECT p_brand, p_partkey, p_size, strftime(o_orderdate, '%Y-%m') AS month, l_orderkey, l_linenumber, l_quantity AS q, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+    c AS (SELECT p_brand, p_partkey, any_value(p_size) AS size, month, string_agg(CASE WHEN l_linenumber > 4 THEN '2-' ELSE '' END || (l_linenumber - CASE WHEN l_linenumber > 4 THEN 4 ELSE 0 END), ', ' ORDER BY l_linenumber) AS position,
+    arg_min(q, (l_orderkey, l_linenumber, q)) FILTER (l_returnflag <> 'R') AS q, (min((l_orderkey, l_linenumber)) FILTER (l_returnflag <> 'R')) AS f FROM l GROUP BY p_brand, p_partkey, month),
+    k AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY month) AS col FROM c),
+    r AS (SELECT p_brand, p_partkey, min(col) AS rcol, arg_min(q, col) AS rq FROM k WHERE q IS NOT NULL GROUP BY ALL),
+    m AS (SELECT k.*, rcol, rq, CASE WHEN abs(q - rq) BETWEEN 1 AND 5 THEN 1 - 0.02::DOUBLE * abs(q - rq) END AS score, CASE WHEN abs(q - rq) BETWEEN 1 AND 5 THEN greatest(0, least(q, rq) - size % 4) * 1000 END AS ms FROM k LEFT JOIN r USING (p_brand, p_partkey)),
+    x AS (SELECT *, CASE WHEN q IS NULL THEN 'nofile' WHEN col = rcol THEN CASE WHEN col = 1 THEN 'ref' ELSE 'new' END WHEN q = rq THEN 'same' WHEN score IS NULL THEN 'other' WHEN ms / 1000 / least(q, rq) < 0.9::DOUBLE THEN 'part' WHEN score >= 0.93::DOUBLE THEN 'master' ELSE 'remix' END AS relation FROM m)"""
+
+
+@query(
+    "sound_comparison",
+    f"""WITH {MONTHS} SELECT p_brand, p_partkey, month, position, CASE WHEN q IS NOT NULL THEN f[1] || '-' || f[2] END AS file, relation, CASE WHEN relation IN ('part', 'master', 'remix') THEN round(least(1, ms / 1000 / q), 6) END AS share, CASE WHEN relation IN ('part', 'master', 'remix') THEN round(score, 6) END AS score FROM x""",
+)
+def sound_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Each brand's parts by month, compared with the first month that has a file: by sound, share and score."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    orders = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(part, F.col("p_partkey") == F.col("l_partkey"))
+    second = F.col("l_linenumber") > 4
+    sound = lambda q: F.concat_ws(":", "p_partkey", F.lpad(q.cast("int").cast("string"), 3, "0"))
+    cell = [F.col("p_brand").alias("release"), F.col("month").alias("edition"), F.col("p_partkey").alias("track")]
+    rows = lines.select(*cell, F.when(second, 2).otherwise(1).alias("disc"), (F.col("l_linenumber") - F.when(second, 4).otherwise(0)).alias("position"))
+    files = lines.where("l_returnflag <> 'R'").select(*cell, F.struct("l_orderkey", "l_linenumber").alias("file"), sound(F.col("l_quantity")).alias("sha"), F.lit(None).cast("string").alias("pcm"), F.col("l_quantity").cast("double").alias("seconds"))
+    editions = lines.select(F.col("p_brand").alias("release"), F.col("month").alias("edition")).distinct().select("*", F.col("edition").alias("date"), F.lit(0).alias("place"))
+    sounds = lines.where("l_returnflag <> 'R'").select("p_partkey", "p_size", "l_quantity").distinct()
+    above = sounds.select("p_partkey", "p_size", "l_quantity", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("gap"))
+    pairs = above.withColumn("other", F.col("l_quantity") + F.col("gap")).join(sounds.select("p_partkey", F.col("l_quantity").alias("other")), ["p_partkey", "other"])
+    matches = pairs.select(sound(F.col("l_quantity")).alias("a"), sound(F.col("other")).alias("b"), (1 - F.lit(0.02) * F.col("gap")).alias("score"), (F.greatest(F.lit(0), F.col("l_quantity") - F.col("p_size") % 4) * 1000).alias("matched_ms"))
+    out = candidates.compared(editions, rows, files, matches)
+    return out.select(F.col("release").alias("p_brand"), F.col("track").alias("p_partkey"), F.col("edition").alias("month"), "position", F.when(F.col("file").isNotNull(), F.concat_ws("-", "file.l_orderkey", "file.l_linenumber")).alias("file"), "relation", "share", F.round("score", 6).alias("score"))
+
+
 @query(
     "sidecar_pairs",
     r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, lower(regexp_extract(url, '/([^/?#.]*)[^/?#]*(?:[?#].*)?$', 1)) AS stem FROM pages) SELECT a.page_id, p.page_id AS sidecar FROM p JOIN (SELECT host, stem, min(page_id) AS page_id FROM p GROUP BY ALL) a USING (host, stem) WHERE a.page_id < p.page_id""",
