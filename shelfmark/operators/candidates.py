@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import folded
+from shelfmark.operators.graph import kept
 
 #: Least length of a title inside another, first characters that a number's match asks for, ms by which lengths may differ.
 LEAST_INSIDE, FIRST, LENGTH_MS = 4, 4, 3000
@@ -52,7 +53,7 @@ def similar(editions: DataFrame, releases: DataFrame) -> DataFrame:
     each = r.select("release", F.substring("own", 1, FIRST).alias("first"), F.explode(F.array_distinct(F.transform("numbers", plain_number))).alias("number")).where("number <> ''")
     begun = each.select("release", "first", F.explode(starts(F.col("number"))).alias("number")).distinct()
     numbered = e.select("edition", "number", F.substring("key", 1, FIRST).alias("first")).join(begun, ["number", "first"]).select("edition", "release")
-    found = titled.union(numbered).distinct()
+    found = kept(titled.union(numbered).distinct())
     grouped = releases.where("group is not null").select("release", "group")
     whole = found.join(grouped, "release").select("edition", "group").distinct().join(grouped, "group").select("edition", "release")
     return found.union(whole).distinct()
