@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Remembered, arrow_map, crc_fold, written
+from shelfmark.llm.common import Remembered, arrow_map, crc_fold, once, written
 
 _LETTERS = bytes(i if i >= 0x80 or 97 <= i <= 122 else 32 for i in range(256))
 LONGEST = 64
@@ -218,6 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, **model) -> T
     rows = rows.join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text"))
 
     def start():
+        once.cache_clear()  # what an earlier stage's tasks left in this worker goes
         known = Remembered(terms_of)
 
         def f(doc_id, toxic, h, text):
@@ -256,6 +257,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **tra
     def run(batches):
         import pyarrow as pa
 
+        once.cache_clear()
         own = model.value
         for b in batches:
             text = b.column(arrow_names.index("text")).to_pylist()
