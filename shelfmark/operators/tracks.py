@@ -61,7 +61,7 @@ def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None
 
     files: edition, id, disc, track, title, name (its exact key), title_key, seconds, lossless, audio (a checksum), linked (a track),
     and perhaps role; entries, of the edition's release: edition, track, name, title_key, listed (how many editions list it), and perhaps
-    position; heard_in: file, track. Files of one sound, of one disc, number and name, or of one name and length make a row; it says
+    position; heard_in: file, track, and edition where a file's id is its own only there. Files of one sound, of one disc, number and name, or of one name and length make a row; it says
     what its first lossless file says, else its first file. Rows stand by disc, number (none last) and title of their first file. In
     that order each takes its best track that is free: one that its files are linked to or, if not linked, heard as; the one of its
     exact name, the one of its title key (the most listed of equals). A row without a track is a new one: in its own place where the
@@ -69,7 +69,8 @@ def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None
     """
     f = track_files(files)
     if heard_in is not None:
-        f = f.join(heard_in.select(F.col("file").alias("id"), F.col("track").alias("heard")), "id", "left").withColumn("said", F.coalesce("linked", "heard")).drop("heard")
+        on = ["edition", "id"] if "edition" in heard_in.columns else ["id"]
+        f = f.join(heard_in.withColumnsRenamed({"file": "id", "track": "heard"}).select(*on, "heard"), on, "left").withColumn("said", F.coalesce("linked", "heard")).drop("heard")
     else:
         f = f.withColumn("said", F.col("linked"))
     f = f.join(_roots(f), ["edition", "id"])

@@ -64,6 +64,14 @@ def test_tracks_new_ones_and_relinks(spark):
     assert listed(spark, files[4:]) == [(1, 1, "5", None, 1, 1, "5"), (2, 1, "6", None, 2, 1, "6")]
 
 
+def test_heard_in_editions_with_equal_ids(spark):
+    files = [file(1, 1, "One", edition=1), file(1, 1, "Uno", edition=2)]
+    entries = [(e, t, n, n, 1, t) for e in (1, 2) for t, n in ((5, "x"), (6, "y"))]
+    heard = spark.createDataFrame([(1, 1, 5), (2, 1, 6)], "edition int, file int, track int")
+    got = tracks.track_lists(spark.createDataFrame(files, FILE), spark.createDataFrame(entries, ENTRY), heard).collect()
+    assert sorted((r["edition"], r["files"], r["track"]) for r in got) == [(1, "1", 5), (2, "1", 6)]
+
+
 def test_heard(spark):
     evidence = [(1, 10), (2, 10), (2, 11), (3, 11), (3, 12), (3, 12), (4, 13), (4, 14), (5, 20), (5, 21)]
     rows = [(1, 10), (1, 11), (2, 11), (2, 13), (3, 12), (4, 12), (5, 14), (6, 14), (6, 14)]
