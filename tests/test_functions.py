@@ -123,6 +123,18 @@ def test_log_laws(spark):
     assert sorted((x.a, x.b) for x in kept.collect()) == [(2, 5), (3, 4)]
 
 
+def test_parts_of_a_manifest(spark, tmp_path):
+    """The last line is that of the last part, though Spark reads the largest part first."""
+    for part, n in ((0, 1), (1, 400), (2, 40)):
+        (tmp_path / f"part-{part:05}.json").write_text("".join(json.dumps({"sha256": "x", "duration": float(1000 * part + i)}) + "\n" for i in range(n)))
+    assert [r.duration for r in tables.probe_manifest(spark, str(tmp_path)).collect()] == [2039.0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert [r.duration for r in tables.probe_manifest(spark, str(tmp_path)).collect()] == [2039.0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "probe.jsonl").write_text("\n".join(json.dumps({"sha256": s, "duration": d}) for s, d in (("x", 1.0), ("y", 2.0), ("x", 3.0))) + "\n\n")
     assert {r.sha256: r.duration for r in tables.probe_manifest(spark, str(tmp_path / "probe.jsonl")).collect()} == {"x": 3.0, "y": 2.0}
