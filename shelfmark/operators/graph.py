@@ -27,6 +27,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, n: int, *keys: str, most: int = 250_000) -> DataFrame:
+    """The rows dealt out by keys into parts of about ``most`` of n rows, so that a task's share doesn't grow with the table."""
+    return df.repartition(max(1, -(-n // most)), *keys)
+
+
 def closure(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     """(ancestor, descendant, depth) of a forest given as (id, parent_id); every node is its own at depth 0.
 
