@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators import tasks
+from shelfmark.operators import graph, tasks
 from shelfmark.plans.catalogue import query
 from shelfmark.plans.fields import _folder
 from shelfmark.plans.matching import PAIRS, part_pairs
@@ -46,7 +46,7 @@ def task_leases(spark: SparkSession, d: str) -> DataFrame:
 )
 def pair_store(spark: SparkSession, d: str) -> DataFrame:
     """Pairs written to a bucketed store; then a batch of ids is matched anew, and its pairs alone are replaced."""
-    found = part_pairs(spark, d).select("a", "b", "q")
+    found = graph.kept(part_pairs(spark, d).select("a", "b", "q"))
     at = _folder(spark, "pairs")
     ids = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     stores.replace_pairs(ids, found, at, 0)

@@ -61,8 +61,8 @@ def replace_pairs(ids: DataFrame, new: DataFrame, store: str, batch: int, bucket
     spark, schema = ids.sparkSession, _with_bucket(new.schema)
     ids = kept(ids.select("id").where("id is not null").distinct())
     one = new.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).where("a < b").dropDuplicates(["a", "b"])
-    new = kept(bucketed(both_ways(one), "a", buckets))
-    old = stored(spark, store, schema)
+    new = bucketed(both_ways(kept(one)), "a", buckets)
+    first, old = not exists(spark, store), stored(spark, store, schema)
     own = kept(bucketed(ids.select(F.col("id").alias("a")), "a", buckets).select("bucket").distinct())
     near = [r["bucket"] for r in own.collect()]
     gone = old.where(F.col("bucket").isin(near)).join(ids.select(F.col("id").alias("a")), "a", "left_semi")
@@ -76,9 +76,12 @@ def replace_pairs(ids: DataFrame, new: DataFrame, store: str, batch: int, bucket
     at = sorted(r["bucket"] for r in touched.collect())  # at most ``buckets``
     if not at:
         return at
+    held = touched.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[:-1]), "bucket")
+    if first:  # nothing of the store is read
+        put(new.select(*schema.names).unionByName(held), store)
+        return at
     stay = old.where(F.col("bucket").isin(at) & F.col("a").isNotNull())
     for end in ("a", "b"):
         stay = stay.join(ids.select(F.col("id").alias(end)), end, "left_anti")
-    held = touched.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[:-1]), "bucket")
     put(kept(stay.select(*schema.names).unionByName(new.select(*schema.names)).unionByName(held)), store)
     return at

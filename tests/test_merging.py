@@ -8,6 +8,9 @@ from shelfmark.operators import merging
 from shelfmark.sources import backup
 
 FOLDER = "id string, parent_id string, kind string, name string, readme int"
+from shelfmark.operators import graph
+from shelfmark.plans import matching
+from shelfmark.streaming import stores
 
 
 def test_merge_folders(spark):
@@ -40,3 +43,27 @@ def test_backup(spark, tmp_path):
     assert len(found) == 31 and [k for k, ok in found.items() if not ok] == ["f" * 64]
     one, two = ({r["sha256"] for r in backup.read_back(spark, store, 8, s).collect()} for s in (1, 2))
     assert len(one) == len(two) == 8 and one != two
+
+
+def test_shares_of_a_task_do_not_grow(spark):
+    """Rows are dealt out by their number, whatever the session's number of partitions."""
+    rows = spark.range(10)
+    assert [graph.dealt(rows, n, "id", most=3).rdd.getNumPartitions() for n in (0, 3, 4, 10)] == [1, 1, 2, 4]
+
+
+def test_pairs_of_parts_with_repeated_lines(spark, tmp_path):
+    lines = [(1, 5, 2.0), (1, 5, 3.0), (1, 6, 10.0), (1, 7, None), (2, 6, 1.0), (2, 5, 1.0), (3, 5, 4.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = matching.part_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(5, 6, 2, 27.0), (5, 7, 1, None), (6, 7, 1, None)]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()  # orders are not counted by a second exchange
+
+
+def test_first_batch_of_a_store_is_written_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(stores, "kept", lambda df: made.append(df.columns) or graph.kept(df))
+    pairs = spark.createDataFrame([(1, 2, 0.5), (3, 1, 0.6)], "a long, b long, q double")
+    stores.replace_pairs(spark.range(5), pairs, str(tmp_path / "store"), 0, 4)
+    assert [c for c in made if "a" in c] == [["a", "b", "q"]]  # one way, and not once more with the store
+    stores.replace_pairs(spark.createDataFrame([(1,)], "id long"), pairs.where("a = 1"), str(tmp_path / "store"), 1, 4)
+    assert [tuple(r) for r in stores.pairs(spark, str(tmp_path / "store"), pairs.schema).collect()] == [(1, 2, 0.5)]
