@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from shelfmark.operators.graph import components, kept
+from shelfmark.operators.graph import components, dealt, kept
 
 
 def _by_size(rows: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -123,12 +123,12 @@ def assign_greedily(pairs: DataFrame, by: str, most_in_task: int = 200_000) -> D
     return out
 
 
-def merged_orders(rows: DataFrame, by: str, item: str, lists: list[str], within: list[str]) -> DataFrame:
+def merged_orders(rows: DataFrame, by: str, item: str, lists: list[str], within: list[str], n: int = 0) -> DataFrame:
     """(by, item, position): one order of a group's items that keeps each list's own as far as earlier ones allow.
 
     Lists are folded in the order of ``lists`` (their date and id); a list's items go by ``within``. A new item stands right after
     the one that precedes it in its list. Items are a chain in which each knows the next one, so a step takes the same time
-    however long the chain is; the state is one group's items.
+    however long the chain is; the state is one group's items. n is the number of rows, where known: by it they are dealt out.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,5 +156,5 @@ def merged_orders(rows: DataFrame, by: str, item: str, lists: list[str], within:
             yield close()
 
     kind = dict(rows.dtypes)
-    ordered = rows.repartition(by).sortWithinPartitions(by, *lists, *within)
+    ordered = (dealt(rows, n, by) if n else rows.repartition(by)).sortWithinPartitions(by, *lists, *within)
     return ordered.mapInPandas(run, f"{by} {kind[by]}, {item} {kind[item]}, position int")

@@ -56,9 +56,12 @@ def renumbered_tracks(spark: SparkSession, d: str) -> DataFrame:
 )
 def merged_order(spark: SparkSession, d: str) -> DataFrame:
     """One order of a customer's parts that keeps each order's own, the oldest orders first."""
-    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    n = lines.count()
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    rows = graph.dealt(orders, n, "o_orderkey").join(graph.dealt(lines, n, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.groupBy("o_custkey", "o_orderdate", "o_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("at"))
-    return resolve.merged_orders(rows, "o_custkey", "l_partkey", ["o_orderdate", "o_orderkey"], ["at", "l_partkey"])
+    return resolve.merged_orders(rows, "o_custkey", "l_partkey", ["o_orderdate", "o_orderkey"], ["at", "l_partkey"], n)
 
 
 @query(
