@@ -67,12 +67,13 @@ def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None
     exact name, the one of its title key (the most listed of equals). A row without a track is a new one: in its own place where the
     release has no entries, else after them. Relinked are the files that aren't linked to the row's track.
     """
-    f = track_files(files)
+    f, entries = track_files(files), kept(entries)
     if heard_in is not None:
         on = ["edition", "id"] if "edition" in heard_in.columns else ["id"]
         f = f.join(heard_in.withColumnsRenamed({"file": "id", "track": "heard"}).select(*on, "heard"), on, "left").withColumn("said", F.coalesce("linked", "heard")).drop("heard")
     else:
         f = f.withColumn("said", F.col("linked"))
+    f = kept(f)
     f = f.join(_roots(f), ["edition", "id"])
     late = F.col("track").isNull()
     rows = f.groupBy("edition", "root").agg(
@@ -153,7 +154,7 @@ def duplicate_entries(tracks: DataFrame, rows: DataFrame, files: DataFrame, mast
     used one; of equals the one with accents, then the shortest, then the first.
     """
     edges = kept(same_entries(tracks, rows, files, masters))
-    placed = rows.select("release", "edition", "track").unionByName(files.select("release", "edition", "track")).distinct()
+    placed = kept(rows.select("release", "edition", "track").unionByName(files.select("release", "edition", "track")).distinct())
     guards = placed.groupBy("release", "track").agg(F.array_sort(F.collect_set("edition")).alias("guard"))
     none = F.array().cast(guards.schema["guard"].dataType)
     guard = lambda at, name: guards.select("release", F.col("track").alias(at), F.col("guard").alias(name))
