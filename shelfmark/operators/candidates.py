@@ -115,11 +115,18 @@ def compared(editions: DataFrame, rows: DataFrame, files: DataFrame, matches: Da
     ends = {"a": F.when(later, F.least("f.sha", "r.sha")), "b": F.when(later & F.col("f.sha").isNotNull() & F.col("r.sha").isNotNull(), F.greatest("f.sha", "r.sha"))}
     met = cells.withColumns(ends).join(matches, ["a", "b"], "left")
     same = F.coalesce(F.col("f.sha") == F.col("r.sha"), F.lit(False)) | F.coalesce(F.col("f.pcm") == F.col("r.pcm"), F.lit(False))
-    shorter = F.least(F.coalesce("f.seconds", F.lit(0.0)), F.coalesce("r.seconds", F.lit(0.0)))
-    of = lambda seconds: F.least(F.lit(1.0), F.col("matched_ms") / 1000 / seconds)
+    told = heard_as(F.col("f").isNotNull(), F.col("first"), F.col("column") == 1, same, F.col("f.seconds"), F.col("r.seconds"), F.col("score"), F.col("matched_ms"))
+    return met.select("release", "track", "edition", "position", "f.file", *(x.alias(name) for name, x in told.items()))
+
+
+def heard_as(heard: Column, first: Column, oldest: Column, same: Column, seconds: Column, r_seconds: Column, score: Column, matched_ms: Column) -> dict[str, Column]:
+    """relation, share and score of a cell, as in compared: whether it has a file, that is its track's first, stands in the release's oldest
+    column, and is the same as the reference; then the lengths of both, and their match, if there is one."""
+    shorter = F.least(F.coalesce(seconds, F.lit(0.0)), F.coalesce(r_seconds, F.lit(0.0)))
+    of = lambda seconds: F.least(F.lit(1.0), matched_ms / 1000 / seconds)
     share = F.when(shorter > 0, of(shorter)).otherwise(0.0)
-    heard_as = F.when(F.col("matched_ms").isNull(), "other").when(share < MATCH_SHARE, "part").when(F.col("score") >= MASTER_SCORE, "master").otherwise("remix")
-    relation = F.when(F.col("f").isNull(), "nofile").when(F.col("first"), F.when(F.col("column") == 1, "ref").otherwise("new")).when(same, "same").otherwise(heard_as)
-    known = later & ~same & F.col("matched_ms").isNotNull()
-    own = F.when(known, F.when(F.col("f.seconds") > 0, of(F.col("f.seconds"))).otherwise(share))
-    return met.select("release", "track", "edition", "position", "f.file", relation.alias("relation"), F.round(own, 6).alias("share"), F.when(known, F.col("score")).alias("score"))
+    by_match = F.when(matched_ms.isNull(), "other").when(share < MATCH_SHARE, "part").when(score >= MASTER_SCORE, "master").otherwise("remix")
+    relation = F.when(~heard, "nofile").when(first, F.when(oldest, "ref").otherwise("new")).when(same, "same").otherwise(by_match)
+    known = ~first & heard & ~same & matched_ms.isNotNull()
+    own = F.when(known, F.when(seconds > 0, of(seconds)).otherwise(share))
+    return {"relation": relation, "share": F.round(own, 6), "score": F.when(known, score)}

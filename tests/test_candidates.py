@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import title_key
 from shelfmark.operators import candidates
+from shelfmark.plans import matching  # noqa: F401
+from shelfmark.plans.catalogue import QUERIES
 
 EDITION = "edition string, title string, number string, durations array<double>"
 RELEASE = "release string, group string, title string, group_title string, numbers array<string>, durations array<double>, count int"
@@ -99,3 +102,19 @@ def test_compared(spark):
         ("t3", "undated"): (None, "part", 0.445, 0.99),
     }
     assert of(0.92, 60_000)["t1", "new"] == ("2, 10, 2-3", "remix", 1.0, 0.92)
+
+
+def test_sound_comparison_odd_rows(spark, tmp_path):
+    """Fractions and large quantities, unknown values, a part listed twice, and duplicate lines: as in SQL."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE part AS SELECT * FROM (VALUES (1, 'a', 3), (2, 'a', 5), (3, NULL, 1), (4, 'b', NULL), (5, 'b', 9), (6, 'c', 2), (6, 'c', 2), (6, 'd', 2), (7, 'b', 4)) t(p_partkey, p_brand, p_size)")
+    con.sql("CREATE TABLE orders AS SELECT i AS o_orderkey, CASE WHEN i % 11 <> 0 THEN TIMESTAMP '2001-01-31 23:30:00' + INTERVAL (i * 53 % 700) DAY END AS o_orderdate FROM range(1, 61) g(i) UNION ALL SELECT 5, TIMESTAMP '2001-02-01'")
+    con.sql("""CREATE TABLE lineitem AS SELECT CAST(1 + i * 7 % 60 AS BIGINT) AS l_orderkey, CASE WHEN i % 29 <> 0 THEN CAST(1 + i % 7 AS INTEGER) END AS l_linenumber, CAST(1 + i * 5 % 13 % 6 AS BIGINT) AS l_partkey,
+        CASE i % 9 WHEN 0 THEN NULL WHEN 1 THEN 1000.0 + i % 5 WHEN 4 THEN 1000.0 + i % 5 WHEN 2 THEN 10.5 + i % 3 ELSE 8 + i % 6 END::DOUBLE AS l_quantity, CASE i % 5 WHEN 0 THEN 'R' WHEN 1 THEN NULL ELSE 'N' END AS l_returnflag FROM range(400) g(i) UNION ALL VALUES (12, 1, 7, 100, 'N'), (13, 1, 7, 104, 'N')""")
+    for t in ("part", "orders", "lineitem"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    plain = lambda df: sorted(str([None if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
+    q = QUERIES["sound_comparison"]
+    got, want = plain(q.run(spark, str(tmp_path)).toPandas()), plain(con.sql(q.sql).df())
+    assert len(want) > 50 and all(any(f"'{x}'" in r for r in want) for x in ("ref", "new", "nofile", "same", "other", "part", "master", "remix"))
+    assert got == want
