@@ -20,6 +20,7 @@ one row; equal texts have equal results.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import Remembered, arrow_map, crc_fold
 
 LONGEST = 64
-_SPACES = {ord(c): " " for c in "0123456789.,;:!?\"'()[]{}<>|#*$%&/\\@+=_-~^`\n\t\r"}
+#: Digits and marks that end a word; all are ASCII, so they can be replaced in UTF-8.
+_BLANKED = b"0123456789.,;:!?\"'()[]{}<>|#*$%&/\\@+=_-~^`\n\t\r"
+_SPACES = bytes.maketrans(_BLANKED, b" " * len(_BLANKED))
 
 
 class Subwords(Remembered):
-    """Buckets of n-grams, those of frequent n-grams remembered."""
+    """Buckets of n-grams, remembered but for those of whole words: most words are rare, and would drive the n-grams out."""
 
     def __init__(self, buckets: int):
         super().__init__(lambda gram: zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets)
@@ -40,12 +43,12 @@ class Subwords(Remembered):
     def of(self, word: str) -> list[int]:
         marked = f"<{word}>"
         n = len(marked)
-        grams = [marked, *word, *[marked[i : i + 2] for i in range(n - 1)], *[marked[i : i + 3] for i in range(n - 2)], *[marked[i : i + 4] for i in range(n - 3)]]
-        return list(map(self.__getitem__, grams))
+        grams = [*word, *[marked[i : i + 2] for i in range(n - 1)], *[marked[i : i + 3] for i in range(n - 2)], *[marked[i : i + 4] for i in range(n - 3)]]
+        return [self.f(marked), *map(self.__getitem__, grams)]
 
 
 def words_of(text: str) -> list[str]:
-    words = text.lower().translate(_SPACES).split()
+    words = text.lower().encode("utf-8", "surrogatepass").translate(_SPACES).decode("utf-8", "surrogatepass").split()
     if words and max(map(len, words)) > LONGEST:
         # parts that overlap by three characters hold every n-gram
         return [part for w in words for part in ([w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - 3, LONGEST - 3)])]
@@ -57,22 +60,46 @@ class LanguageModel:
         self.langs, self.table, self.temperature, self.floor = langs, table, temperature, floor
         self.rows = np.empty((remembered + 1, table.shape[1] + 1), np.float32)  # a word's summed rows and their number
         self.word, self.subwords = Remembered(self._word, remembered), Subwords(len(table))
+        self.new: list[str] = []  # words that have a number, but no row yet
+        self.window = Remembered(self._window)
+        self.grams = np.empty((self.window.most + 1, 4), np.int32)  # a window's n-grams
+        self.padded = np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])  # the last row stands for no n-gram
 
     def _word(self, word: str) -> int:
-        rows = self.subwords.of(word)
-        at = len(self.word)
-        self.rows[at, :-1] = self.table[rows].sum(axis=0)
-        self.rows[at, -1] = len(rows)
+        self.new.append(word)
+        return len(self.word)
+
+    def _window(self, window: str) -> int:
+        """A window is four characters of a marked word, or fewer at its end: its n-grams are those that begin it."""
+        at = len(self.window)
+        grams = [window[:n] for n in range(1 if window[0] != "<" else 2, len(window) + 1)]  # no word holds a mark, and a mark alone is no n-gram
+        self.grams[at] = len(self.table)
+        self.grams[at, : len(grams)] = list(map(self.subwords.__getitem__, grams))
         return at
 
+    def _numbers(self, words: list[str]) -> list[int]:
+        """The words' places in rows; the rows of all new ones are summed at once."""
+        numbers = list(map(self.word.__getitem__, words))
+        if self.new:
+            marked = [f"<{w}>" for w in self.new]
+            sizes = np.array(list(map(len, marked))) - 1
+            if len(self.window) + sizes.sum() > self.window.most:
+                self.window.clear()  # here, so that no number of these windows is given twice
+            windows = list(map(self.window.__getitem__, [m[i : i + 4] for m in marked for i in range(len(m) - 1)]))
+            rows = self.rows[len(self.word) - len(marked) : len(self.word)]
+            rows[:, :-1] = self.table[list(map(self.subwords.f, marked))] + np.add.reduceat(self.padded[self.grams[windows].ravel()], 4 * (np.cumsum(sizes) - sizes), axis=0)
+            rows[:, -1] = 4 * sizes - 3
+            self.new.clear()
+        return numbers
+
     def probabilities(self, text: str) -> np.ndarray:
         z = np.zeros(self.rows.shape[1])
         words = words_of(text)
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
+        for i in range(0, len(words), 2_000):  # few enough for their windows to be remembered at once
+            part = words[i : i + 2_000]
             if len(self.word) + len(part) > self.word.most:
                 self.word.clear()  # here, so that no number of this part is given twice
-            z += self.rows[list(map(self.word.__getitem__, part))].sum(axis=0)
+            z += self.rows[self._numbers(part)].sum(axis=0)
         z = z[:-1] / max(1.0, z[-1])
         e = np.exp((z - z.max()) * self.temperature)
         return e / e.sum()

@@ -332,3 +332,21 @@ def test_secrets_are_learned_from_repeated_texts(spark):
     assert llr == pytest.approx(once[0]) and threshold == pytest.approx(once[1])
     found = secret_scan.scan_secrets(df, (llr, threshold)).where("doc_id = 50").first()
     assert found["n_markov"] == 0
+
+
+def test_language_rows_of_words():
+    """A text's probabilities are those of a plain sum over its words' n-grams, however few words and windows are remembered; whole words drive no n-gram out."""
+    rng = np.random.default_rng(5)
+    table = rng.normal(0, 1, (1 << 10, 3)).astype(np.float32)
+    model = language_id.LanguageModel(["a", "b", "c"], table, 1.5, 0.0, remembered=3_000)
+    model.window.most = 2_000 * 65  # the most that one part can need
+    letters = list("abcdeéßж漢字😀İ")
+    texts = ["x", "A<b>c", "日本" * 100, "a b 1c2d-e_f", *(" ".join("".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(n)) for n in (1, 7, 2_000, 9_000)), "x"]
+    for text in texts:
+        words = text.lower().translate({ord(c): " " for c in "0123456789.,;:!?\"'()[]{}<>|#*$%&/\\@+=_-~^`\n\t\r"}).split()
+        assert language_id.words_of(text) == words or max(map(len, words)) > language_id.LONGEST
+        bag = [x for w in language_id.words_of(text) for x in language_id.Subwords(len(table)).of(w)]
+        z = table[bag].astype(float).mean(axis=0)
+        e = np.exp((z - z.max()) * 1.5)
+        assert np.allclose(model.probabilities(text), e / e.sum(), atol=1e-5)
+    assert model.subwords and max(map(len, model.subwords)) <= 4
