@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from shelfmark.functions.text import folded
 from shelfmark.operators.graph import kept
@@ -13,6 +14,8 @@ from shelfmark.operators.resolve import assign_greedily, guarded_groups
 IMAGE_SECONDS, IMAGE_FILES, SAME_SECONDS = 25 * 60, 3, 2
 #: Ms by which entries of one title may differ, and the most that one recording's files may, as a share.
 TITLE_MS, MASTER_SHARE = 3000, 1.2
+#: What track lists need of a file.
+FILE = ["id", "disc", "track", "title", "name", "title_key", "seconds", "lossless", "audio", "linked", "said"]
 
 
 def track_files(files: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def _roots(files: DataFrame) -> DataFrame:
     return out.select("edition", "id", "root")
 
 
-def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None = None) -> DataFrame:
+def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None = None, most_in_row: int = 500) -> DataFrame:
     """A track list for each edition from its files: edition, disc, position, title, seconds, track, files, new_disc, new_position and
     relinked.
 
@@ -67,13 +70,103 @@ def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None
     exact name, the one of its title key (the most listed of equals). A row without a track is a new one: in its own place where the
     release has no entries, else after them. Relinked are the files that aren't linked to the row's track.
     """
-    f, entries = track_files(files), kept(entries)
+    f = files.where(F.coalesce("role", F.lit("")) != "extra") if "role" in files.columns else files
     if heard_in is not None:
         on = ["edition", "id"] if "edition" in heard_in.columns else ["id"]
-        f = f.join(heard_in.withColumnsRenamed({"file": "id", "track": "heard"}).select(*on, "heard"), on, "left").withColumn("said", F.coalesce("linked", "heard")).drop("heard")
+        f = f.join(heard_in.withColumnsRenamed({"file": "id", "track": "heard"}).select(*on, "heard"), on, "left").withColumn("said", F.coalesce("linked", "heard"))
     else:
         f = f.withColumn("said", F.col("linked"))
-    f = kept(f)
+    f = f.select("edition", F.struct(*FILE).alias("file"))
+    e = entries.select("edition", F.struct(*(c for c in entries.columns if c != "edition")).alias("entry"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    return track_lists_of(f.select("edition", "file", none(e, "entry")).unionByName(e.select("edition", none(f, "file"), "entry")), most_in_row=most_in_row)
+
+
+def track_lists_of(facts: DataFrame, sizes: DataFrame | None = None, most_in_row: int = 500) -> DataFrame:
+    """The same from facts: edition, file (a struct of FILE, said being the track it is linked to or heard as) and entry (a struct of track,
+    name, title_key, listed, and perhaps position), either of which may be null; extra files aren't among them.
+
+    An edition's facts meet in one row, so facts move once, and not at all where they are dealt out by edition already. Editions of more
+    than ``most_in_row`` facts, if there are any, are found by joins and rounds. sizes: edition and n, where a bound of the facts is known.
+    """
+    sizes = facts.groupBy("edition").agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    large = kept(sizes.where(F.col("n") > most_in_row).select("edition"))
+    if large.isEmpty():
+        return _in_rows(facts)
+    few = F.broadcast(large) if large.count() <= 10_000 else large
+    many = kept(facts.join(few, "edition", "left_semi"))
+    part = lambda c: many.where(F.col(c).isNotNull()).select("edition", f"{c}.*")
+    return _in_rows(facts.join(few, "edition", "left_anti")).unionByName(_in_rounds(part("file"), part("entry")))
+
+
+def _opened(files: Column, kind: str) -> Column:
+    """An edition's files in their order as (file, opened): opened is the file that opens its row, by the rules of ``_roots``."""
+
+    def follow(acc: Column, f: Column) -> Column:
+        first = lambda like: F.slice(F.filter(acc, like), 1, 1)
+        at = lambda x: x["file"]["disc"].eqNullSafe(f["disc"]) & (x["file"]["track"] == f["track"]) & x["file"]["name"].eqNullSafe(f["name"])
+        sound = first(lambda x: x["file"]["audio"] == f["audio"])
+        place = first(lambda x: (x["file"]["id"] == x["opened"]["id"]) & at(x))
+        named = first(lambda x: f["late"] & x["file"]["name"].eqNullSafe(f["name"]))
+        close = F.filter(named, lambda x: F.coalesce(F.abs(f["seconds"] - x["opened"]["seconds"]) <= SAME_SECONDS, F.lit(True)))
+        opened = F.coalesce(F.get(F.concat(sound, place, close), F.lit(0))["opened"], F.struct(f["id"].alias("id"), f["seconds"].alias("seconds")))
+        return F.concat(acc, F.array(F.struct(f.alias("file"), opened.alias("opened"))))
+
+    return F.aggregate(files, F.array().cast(kind), follow)
+
+
+def _taken(rows: Column, entries: Column, kind: str, track: DataType) -> Column:
+    """An edition's rows in their order as (row, track, position, before): the best free track, the place on the disc, and how many rows
+    before it are new."""
+
+    def take(acc: Column, r: Column) -> Column:
+        said = F.filter(F.transform(r["of"], lambda y: y["said"]), lambda w: w.isNotNull() & F.exists(entries, lambda e: e["track"].eqNullSafe(w)))
+        best = lambda key: F.array_max(F.transform(F.filter(entries, lambda e: e[key] == r["main"][key]), lambda e: F.struct(e["listed"], e["track"])))["track"]
+        wishes = F.concat(F.transform(said, lambda w: w.cast(track)), F.array(best("name"), best("title_key")))
+        free = F.filter(wishes, lambda w: w.isNotNull() & ~F.exists(acc, lambda a: a["track"].eqNullSafe(w)))
+        place = F.size(F.filter(acc, lambda a: a["row"]["disc"].eqNullSafe(r["disc"]))) + 1
+        before = F.size(F.filter(acc, lambda a: a["track"].isNull()))
+        return F.concat(acc, F.array(F.struct(r.alias("row"), F.get(free, F.lit(0)).alias("track"), place.alias("position"), before.alias("before"))))
+
+    return F.aggregate(rows, F.array().cast(kind), take)
+
+
+def _in_rows(facts: DataFrame) -> DataFrame:
+    """Track lists of editions whose files and entries fit in one row each."""
+    late = F.col("file.track").isNull().alias("late")
+    file = F.when(F.col("file").isNotNull(), F.struct(late, *(F.col(f"file.{c}").alias(c) for c in FILE)))
+    x = facts.groupBy("edition").agg(F.array_sort(F.collect_list(file)).alias("files"), F.collect_list("entry").alias("entries"))
+    kinds = {c: x.schema[c].dataType.elementType for c in ("files", "entries")}
+    one, seconds, track = kinds["files"].simpleString(), kinds["files"]["seconds"].dataType.simpleString(), kinds["entries"]["track"].dataType
+    image = lambda f: (F.coalesce(f["seconds"], F.lit(0.0)) > IMAGE_SECONDS) & (F.size("files") > IMAGE_FILES)
+    opened = _opened(F.filter("files", lambda f: ~image(f)), f"array<struct<file:{one},opened:struct<id:{kinds['files']['id'].dataType.simpleString()},seconds:{seconds}>>>")
+    x = x.select("edition", "entries", opened.alias("files"))
+    of = lambda f: F.transform(F.filter("files", lambda y: y["opened"]["id"] == f["id"]), lambda y: y["file"])
+    rows = F.transform(F.filter("files", lambda y: y["file"]["id"] == y["opened"]["id"]), lambda y: F.struct(y["file"].alias("first"), of(y["file"]).alias("of")))
+    main = lambda r: F.array_min(F.transform(r["of"], lambda y: F.struct((~y["lossless"]).alias("lossy"), *(y[c].alias(c) for c in ("late", "id", "title", "seconds", "name", "title_key")))))
+    place = lambda f: (f["disc"].alias("disc"), F.coalesce(f["track"], F.lit(999)).alias("number"), *(f[c].alias(c) for c in ("title", "late", "id")))
+    x = x.select("edition", "entries", F.array_sort(F.transform(rows, lambda r: F.struct(*place(r["first"]), r["of"].alias("of"), main(r).alias("main")))).alias("rows"))
+    taken = _taken(F.col("rows"), F.col("entries"), f"array<struct<row:{x.schema['rows'].dataType.elementType.simpleString()},track:{track.simpleString()},position:int,before:int>>", track)
+    has = "position" in kinds["entries"].fieldNames()
+    last = F.array_max("entries.position") if has else F.size(F.array_distinct(F.filter("entries.track", lambda t: t.isNotNull())))
+    x = x.select("edition", F.when(F.size("entries") > 0, last).cast("int").alias("last"), F.explode(taken).alias("x")).select("edition", "last", "x.row", "x.track", "x.position", "x.before")
+    return _listed(x, F.col("row.disc"), F.col("row.main"), F.col("row.of"), F.col("before") + 1)
+
+
+def _listed(rows: DataFrame, disc: Column, main: Column, of: Column, nth: Column) -> DataFrame:
+    """The columns of track lists. nth: a new row's place among those of its edition."""
+    new = F.col("track").isNull()
+    ids = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x["id"])), ",")
+    return rows.select(
+        "edition", disc.alias("disc"), "position", main["title"].alias("title"), main["seconds"].alias("seconds"), "track", ids(of).alias("files"),
+        F.when(new, F.when(F.col("last").isNull(), disc).otherwise(1)).alias("new_disc"), F.when(new, F.coalesce(F.col("last") + nth, "position")).alias("new_position"),
+        ids(F.filter(of, lambda x: ~x["linked"].eqNullSafe(F.col("track")) | F.col("track").isNull())).alias("relinked"),
+    )
+
+
+def _in_rounds(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """Track lists of editions of any size, by joins, windows and rounds."""
+    f, entries = kept(track_files(files)), kept(entries)
     f = f.join(_roots(f), ["edition", "id"])
     late = F.col("track").isNull()
     rows = f.groupBy("edition", "root").agg(
@@ -96,13 +189,7 @@ def track_lists(files: DataFrame, entries: DataFrame, heard_in: DataFrame | None
     last = entries.groupBy("edition").agg(place.cast("int").alias("last"))
     rows = rows.join(taken, ["edition", "row"], "left").join(last, "edition", "left")
     nth = F.count_if(F.col("track").isNull()).over(Window.partitionBy("edition").orderBy("row")).cast("int")
-    new = F.col("track").isNull()
-    ids = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x["id"])), ",")
-    return rows.select(
-        "edition", F.col("first.disc").alias("disc"), "position", F.col("main.title").alias("title"), F.col("main.seconds").alias("seconds"), "track", ids(F.col("of")).alias("files"),
-        F.when(new, F.when(F.col("last").isNull(), F.col("first.disc")).otherwise(1)).alias("new_disc"), F.when(new, F.coalesce(F.col("last") + nth, "position")).alias("new_position"),
-        ids(F.filter("of", lambda x: ~x["linked"].eqNullSafe(F.col("track")) | F.col("track").isNull())).alias("relinked"),
-    )
+    return _listed(rows, F.col("first.disc"), F.col("main"), F.col("of"), nth)
 
 
 def heard(evidence: DataFrame, listed: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """Track lists, heard tracks and duplicate entries in single cases."""
 
+import pathlib
 import random
 
 from shelfmark.operators import tracks
+from shelfmark.plans import curation, editions  # noqa: F401
+from shelfmark.plans.catalogue import QUERIES
 
 FILE = "edition int, id int, disc int, track int, title string, name string, title_key string, seconds double, lossless boolean, audio string, linked int, role string"
 ENTRY = "edition int, track int, name string, title_key string, listed int, position int"
@@ -90,3 +93,25 @@ def test_duplicates(spark):
     assert make([]) == plain
     assert make([(30, 51)]) == [plain[0], (1, 3, "6,5,3", "Étude!", "recording,title")]
     assert make([(30, 41)]) == plain  # lengths too far apart
+
+
+def test_large_editions_are_equal_in_rounds(spark):
+    r = random.Random(8)
+    files, entries = [], []
+    for e in range(30):
+        titles = [r.choice("abcdef") + r.choice(["", " (live)"]) for _ in range(r.choice([2, 5, 12]))]
+        files += [file(100 * e + i, r.choice([None, 1, 2, 3]), t, r.choice([None, 10.0, 11.0, 14.0, 1600.0]), r.random() < 0.3, r.choice([None, None, "p", "q"]), r.choice([None, None, 1, 2, 7]), r.choice([None, "extra", "log"]), r.choice([1, 2]), e) for i, t in enumerate(titles)]
+        entries += [(e, r.randrange(1, 9), t.lower(), t.split(" (")[0], r.randrange(3), r.randrange(20)) for t in titles if e % 4]
+    heard = [(f[1], r.randrange(1, 9)) for f in files if r.random() < 0.3]
+    a, b, c = spark.createDataFrame(files, FILE), spark.createDataFrame(entries, ENTRY), spark.createDataFrame(heard, "file int, track int")
+    whole, mixed, rounds = (sorted(map(str, tracks.track_lists(a, b, c, most).collect())) for most in (500, 12, 0))
+    assert len(whole) > 80 and whole == mixed == rounds
+
+
+def test_track_lists_move_lines_twice_and_store_none(spark):
+    at = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "tables"
+    for name in ("edition_track_lists",):
+        before = set(at.glob("*/*.parquet"))
+        plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert sum(spark.read.parquet(str(p)).count() for p in set(at.glob("*/*.parquet")) - before) == 0
+        assert plan.count("Exchange hashpartitioning") <= 3  # lines and parts by part, lines by order
