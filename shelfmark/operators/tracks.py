@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -259,3 +261,78 @@ def duplicate_entries(tracks: DataFrame, rows: DataFrame, files: DataFrame, mast
     plain = folded("fold_latin", "name") == F.col("name")
     title = used.withColumn("plain", plain).groupBy("release", "label").agg(F.min(F.struct((-F.col("n")).alias("less"), "plain", F.length("name").alias("size"), "name"))["name"].alias("title"))
     return listed.join(title, ["release", "label"], "left").join(reasons, ["release", "label"]).select("release", "label", "tracks", "title", "why")
+
+
+def duplicate_entries_of(facts: DataFrame, alike: Callable[[Column, Column], Column], sizes: DataFrame | None = None, most_in_row: int = 200) -> DataFrame:
+    """The same from facts of releases: entry (track, title, key, plain, ms), row (edition, track, title, key, plain) and file (edition, track,
+    file, audio, seconds), structs of which each may be null. key is the title's exact key, plain whether it has no accents; alike
+    says of two files, the lesser first, whether they are one recording's.
+
+    A release's facts meet in one row, so facts move once, and not at all where they are dealt out by release already. Releases of more
+    than ``most_in_row`` facts, if there are any, are found by joins. sizes: release and n, where a bound of the facts is known.
+    """
+    sizes = facts.groupBy("release").agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes
+    large = kept(sizes.where(F.col("n") > most_in_row).select("release"))
+    if large.isEmpty():
+        return _duplicates_in_rows(facts, alike)
+    few = F.broadcast(large) if large.count() <= 10_000 else large
+    many = kept(facts.join(few, "release", "left_semi"))
+    part = lambda c: many.where(F.col(c).isNotNull()).select("release", f"{c}.*")
+    files = part("file")
+    x, y = files.alias("x"), files.alias("y")
+    masters = x.join(y, (F.col("x.release") == F.col("y.release")) & (F.col("x.file") < F.col("y.file")) & alike(F.col("x.file"), F.col("y.file"))).select(F.col("x.file").alias("a"), F.col("y.file").alias("b")).distinct()
+    whole = duplicate_entries(part("entry").select("release", "track", "title", "ms").distinct(), part("row").select("release", "edition", "track", "title"), files, masters)
+    return _duplicates_in_rows(facts.join(few, "release", "left_anti"), alike).unionByName(whole)
+
+
+def _met(of: str, meet: Callable[[Column, Column], Column]) -> Column:
+    """Pairs (a, b) of tracks, the lesser first, of which elements of an array meet."""
+    ends = lambda x, y: F.struct(F.least(x["track"], y["track"]).alias("a"), F.greatest(x["track"], y["track"]).alias("b"))
+    return F.array_distinct(F.flatten(F.transform(of, lambda x: F.transform(F.filter(of, lambda y: meet(x, y)), lambda y: ends(x, y)))))
+
+
+def _united_in_row(acc: Column, e: Column) -> Column:
+    """Nodes (node, label, guard) after the edge e (a, b): its ends' groups are one unless both hold an equal guard."""
+    label = lambda end: F.get(F.filter(acc, lambda x: x["node"] == e[end]), F.lit(0))["label"]
+    held = lambda of: F.flatten(F.transform(F.filter(acc, lambda x: x["label"] == of), lambda x: x["guard"]))
+    united = lambda t: F.transform(acc, lambda x: F.struct(x["node"].alias("node"), F.when(x["label"] == F.greatest(t["a"], t["b"]), F.least(t["a"], t["b"])).otherwise(x["label"]).alias("label"), x["guard"].alias("guard")))
+    stay = lambda t: (t["a"] == t["b"]) | F.coalesce(F.arrays_overlap(held(t["a"]), held(t["b"])), F.lit(False))
+    return F.get(F.transform(F.array(F.struct(label("a").alias("a"), label("b").alias("b"))), lambda t: F.when(stay(t), acc).otherwise(united(t))), F.lit(0))
+
+
+def _duplicates_in_rows(facts: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """Duplicate entries of releases whose facts fit in one row each."""
+    x = facts.groupBy("release").agg(F.collect_set("entry").alias("entries"), F.collect_list("row").alias("rows"), F.collect_list("file").alias("files"))
+    name = lambda y: F.struct(y["track"].alias("track"), y["title"].alias("name"), y["key"].alias("key"), y["plain"].alias("plain"))
+    spot = lambda y: F.struct(y["edition"].alias("edition"), y["track"].alias("track"))
+    x = x.select(
+        "release", "entries", "files", F.filter(F.concat(F.transform("entries", name), F.transform("rows", name)), lambda y: y["name"].isNotNull()).alias("names"),
+        F.array_distinct(F.concat(F.transform("rows", spot), F.transform("files", spot))).alias("placed"),
+        F.array_distinct(F.transform(F.filter("files", lambda f: f["audio"].isNotNull()), lambda f: F.struct(f["audio"].alias("audio"), f["track"].alias("track")))).alias("sounds"),
+    )
+    first = lambda e: F.array_min(F.transform(F.filter("files", lambda f: f["track"] == e["track"]), lambda f: F.struct(f["file"], f["seconds"])))["seconds"]
+    lengths = F.transform("entries", lambda e: F.struct(e["track"].alias("track"), F.coalesce(e["ms"], first(e) * 1000).alias("ms")))
+    keys = lambda e: F.transform(F.filter("names", lambda n: (n["track"] == e["track"]) & (n["key"] != "")), lambda n: F.struct(e["track"].alias("track"), n["key"].alias("key"), e["ms"].alias("ms")))
+    x = x.select("release", "files", "names", "placed", "sounds", F.array_distinct(F.flatten(F.transform(lengths, keys))).alias("keyed"))
+    long_ = lambda f, g: (F.greatest(f["seconds"], g["seconds"]) <= MASTER_SHARE * F.least(f["seconds"], g["seconds"])) & (F.least(f["seconds"], g["seconds"]) > 0)
+    x = x.select(
+        "release", "names", "placed", _met("sounds", lambda f, g: (f["track"] < g["track"]) & (f["audio"] == g["audio"])).alias("sound"),
+        _met("files", lambda f, g: (f["file"] < g["file"]) & alike(f["file"], g["file"]) & (f["track"] != g["track"]) & long_(f, g)).alias("near"),
+        _met("keyed", lambda f, g: (f["track"] < g["track"]) & (f["key"] == g["key"]) & F.coalesce(F.abs(f["ms"] - g["ms"]) <= TITLE_MS, F.lit(True))).alias("titled"),
+    )
+    ranked = lambda of, rank: F.transform(of, lambda e: F.struct(F.lit(rank).alias("rank"), e["a"].alias("a"), e["b"].alias("b")))
+    x = x.select("release", "names", "placed", F.array_sort(F.concat(ranked("sound", 0), ranked(F.array_except("near", "sound"), 1), ranked("titled", 2))).alias("edges"))
+    guard = lambda n: F.transform(F.filter("placed", lambda p: p["track"] == n), lambda p: p["edition"])
+    nodes = F.transform(F.array_distinct(F.concat("edges.a", "edges.b")), lambda n: F.struct(n.alias("node"), n.alias("label"), guard(n).alias("guard")))
+    x = x.select("release", "names", "edges", F.aggregate("edges", nodes, _united_in_row).alias("nodes"))
+    group = F.transform(F.filter("nodes", lambda n: n["node"] == n["label"]), lambda n: F.filter("nodes", lambda m: m["label"] == n["node"]))
+    x = x.select("release", "names", "edges", F.explode(F.filter(group, lambda g: F.size(g) > 1)).alias("group"))
+    mine = lambda t: F.array_contains("group.node", t)
+    x = x.select("release", "group", F.filter("names", lambda n: mine(n["track"])).alias("names"), F.filter("edges", lambda e: mine(e["a"]) & mine(e["b"])).alias("edges"))
+    order = lambda m: F.struct((F.size(m["guard"]) == 0), F.array_min(m["guard"]), m["node"].alias("node"))
+    used = lambda n: F.struct((-F.size(F.filter("names", lambda m: m["name"] == n["name"]))), n["plain"], F.length(n["name"]), n["name"].alias("name"))
+    why = F.transform("edges.rank", lambda r: F.element_at(F.array(F.lit("audio"), F.lit("recording"), F.lit("title")), r + 1))
+    return x.select(
+        "release", F.array_min("group.node").alias("label"), F.array_join(F.transform(F.array_sort(F.transform("group", order)), lambda m: m["node"].cast("string")), ",").alias("tracks"),
+        F.array_min(F.transform("names", used))["name"].alias("title"), F.array_join(F.array_sort(F.array_distinct(why)), ",").alias("why"),
+    )

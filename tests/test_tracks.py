@@ -3,6 +3,7 @@
 import pathlib
 import random
 
+from shelfmark.functions.text import exact_key, fold_latin
 from shelfmark.operators import tracks
 from shelfmark.plans import curation, editions  # noqa: F401
 from shelfmark.plans.catalogue import QUERIES
@@ -108,15 +109,33 @@ def test_large_editions_are_equal_in_rounds(spark):
     assert len(whole) > 80 and whole == mixed == rounds
 
 
-def test_track_lists_move_lines_twice_and_store_none(spark):
+def test_lines_move_once_to_each_key_and_none_is_stored(spark):
     at = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "tables"
-    for name in ("edition_track_lists", "generated_tracks"):
+    for name, moves in (("edition_track_lists", 3), ("generated_tracks", 3), ("duplicate_entries", 5)):  # lines and parts by part, lines by order or lines and orders by order, lines by release
         before = set(at.glob("*/*.parquet"))
         plan = QUERIES[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert sum(spark.read.parquet(str(p)).count() for p in set(at.glob("*/*.parquet")) - before) == 0
-        assert plan.count("Exchange hashpartitioning") <= 3  # lines and parts by part, lines by order
+        assert plan.count("Exchange hashpartitioning") <= moves
 
 
 def test_duplicates_among_all_releases(spark):
     got = QUERIES["duplicate_entries"].run(spark, "/root/testdata/sf0.001").select("release").distinct().collect()
     assert {r["release"] % 3 for r in got} == {0, 1, 2}
+
+
+def test_large_releases_are_equal_by_joins(spark):
+    r = random.Random(9)
+    facts = []
+    for release in range(40):
+        title, ms = {t: r.choice(["Etude", "Étude", "etude!", "Song", "song", "Other"]) for t in range(9)}, {t: r.choice([None, 1000.0, 3500.0, 9000.0]) for t in range(9)}
+        named = lambda t: (t, exact_key(t), fold_latin(t) == t) if t else (None, None, None)
+        for _ in range(r.choice([3, 8, 30])):
+            t, edition = r.randrange(9), release * 10 + r.randrange(8)
+            row = (edition, t, *named(r.choice([None, title[t], "Étude"]))) if r.random() < 0.6 else None
+            file = (edition, t, edition * 10 + r.randrange(9), r.choice([None, None, "p", "q"]), 10.0 + t) if r.random() < 0.6 else None
+            facts.append((release, (t, *named(title[t]), ms[t]), row, file))
+    name = "title: string, key: string, plain: boolean"
+    kind = f"release long, entry struct<track: long, {name}, ms: double>, row struct<edition: long, track: long, {name}>, file struct<edition: long, track: long, file: long, audio: string, seconds: double>"
+    df = spark.createDataFrame(facts, kind)
+    whole, mixed, joins = (sorted(map(str, tracks.duplicate_entries_of(df, lambda a, b: (a + b) % 5 == 0, most_in_row=most).collect())) for most in (200, 10, 0))
+    assert len(whole) > 15 and whole == mixed == joins
